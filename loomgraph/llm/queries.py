@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, substring
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (decontaminate.op2_decontaminate,)}
+    return {f.__name__: f for f in (decontaminate.op2_decontaminate, substring.op10_substring_dedup)}
