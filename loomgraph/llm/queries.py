@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring
+from . import bpe, decontaminate, substring
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (decontaminate.op2_decontaminate, substring.op10_substring_dedup)}
+    return {f.__name__: f for f in (decontaminate.op2_decontaminate, bpe.op6_bpe, substring.op10_substring_dedup)}
