@@ -154,3 +154,16 @@ def slid_min(x: np.ndarray, w: int) -> np.ndarray:
         out = np.minimum(out[:-size], out[size:])
         size *= 2
     return np.minimum(out[:n], out[w - size : w - size + n]) if n > 0 else x[:0]
+
+
+def bitmap_of(positions: DataFrame, column: str, size: int) -> np.ndarray:
+    """The set of positions below `size` as bits; the driver holds size / 8 bytes at most."""
+    maps = positions.groupBy(F.expr(f"{column} div 32768").alias("bucket")).agg(F.expr(f"bitmap_construct_agg({column} % 32768)").alias("bitmap"))
+    out = np.zeros(-(-size // 32768) * 4096, np.uint8)
+    for r in maps.toLocalIterator():
+        out[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bitmap"], np.uint8)
+    return out
+
+
+def has_bit(bitmap: np.ndarray, position: np.ndarray) -> np.ndarray:
+    return (bitmap[position >> 3] >> (position & 7).astype(np.uint8)) & 1 > 0

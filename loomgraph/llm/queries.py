@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, substring, toxicity
+from . import bpe, decontaminate, similarity, substring, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (toxicity.op1_toxicity, decontaminate.op2_decontaminate, bpe.op6_bpe, substring.op10_substring_dedup)}
+    return {f.__name__: f for f in (toxicity.op1_toxicity, decontaminate.op2_decontaminate, similarity.op4_ngram_jaccard, bpe.op6_bpe, substring.op10_substring_dedup)}

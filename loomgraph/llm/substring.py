@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chunks, grams, materialize, mix, slid_min, spans_hash, text_or_empty
+from .common import Words, bitmap_of, chunks, grams, has_bit, materialize, mix, slid_min, spans_hash, text_or_empty
 
 WINDOW, GRAM, DEPTH, WIDTH, MOST_BITS, LONGEST_RUN = 50, 25, 2, 32, 30, 64
 
@@ -81,11 +81,7 @@ def repeated_cells(rows: DataFrame, window: int, gram: int) -> tuple[np.ndarray,
     bits = min(MOST_BITS, max(20, int(16 * count).bit_length()))
     cell = F.col("cell")
     position = F.shiftright(cell.bitwiseAND(F.lit((1 << WIDTH) - 1)), WIDTH - bits) + F.shiftleft(F.shiftright(cell, WIDTH), bits)
-    maps = merged.select(position.alias("position")).groupBy(F.expr("position div 32768").alias("bucket")).agg(F.expr("bitmap_construct_agg(position % 32768)").alias("bitmap"))
-    out = np.zeros(DEPTH << bits - 3, np.uint8)
-    for r in maps.toLocalIterator():
-        out[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["bitmap"], np.uint8)
-    return out, bits
+    return bitmap_of(merged.select(position.alias("position")), "position", DEPTH << bits), bits
 
 
 def _picker(shared, window: int, gram: int):
@@ -98,7 +94,7 @@ def _picker(shared, window: int, gram: int):
                 twice = np.ones(len(at), bool)
                 for d in range(DEPTH):
                     position = (cells(minimiser, d) >> np.uint64(WIDTH - bits)).astype(np.int64) + (d << bits)
-                    twice &= (bitmap[position >> 3] >> (position & 7).astype(np.uint8)) & 1 > 0
+                    twice &= has_bit(bitmap, position)
                 minimiser, at, n = minimiser[twice], at[twice], n[twice]
                 if not len(at):
                     continue
