@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality, similarity, substring, toxicity
+from . import bpe, decontaminate, quality, shuffling, similarity, substring, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (toxicity.op1_toxicity, decontaminate.op2_decontaminate, similarity.op4_ngram_jaccard, bpe.op6_bpe, quality.op7_quality, substring.op10_substring_dedup)}
+    return {f.__name__: f for f in (toxicity.op1_toxicity, decontaminate.op2_decontaminate, similarity.op4_ngram_jaccard, bpe.op6_bpe, quality.op7_quality, shuffling.op9_shuffle, substring.op10_substring_dedup)}
