@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, bitmap_of, chunks, has_bit, materialize, mix, spans_hash, text_or_empty
+from .common import Words, bitmap_of, bound_batches, chunks, has_bit, materialize, mix, spans_hash, text_or_empty
 from .components import components
 
 SHINGLE, BANDS, ROWS, STEP, THRESHOLD, TOLERANCE, BLOCK, MOST_BITS = 5, 48, 6, 24, 0.8, 1e-6, 256, 30
@@ -199,6 +199,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     class's least doc_id), copy_id (the least doc_id of its text), n_copies (rows of its text) and n_links (different
     texts of similarity >= threshold)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("node", F.unhex(F.md5("text")))
     texts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies")), "texts")
     bands = rows.select("node", "text").mapInArrow(_bander, "node binary, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
