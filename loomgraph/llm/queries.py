@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, license_scan, quality, secret_scan, shuffling, similarity, substring, toxicity
+from . import bpe, decontaminate, license_scan, ordering, quality, secret_scan, shuffling, similarity, substring, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (toxicity.op1_toxicity, decontaminate.op2_decontaminate, similarity.op4_ngram_jaccard, license_scan.op5_license_scan, bpe.op6_bpe, quality.op7_quality, secret_scan.op8_secret_scan, shuffling.op9_shuffle, substring.op10_substring_dedup)}
+    return {f.__name__: f for f in (toxicity.op1_toxicity, decontaminate.op2_decontaminate, ordering.op3_training_order, similarity.op4_ngram_jaccard, license_scan.op5_license_scan, bpe.op6_bpe, quality.op7_quality, secret_scan.op8_secret_scan, shuffling.op9_shuffle, substring.op10_substring_dedup)}
