@@ -145,7 +145,7 @@ def blocks_of(items: DataFrame, item_id: str, text: str, block_bytes: int) -> li
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, items (distinct ids, sorted as strings), runs (hit word spans)."""
+    """Per row of docs: doc_id, text_key (hash of id and text), n_words, n_hit, items (distinct ids, sorted as strings), runs (hit word spans)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("doc_id", "text"))
@@ -167,7 +167,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
         lambda a, r: F.struct((a["hit"] + F.greatest(F.lit(0).cast("long"), r["end"] - F.greatest(r["start"], a["upto"]))).alias("hit"), F.greatest(a["upto"], r["end"]).alias("upto")),
         lambda a: a["hit"],
     )
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "runs")
+    return out.select("doc_id", "text_key", "n_words", hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"), "runs")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -7,3 +7,7 @@ from . import bpe, decontaminate, license_scan, ordering, quality, secret_scan,
 
 def queries() -> dict:
     return {f.__name__: f for f in (toxicity.op1_toxicity, decontaminate.op2_decontaminate, ordering.op3_training_order, similarity.op4_ngram_jaccard, license_scan.op5_license_scan, bpe.op6_bpe, quality.op7_quality, secret_scan.op8_secret_scan, shuffling.op9_shuffle, substring.op10_substring_dedup)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

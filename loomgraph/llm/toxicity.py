@@ -161,6 +161,23 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     return rows.mapInArrow(_scorer(shared), T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())]))
 
 
+def _adder(shared, at: int):
+    def add(batches):
+        model = shared.value
+        for batch in batches:
+            scores = [model.score(t.as_py() or "") for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity"])
+
+    return add
+
+
+def with_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs, all columns, with `toxicity` (replaced if there)."""
+    docs = docs.drop("toxicity")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_adder(shared, docs.columns.index(text)), T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+
+
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
