@@ -1 +1,6 @@
-"""Spark-native knowledge-graph, retrieval and corpus operators."""
+"""Queries by name over the given tables, with their SQL twins."""
+
+from . import graph_stats  # noqa: F401
+from .catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
