@@ -1,6 +1,6 @@
 """Queries by name over the given tables, with their SQL twins."""
 
-from . import graph_stats, listings, texts  # noqa: F401
+from . import graph_stats, listings, texts, traversals  # noqa: F401
 from .catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
