@@ -177,7 +177,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         cut = [[(self.pattern.findall(part), special) for part, special in self.parts(t)] for t in texts]
-        wanted = {p for parts in cut for pieces, _ in parts for p in pieces}
+        wanted = set().union(*(pieces for parts in cut for pieces, _ in parts))
         missing = wanted.difference(self.store)
         if missing:
             if len(self.store) + len(missing) > STORE:

@@ -36,6 +36,8 @@ from .bpe import Codec, batches_of, default_tokenizer, tokenizer_spec
 from .common import bound_batches, materialize, mix, shared_dir
 
 LENGTH, ROWS_A_SHARD, ROUNDS, KEY = 2048, 1 << 14, 6, 20240611
+#: Texts, and characters of each, that train the packed table's compression dictionary, and its bytes. It changes no result.
+SAMPLE, SAMPLE_CHARS, DICTIONARY = 1_000, 20_000, 112_640
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -58,9 +60,28 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _packer(shared, length: int, end: int, kind: str):
+def id_kind(vocabulary) -> str:
+    return "<u4" if len(vocabulary.by_id) > 1 << 16 else "<u2"
+
+
+def squeezing(docs: DataFrame, text: str, spec: str, kind: str) -> bytes:
+    """A zstandard dictionary for the packed table, trained on the start of SAMPLE texts; empty if they are too few."""
+    codec = Codec.of(spec)
+    texts = [r[0] for r in docs.select(F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS)).limit(SAMPLE).collect() if r[0]]
+    ids = b"".join(np.frombuffer(i, "<u4").astype(kind).tobytes() for i in codec.encode(texts)) if texts else b""
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [ids[at : at + 512] for at in range(0, len(ids), 512)]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+def _dictionary(raw: bytes):
+    return {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
+
+
+def _packer(shared, length: int, end: int, kind: str, squeezed: bytes):
     def pack(batches):
-        codec, squeeze = Codec.of(shared.value), zstandard.ZstdCompressor(level=3).compress
+        codec, squeeze = Codec.of(shared.value), zstandard.ZstdCompressor(level=3, **_dictionary(squeezed)).compress
         part, row = TaskContext.get().partitionId(), 0
         held, held_docs, held_ends, id_type = np.zeros(0, kind), [], [], pa.int64()
 
@@ -92,7 +113,7 @@ def _packer(shared, length: int, end: int, kind: str):
     return pack
 
 
-def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", squeezed: bytes = b"") -> DataFrame:
     """part, row (place in the partition), doc_ids, n_tokens (end-of-text ids included, padding not), ids (compressed)."""
     spec = tokenizer_spec(tokenizer)
     vocabulary = Codec.of(spec).vocabulary
@@ -100,7 +121,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, doc_id: str
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     end = next(iter(vocabulary.special.values()), len(vocabulary.by_id) - 1)
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)), T.StructField("n_tokens", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-    return rows.mapInArrow(_packer(shared, length, end, "<u4" if len(vocabulary.by_id) > 1 << 16 else "<u2"), schema)
+    return rows.mapInArrow(_packer(shared, length, end, id_kind(vocabulary), squeezed), schema)
 
 
 def numbered(packed: DataFrame) -> DataFrame:
@@ -123,9 +144,9 @@ def permuted(rows: DataFrame, n: int, key: int = KEY) -> DataFrame:
     return rows.mapInArrow(_permuter(n, key), T.StructType([*rows.schema.fields, T.StructField("slot", T.LongType())]))
 
 
-def _writer(folder: str, rows_a_shard: int, n: int, stride: int):
+def _writer(folder: str, rows_a_shard: int, n: int, stride: int, squeezed: bytes):
     def write(batches):
-        (store, path), whole = fs.FileSystem.from_uri(folder), zstandard.ZstdDecompressor().decompress
+        (store, path), whole = fs.FileSystem.from_uri(folder), zstandard.ZstdDecompressor(**_dictionary(squeezed)).decompress
         shard, out, name, temporary = -1, None, "", ""
         for batch in batches:
             columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
@@ -156,16 +177,18 @@ def _writer(folder: str, rows_a_shard: int, n: int, stride: int):
 def materialise_order(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, rows_a_shard: int = ROWS_A_SHARD, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the shards as the result is evaluated; per sequence: slot, shard, at_byte, n_tokens, doc_ids, ids_crc32."""
     bound_batches(docs.sparkSession)
-    packed = materialize(sequences(docs, tokenizer, length, doc_id, text), "sequences")
+    spec = tokenizer_spec(tokenizer)
+    kind = id_kind(Codec.of(spec).vocabulary)
+    squeezed = squeezing(docs, text, spec, kind)
+    packed = materialize(sequences(docs, tokenizer, length, doc_id, text, squeezed), "sequences")
     n = packed.count()
     placed = permuted(numbered(packed), n, key).withColumn("shard", F.floor(F.col("slot") / rows_a_shard).cast("int"))
     dealt = placed.select("slot", "shard", "n_tokens", "doc_ids", "ids").repartitionById(max(1, -(-n // rows_a_shard)), F.col("shard")).sortWithinPartitions("slot")
     folder = folder if ":/" in folder else f"file://{folder}"
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    wide = len(Codec.of(tokenizer_spec(tokenizer)).vocabulary.by_id) > 1 << 16
     schema = T.StructType([T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("at_byte", T.LongType()), T.StructField("n_tokens", T.IntegerType()), packed.schema["doc_ids"], T.StructField("ids_crc32", T.LongType())])
-    return dealt.mapInArrow(_writer(folder, rows_a_shard, n, length * (4 if wide else 2)), schema)
+    return dealt.mapInArrow(_writer(folder, rows_a_shard, n, length * np.dtype(kind).itemsize, squeezed), schema)
 
 
 def op3_training_order(spark, sf_dir: str) -> DataFrame:
