@@ -71,8 +71,19 @@ def fewest_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
+def new_only(batch: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows whose first column, a text's key, is not in seen; it is added."""
+    keep = []
+    for i, node in enumerate(batch.column(0).to_pylist()):
+        if node not in seen:
+            seen.add(node)
+            keep.append(i)
+    return batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
+
+
 def _bander(batches):
-    for batch in batches:
+    seen: set = set()
+    for batch in (new_only(b, seen) for b in batches):
         for part in chunks(batch.column(1)):
             found, edges = shingles_of(Words(part, lower=False))
             has = np.flatnonzero(np.diff(edges) > 0)
@@ -82,12 +93,12 @@ def _bander(batches):
 
 def _featurer(shared):
     def features(batches):
-        bitmap = shared.value
+        bitmap, seen = shared.value, set()
         for batch in batches:
             keep = np.flatnonzero(has_bit(bitmap, batch.column(2).to_numpy()))
             if not len(keep):
                 continue
-            batch = batch.take(pa.array(keep))
+            batch = new_only(batch.take(pa.array(keep)), seen)
             for part in chunks(batch.column(1)):
                 found, edges = shingles_of(Words(part, lower=False))
                 has = np.flatnonzero(np.diff(edges) > 0)
@@ -186,8 +197,9 @@ def _linker(threshold: float, tolerance: float):
                 if now != key and held:
                     yield closed(held)
                     held = []
+                if now != key or row["node"] != held[-1]["node"]:
+                    held.append(row)
                 key = now
-                held.append(row)
         if held:
             yield closed(held)
 
@@ -202,8 +214,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     bound_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("node", F.unhex(F.md5("text")))
     texts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies")), "texts")
-    bands = rows.select("node", "text").mapInArrow(_bander, "node binary, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
-    bands = materialize(bands, "bands").select("node", F.explode("bands").alias("band"))
+    # Copies of a text come out once a task; the few that are left make the same buckets, edges and features again.
+    bands = materialize(rows.select("node", "text").mapInArrow(_bander, "node binary, bands array<long>"), "bands").select("node", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v < most").select("band", "v")
     candidates = components(bands.join(buckets, "band").filter("node != v").select(F.col("node").alias("u"), "v"))
     candidates = materialize(candidates, "candidates")
@@ -213,9 +225,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     shared = spark.sparkContext.broadcast(bitmap_of(candidates.select(position.alias("position")), "position", size))
     features = rows.select("node", "text", position.alias("position")).mapInArrow(_featurer(shared), "node binary, signature binary, shingles binary")
     placed = candidates.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    placed = placed.join(features.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles")), "node")
+    placed = placed.join(features, "node")
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "signature", "shingles")
-    met = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    met = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     links = materialize(met.mapInArrow(_linker(threshold, tolerance), "node binary, links long, root binary"), "links")
     classes = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     judged = texts.join(links.groupBy("node").agg(F.sum("links").alias("n_links")), "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("component", "node"))
