@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .bpe import batches_of
 
-WORDS, LEVEL, MIN_MATCH, BODY, OWN, SURE, PREFIXES, SAMPLE, SAMPLE_CHARS, THRESHOLD = 8, 5, 5, 12_000, 40, 1.0, (4, 5, 6), 3_000, 20_000, 0.7
+WORDS, LEVEL, MIN_MATCH, BODY, OWN, SURE, NEAR_BEST, SHARE, PREFIXES, SAMPLE, SAMPLE_CHARS, THRESHOLD = 8, 5, 5, 12_000, 40, 1.0, 0.6, 0.01, (4, 5, 6), 3_000, 20_000, 0.7
 
 
 def windows(text: str, n: int = WORDS) -> list[bytes]:
@@ -42,7 +42,7 @@ def segments(text: str) -> set[bytes]:
 
 
 def marked_segments(mine: list[str], others: list[str]) -> list[bytes]:
-    """Segments whose document frequency is surely higher in mine, best first; none begins with another."""
+    """Segments whose document frequency is surely higher in mine, and nearly as surely as the best one's; none begins with another."""
     own, other = Counter(), Counter()
     for t in mine:
         own.update(segments(t))
@@ -50,14 +50,14 @@ def marked_segments(mine: list[str], others: list[str]) -> list[bytes]:
         other.update(segments(t))
     found = []
     for w, n in own.items():
-        if n >= 5 and len(w) >= PREFIXES[0]:
+        if n >= max(3, SHARE * len(mine)) and len(w) >= PREFIXES[0]:
             a, b = n + 0.5, other[w] + 0.5
-            sure = math.log(a / (len(mine) + 1)) - math.log(b / (len(others) + 1)) - 3 * math.sqrt(1 / a + 1 / b)
+            sure = math.log(a / (len(mine) + 1)) - math.log(b / (len(others) + 1)) - 2 * math.sqrt(1 / a + 1 / b)
             if sure > SURE:
                 found.append((-sure, -len(w), w))
     chosen: list[bytes] = []
-    for _, _, w in sorted(found):
-        if len(chosen) < OWN and not any(w.startswith(c) or c.startswith(w) for c in chosen):
+    for sure, _, w in sorted(found):
+        if len(chosen) < OWN and sure <= NEAR_BEST * min(found)[0] and not any(w.startswith(c) or c.startswith(w) for c in chosen):
             chosen.append(w)
     return chosen
 
