@@ -8,7 +8,8 @@ secrets      spans of secrets are replaced by a mask; n_chars, where there is on
 tokens       texts become token ids and are decoded again: doc_id, n_tokens, ids, ids_sha256, decoded_sha256
 
 Stages keep nulls: a null or empty text is not toxic, is a copy of other empty texts, holds no window and no secret, and
-has no ids. Other columns go along. An empty table passes through.
+has no ids. Other columns go along, but for names that begin with two
+underscores. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -29,18 +30,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = similarity.near_copies(docs)
     least = F.min(F.struct(F.col("copy_id").isNull().alias("unnamed"), "copy_id", "node")).alias("least")
-    kept = found.groupBy("root").agg(least).select(F.col("least.node").alias("kept_node"), F.col("least.copy_id").alias("kept_id"))
-    rows = docs.withColumn("kept_node", F.unhex(F.md5(text_or_empty("text"))))
-    chosen = rows.join(kept, "kept_node").filter(F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return chosen.dropDuplicates(["kept_node"]).select(*docs.columns)
+    kept = found.groupBy("root").agg(least).select(F.col("least.node").alias("__kept_node"), F.col("least.copy_id").alias("__kept_id"))
+    rows = docs.withColumn("__kept_node", F.unhex(F.md5(text_or_empty("text"))))
+    chosen = rows.join(kept, "__kept_node").filter(F.col("doc_id").eqNullSafe(F.col("__kept_id")))
+    return chosen.dropDuplicates(["__kept_node"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"), "text_key").distinct()
-    rows = docs.withColumn("hit_key", F.xxhash64("doc_id", text_or_empty("text")))
-    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("hit_key") == F.col("text_key")), "left_anti").select(*docs.columns)
+    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key")).distinct()
+    rows = docs.withColumn("__row_key", F.xxhash64("doc_id", text_or_empty("text")))
+    return rows.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit_id")) & (F.col("__row_key") == F.col("__hit_key")), "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,56 @@ def repeats(docs, window=50):
         kept = [w for i, w in enumerate(words) if i not in gone]
         out.append((doc, len(words), len(gone), " ".join(kept)))
     return out
+
+
+def shingle_set(text, k=5):
+    words = space_words(text)
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def links(texts, threshold=0.8):
+    """Pairs of different texts of Jaccard similarity >= threshold."""
+    sets = [(t, shingle_set(t)) for t in dict.fromkeys(texts)]
+    out = set()
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x and y and len(x & y) >= threshold * len(x | y) - 1e-9:
+                out.add(frozenset((a, b)))
+    return out
+
+
+ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base_secrets(text):
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+
+def quality_counts(text):
+    from collections import Counter
+
+    text = text or ""
+    words = space_words(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if space_words(line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    cover = set()
+    for i in range(len(words) - 7):
+        if windows[tuple(words[i : i + 8])] > 1:
+            cover.update(range(i, i + 8))
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cover), len(words) < 20 or 100 * len(cover) > 30 * len(words)
+
+
+def license_places(text):
+    words = lower_words(text)
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    found = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+    at = [i for i, _ in found]
+    return len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({label for _, label in found}))

@@ -1,0 +1,238 @@
+"""Every operator on nulls, empty and very long texts, ties, repeated rows, clashing columns and an empty table."""
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from loomgraph.llm import bpe, common, decontaminate, license_scan, ordering, quality, secret_scan, shuffling, similarity, substring, toxicity
+
+from . import brute
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def pairs(rows):
+    return [(r[0], r[1]) for r in rows]
+
+
+@pytest.mark.parametrize("block_bytes", [32 << 20, 300])
+def test_decontaminate(spark, edges, edge_rows, empty, block_bytes):
+    words = edge_rows[5][1].split()
+    items = [(1, " ".join(words[20:45])), (2, "one"), (None, "two words"), (4, None), (5, ""), (6, "no such words here at all"), (7, " ".join(words[20:45])), (8, "TWO, words!")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_contamination(edges, table, block_bytes=block_bytes)
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), brute.sha(",".join(r["items"])), r["n_hit"] > 0) for r in found.collect())
+    assert got == Counter(brute.decontaminate(pairs(edge_rows), items))
+    assert decontaminate.find_contamination(empty, table).count() == 0
+    assert decontaminate.find_contamination(edges, table.filter("false")).filter("n_hit > 0").count() == 0
+
+
+def test_substring(edges, edge_rows, empty):
+    got = rows_of(substring.remove_repeats(edges))
+    assert got == Counter(brute.repeats(pairs(edge_rows)))
+    assert substring.remove_repeats(empty).count() == 0
+
+
+def test_near_copies(edges, edge_rows, empty):
+    linked = brute.links([t or "" for _, t in pairs(edge_rows)])
+    got = similarity.near_copies(edges).collect()
+    assert len(got) == len(edge_rows)
+    wanted = Counter((i, sum((t or "") in link for link in linked), sum((u or "") == (t or "") for _, u in pairs(edge_rows))) for i, t in pairs(edge_rows))
+    assert Counter((r["doc_id"], r["n_links"], r["n_copies"]) for r in got) == wanted
+    assert {r["class_id"] for r in got if r["doc_id"] in (5, 6, 7)} == {5}
+    assert similarity.near_copies(empty).count() == 0
+
+
+def test_near_copies_small_blocks(spark):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*words[:n], f"x{n}", *words[n + 1 :]]) for n in range(20, 100)]
+    rows = list(enumerate(texts))
+    got = similarity.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()
+    linked = brute.links(texts)
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: sum(t in link for link in linked) for i, t in rows}
+    assert {r["class_id"] for r in got} == {0}
+
+
+def test_pruning_keeps_what_reaches_the_threshold():
+    least = similarity.fewest_matches(0.8, 1e-6)
+    assert all(m < 0.8 * n for n, m in least.items()) and list(least.values()) == sorted(least.values())
+
+
+def test_toxicity(spark, edges, edge_rows, empty):
+    calm = [f"the {a} walks by the {b} and then it goes home with the {c}" for a in ("dog", "cat", "bird", "man") for b in ("tree", "lake", "hill") for c in ("ball", "bone", "book", *(f"thing{i}" for i in range(20)))]
+    rude = [t.replace("walks", "awfulword stinks") for t in calm]
+    model = toxicity.Model(rude, calm)
+    assert model.score(rude[0]) > 0.7 > 0.3 > model.score(calm[0])
+    got = toxicity.score_toxicity(edges, model).collect()
+    assert len(got) == len(edge_rows) and all(0 <= r["score"] <= 1 for r in got)
+    kept = toxicity.with_toxicity(edges, model)
+    assert kept.count() == len(edge_rows) and kept.columns.count("toxicity") == 1
+    assert toxicity.score_toxicity(empty, model).count() == 0
+    assert toxicity.Model([], calm).score("anything") == 0.0
+    labelled = spark.createDataFrame([(t, 1) for t in rude] + [(t, 0) for t in calm] + [(None, 1), ("x", None)], "text string, toxic int")
+    assert toxicity.fit(labelled).score(rude[3]) > 0.7
+
+
+def test_toxicity_held_out(spark):
+    from tests.conftest import SF
+
+    sf = SF.replace("sf0.001", "sf0.01")
+    scored = toxicity.op1_toxicity(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    held = scored.filter("held_out").join(labels, "doc_id").collect()
+    y, s = np.array([r["toxic"] for r in held]), np.array([r["score"] for r in held])
+    ahead = (s[y == 1][:, None] > s[y == 0]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0]).mean()
+    assert ahead > 0.7
+    assert scored.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_bpe(edges, edge_rows, empty):
+    path = bpe.default_tokenizer()
+    library = Tokenizer.from_file(path)
+    got = Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in bpe.encode_decode(edges, path).collect())
+    wanted = Counter()
+    for i, t in pairs(edge_rows):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        wanted[(i, len(ids), np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False))] += 1
+    assert got == wanted
+    assert bpe.encode_decode(empty, path).count() == 0
+
+
+_codec = bpe.Codec.of(bpe.tokenizer_spec(bpe.default_tokenizer()))
+_library = Tokenizer.from_file(bpe.default_tokenizer())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("abels \n\t'."), st.characters(codec="utf-8")), max_size=60))
+def test_bpe_any_text(text):
+    (ids,) = _codec.encode([text])
+    assert list(np.frombuffer(ids, "<u4")) == _library.encode(text, add_special_tokens=False).ids
+    assert _codec.decode(ids) == text
+
+
+def test_quality(edges, edge_rows, empty):
+    got = quality.judge_quality(edges)
+    counted = Counter(tuple(r)[:7] for r in got.collect())
+    wanted = Counter()
+    for i, t in pairs(edge_rows):
+        n, chars, symbols, dup, again, failed = brute.quality_counts(t)
+        wanted[(i, n, chars, symbols, dup, again, failed)] += 1
+    assert counted == wanted
+    assert all(not r["kept"] for r in got.collect() if r["base_failed"])
+    assert quality.judge_quality(empty).count() == 0
+
+
+def test_quality_distance_tells_junk(spark):
+    prose = ["the man and the dog went to the hill with a ball and a book on the day they met by the lake " * 2 + f"word{i} story{i} about thing{i} " * 8 for i in range(40)]
+    junk = " ".join(f"{w}$$$ #{w}%%" for w in (f"q{i}zx" for i in range(80)))
+    rows = [(i, t, "en") for i, t in enumerate([*prose, junk])]
+    got = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[40]["class_distance"] > quality.CHAR_LIMIT > got[0]["class_distance"] and not got[40]["kept"]
+
+
+def test_secrets(spark, edges, edge_rows, empty):
+    model = secret_scan.learn(secret_scan.with_base(edges, "doc_id", "text"))
+    got = secret_scan.scan_secrets(edges, model).select("doc_id", secret_scan.listed(*secret_scan.KINDS).alias("base"))
+    assert rows_of(got) == Counter((i, brute.base_secrets(t)) for i, t in pairs(edge_rows))
+    assert secret_scan.scan_secrets(empty).count() == 0
+    masked = secret_scan.scan_secrets(edges, model).filter("doc_id = 14").select(secret_scan.redact().alias("t")).first()["t"]
+    assert "AKIA" not in masked and "hunter22x" not in masked and masked.count("[SECRET]") == 3
+
+
+def test_markov_models(spark):
+    rng = np.random.default_rng(1)
+    digits = "0123456789abcdef"
+    random = ["".join(rng.choice(list(digits), 32)) for _ in range(300)]
+    words = ["customer_account_number", "documentation", "configuration", "temperature", "international", "understanding"]
+    rows = [(i, f"{words[i % 6]}_{words[i % 5]} and {words[i % 4]} secret={r}") for i, r in enumerate(random)] + [(1000 + i, " ".join(words)) for i in range(40)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secret_scan.learn(secret_scan.with_base(plain, "doc_id", "text"))
+    asked = [(1, "key 9F3b71C0a4e8D265b1c9 here"), (2, "internationalCustomerAccount2 here")]
+    found = secret_scan.scan_secrets(spark.createDataFrame(asked, "doc_id long, text string"), model).select("doc_id", "random").collect()
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["random"]] for r in found}
+    assert spans == {1: [(4, 24)], 2: []}
+
+
+def test_licenses(edges, edge_rows, empty, spark):
+    found = license_scan.scan_licenses(edges).collect()
+    got = Counter((r["doc_id"], r["n_words"], len(r["base"]), min((b["at"] for b in r["base"]), default=None), max((b["at"] for b in r["base"]), default=None), ",".join(sorted({b["label"] for b in r["base"]}))) for r in found)
+    assert got == Counter((i, *brute.license_places(t)) for i, t in pairs(edge_rows))
+    labels = {r["doc_id"]: {m["label"] for m in r["matches"]} for r in found}
+    assert labels[15] == {"mit", "cc-by-nc"} and labels[17] == {"gpl"} and labels[5] == set()
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
+def test_license_join_is_exact(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = sorted(frozenset().union(*(license_scan.words_in(n) for _, n in license_scan.TEMPLATES)))
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(3, 40)))) for i in range(300)]
+    got = {r["doc_id"]: {lab for m in r["matches"] for lab in m["labels"]} for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [(label, license_scan.words_in(notice)) for label, notice in license_scan.TEMPLATES]
+    assert got == {i: {label for label, t in sets if len(t & set(text.split())) >= 0.8 * len(t) - 1e-9} for i, text in rows}
+
+
+def test_shuffle(edges, edge_rows, empty):
+    got = shuffling.external_shuffle(edges, shards=4, bucket_bytes=50_000)
+    rows = got.collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"]) for r in rows) == Counter((r[0], r[1], r[2]) for r in edge_rows)
+    sizes = Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
+    assert shuffling.external_shuffle(empty).count() == 0
+    again = shuffling.external_shuffle(edges.repartition(7), shards=4, bucket_bytes=50_000).collect()
+    assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in again) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in rows)
+
+
+def test_training_order(edges, edge_rows, empty, tmp_path):
+    path = bpe.default_tokenizer()
+    made = lambda folder: ordering.materialise_order(edges, str(folder), path, length=64, rows_a_shard=100).orderBy("slot").collect()
+    rows = made(tmp_path / "a")
+    assert [r["slot"] for r in rows] == list(range(len(rows)))
+    stride, text = 128, Counter()
+    for r in rows:
+        with open(tmp_path / "a" / f"shard-{r['shard']:08d}.bin", "rb") as f:
+            f.seek(r["at_byte"])
+            ids = np.frombuffer(f.read(stride), "<u2")
+        text.update(ids[: r["n_tokens"]].tolist())
+    wanted = Counter()
+    for _, t in pairs(edge_rows):
+        wanted.update([*_library.encode(t or "", add_special_tokens=False).ids, 50256])
+    assert text == wanted
+    before = {p.name: p.read_bytes() for p in (tmp_path / "a").iterdir()}
+    made(tmp_path / "a")
+    assert {p.name: p.read_bytes() for p in (tmp_path / "a").iterdir()} == before
+    assert ordering.materialise_order(empty, str(tmp_path / "b"), path).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
+def test_feistel_is_a_permutation(n):
+    assert sorted(ordering.feistel(np.arange(n), n)) == list(range(n))
+
+
+def test_components(spark):
+    from loomgraph.llm.components import components
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_words_match_their_patterns():
+    for text in ["Hello, the World", "", None, "  a b\n", "Éa-b\x0bq　z"]:
+        for lower, want in ((True, brute.lower_words(text)), (False, brute.space_words(text))):
+            (part,) = common.chunks(pa.array([text], pa.string()))
+            words = common.Words(part, lower)
+            assert [bytes(words.data[a:b]).decode() for a, b in zip(words.starts, words.ends, strict=True)] == want
+
+
+def test_hash_of_ids_is_little_endian():
+    (ids,) = _codec.encode(["hello world"])
+    assert hashlib.sha256(ids).hexdigest() == hashlib.sha256(np.array(_library.encode("hello world").ids, "<u4").tobytes()).hexdigest()
