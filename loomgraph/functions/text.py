@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Sentence marks at which a chunk may end, and the characters that cleaning keeps besides words and spaces.
 SENTENCE_MARKS = "[。！？.!?\\n]"
@@ -88,7 +89,7 @@ def relation_name(name: Column) -> Column:
     return F.lower(F.trim(name))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of lower-cased names; 0 if one is empty. For blocked pairs only."""
     return pd.Series([difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
