@@ -9,5 +9,27 @@ def queries() -> dict:
     return {f.__name__: f for f in (toxicity.op1_toxicity, decontaminate.op2_decontaminate, ordering.op3_training_order, similarity.op4_ngram_jaccard, license_scan.op5_license_scan, bpe.op6_bpe, quality.op7_quality, secret_scan.op8_secret_scan, shuffling.op9_shuffle, substring.op10_substring_dedup)}
 
 
+_LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+DECONTAMINATE_SQL = f"""WITH d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark),
+bw AS (SELECT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS k FROM (SELECT *, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i FROM b WHERE len(w) > 0) z),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM (SELECT *, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw) l WHERE len(w) >= n) z),
+h AS (SELECT doc_id, i, n, item_id FROM dw JOIN bw USING (n, k)),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS j FROM h) z GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS STRING) AS item FROM h) z GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+SUBSTRING_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 49], ' ')) AS k FROM (SELECT *, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50) z),
+f AS (SELECT k, min(doc_id) AS source FROM p GROUP BY k),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS j FROM p JOIN f USING (k) WHERE source < doc_id),
+r AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY doc_id),
+v AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d) z ANTI JOIN g USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN v USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express; the others are tested against plain Python in tests/llm."""
+    return {"op2_decontaminate": DECONTAMINATE_SQL, "op10_substring_dedup": SUBSTRING_SQL}
