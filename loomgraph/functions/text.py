@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Sentence marks at which a chunk may end, and the characters that cleaning keeps besides words and spaces.
-SENTENCE_MARKS = "[。！？.!?\\n]"
+#: Sentence marks, endings of key terms, and the characters that cleaning keeps besides words and spaces.
+SENTENCE_MARKS = "[.!?。！？]"
+KEY_TERM = "([一-龥]{2,8}(?:技术|系统|方法|功能|模块|服务|组件))"
 KEPT = ".,!?;:'\"()\\-"
 
 
@@ -41,7 +42,7 @@ def fixed_chunks(text: Column, size: int = 512, rate: float = 0.1, reach: int =
     """array<struct<position, content, start_offset, end_offset>> of about `size` characters.
 
     A chunk's end moves to just after the first sentence mark within `reach` characters; the next one starts
-    floor(size * rate) characters before that. Blank chunks are left out but keep their position."""
+    floor(size * rate) characters before that. Contents are trimmed; blank chunks are left out and have no position."""
     overlap = int(size * rate)
     steps = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / (size - overlap)).cast("int"), F.lit(1)))
     kind = "array<struct<position:int,content:string,start_offset:int,end_offset:int>>"
@@ -52,12 +53,13 @@ def fixed_chunks(text: Column, size: int = 512, rate: float = 0.1, reach: int =
         ahead = F.substring(text, plain + 1, F.lit(reach))
         mark = F.regexp_instr(ahead, F.lit(SENTENCE_MARKS))
         end = F.when((plain < F.length(text)) & (mark > 0), plain + mark).otherwise(plain)
-        content = F.substring(text, start + 1, end - start)
+        content = F.regexp_replace(F.substring(text, start + 1, end - start), r"(?U)^\s+|\s+\z", "")
         chunk = F.struct(n.alias("position"), content.alias("content"), start.alias("start_offset"), end.alias("end_offset"))
         return F.when(start >= F.length(text), held).otherwise(F.struct((end - overlap).alias("at"), F.concat(held["out"], F.array(chunk)).alias("out")))
 
     walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda held: held["out"])
-    return F.filter(walked, lambda c: F.trim(c["content"]) != "")
+    kept = F.filter(walked, lambda c: c["content"] != "")
+    return F.transform(kept, lambda c, i: F.struct(i.alias("position"), c["content"].alias("content"), c["start_offset"].alias("start_offset"), c["end_offset"].alias("end_offset")))
 
 
 def semantic_chunks(text: Column, most: int = 1000, least: int = 100) -> Column:
@@ -164,12 +166,13 @@ def invalid_references(answer: Column, sources: Column) -> Column:
 
 
 def annotate(answer: Column, sources: Column) -> Column:
-    """Valid citations stay. An answer without any gets [i] after the first phrase (10 characters or more) of source i."""
+    """Valid citations stay. An answer without any gets [i] after the first sentence (10 characters or more) or key term of source i."""
     bad = invalid_references(answer, F.size(sources))
     cleaned = F.aggregate(bad, answer, lambda text, n: F.replace(text, F.concat(F.lit("["), n.cast("string"), F.lit("]")), F.lit("")))
 
     def mark(held: Column, source: Column) -> Column:
-        phrases = F.filter(F.transform(F.split(source, "[,.;!?。，；！？\\n]"), lambda p: F.trim(p)), lambda p: (F.length(p) >= 10) & held["text"].contains(p))
+        sentences = F.filter(F.transform(F.split(source, SENTENCE_MARKS), lambda p: F.trim(p)), lambda p: F.length(p) >= 10)
+        phrases = F.filter(F.concat(sentences, F.regexp_extract_all(source, F.lit(KEY_TERM), F.lit(1))), lambda p: held["text"].contains(p))
         first = F.element_at(phrases, 1)
         at = F.instr(held["text"], first)
         end = at + F.length(first) - 1

@@ -166,9 +166,15 @@ def last_messages(turns: DataFrame, n: int = 5) -> DataFrame:
 
 
 def graph_context(entities: Column, relations: Column, paths: Column) -> Column:
-    """Lines for at most 10 entities (descriptions of 100 characters), 10 relations and 3 paths."""
-    lines = lambda head, rows, n, f: F.when(F.size(rows) > 0, F.concat(F.lit(head + "\n"), F.array_join(F.transform(F.slice(rows, 1, n), f), "\n")))
-    return F.concat_ws("\n", lines("Entities:", entities, 10, lambda e: F.concat(F.lit("- "), e["name"], F.lit(" ("), e["type"], F.lit("): "), F.substring(F.coalesce(e["description"], F.lit("")), 1, 100))), lines("Relations:", relations, 10, lambda r: F.concat(F.lit("- "), r["head"], F.lit(" -> "), r["type"], F.lit(" -> "), r["tail"])), lines("Paths:", paths, 3, lambda p: F.concat(F.lit("- "), F.array_join(p, " -> "))))
+    """Lines for at most 10 entities (descriptions of 100 characters), 10 relations and 3 paths; fixed line formats."""
+
+    def part(head: str, rows: Column, most: int, line) -> Column:
+        return F.when(F.size(rows) > 0, F.concat(F.lit(f"【{head}】\n"), F.array_join(F.transform(F.slice(rows, 1, most), line), "\n")))
+
+    entity = part("相关实体", entities, 10, lambda e: F.concat(F.lit("  - "), e["name"], F.lit("（"), e["type"], F.lit("）: "), F.substring(F.coalesce(e["description"], F.lit("")), 1, 100)))
+    relation = part("相关关系", relations, 10, lambda r: F.concat(F.lit("  - "), r["head"], F.lit(" --["), r["type"], F.lit("]--> "), r["tail"]))
+    path = part("证据路径", paths, 3, lambda p: F.concat(F.lit("  - "), F.array_join(p, " -> ")))
+    return F.concat_ws("\n\n", entity, relation, path)
 
 
 def context(hits: DataFrame, history: DataFrame | None = None, budget: int = 4000, cut: int = 500) -> DataFrame:

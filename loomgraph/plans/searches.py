@@ -87,7 +87,7 @@ def contexts(spark, d):
 
 
 query("ret_09_context", _RRF + ", x AS (SELECT query_id, rank, doc_id, concat('[', CAST(rank AS STRING), '] ', substring(text, 1, 500)) AS block FROM hy JOIN documents USING (doc_id)), t AS (SELECT *, floor(length(block) / 2) AS tokens, 1500 - coalesce(sum(floor(length(block) / 2)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM x), u AS (SELECT *, coalesce(max(CASE WHEN tokens <= lft THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broken FROM t) SELECT query_id, string_agg(substring(block, 1, CAST(2 * least(tokens, lft) + 1 AS BIGINT)), concat(chr(10), chr(10)) ORDER BY rank) AS context, string_agg(CAST(doc_id AS STRING), ',' ORDER BY rank) AS sources FROM u WHERE broken = 0 AND (tokens <= lft OR lft > 50) GROUP BY query_id")(lambda spark, d: contexts(spark, d).select("query_id", "context", F.array_join(c("sources").cast("array<string>"), ",").alias("sources")))
-query("ret_10_graph_context", f"{GRAPH_SQL}, o AS (SELECT src, dst, type, row_number() OVER (PARTITION BY src ORDER BY id) AS nth FROM r WHERE src LIKE 'O%') SELECT src AS id, concat('Relations:', chr(10), string_agg(concat('- ', src, ' -> ', type, ' -> ', dst), chr(10) ORDER BY nth)) AS context FROM o WHERE nth <= 10 GROUP BY src")(lambda spark, d: graph_contexts(spark, d))
+query("ret_10_graph_context", f"{GRAPH_SQL}, o AS (SELECT src, dst, type, row_number() OVER (PARTITION BY src ORDER BY id) AS nth FROM r WHERE src LIKE 'O%') SELECT src AS id, concat('【相关关系】', chr(10), string_agg(concat('  - ', src, ' --[', type, ']--> ', dst), chr(10) ORDER BY nth)) AS context FROM o WHERE nth <= 10 GROUP BY src")(lambda spark, d: graph_contexts(spark, d))
 
 
 def graph_contexts(spark, d):

@@ -22,9 +22,9 @@ _MD = "concat('---', chr(10), 'title: t', CAST(doc_id AS STRING), chr(10), 'lang
 query("txt_03_markdown", f"SELECT doc_id, concat('t', CAST(doc_id AS STRING)) AS title, lang, CASE WHEN trim(split_part(text, chr(10), 1)) = '' THEN 'second' ELSE trim(split_part(text, chr(10), 1)) END AS heading, CASE WHEN trim(split_part(text, chr(10), 1)) = '' THEN 1 ELSE 2 END AS n FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", tx.markdown(F.concat(F.lit("---\ntitle: t"), c("doc_id").cast("string"), F.lit("\nlang: "), c("lang"), F.lit("\n---\n# "), F.substring_index("text", "\n", 1), F.lit("\nrest\n## second"))).alias("m")).select("doc_id", c("m.metadata")["title"].alias("title"), c("m.metadata")["lang"].alias("lang"), c("m.headings")[0]["text"].alias("heading"), F.size("m.headings").alias("n")))
 query("txt_04_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", F.sha2("text", 256).alias("hash")))
 _CHUNKS = r"""WITH RECURSIVE w AS (
- SELECT doc_id, text, 0 AS position, 0 AS s, CASE WHEN 512 < length(text) AND regexp_matches(substring(text, 513, 50), '[。！？.!?\n]') THEN 512 + length(regexp_extract(substring(text, 513, 50), '^[^。！？.!?\n]*')) + 1 ELSE 512 END AS e FROM documents WHERE length(text) > 0
- UNION ALL SELECT doc_id, text, position + 1, e - 51, CASE WHEN e - 51 + 512 < length(text) AND regexp_matches(substring(text, e - 51 + 513, 50), '[。！？.!?\n]') THEN e - 51 + 512 + length(regexp_extract(substring(text, e - 51 + 513, 50), '^[^。！？.!?\n]*')) + 1 ELSE e - 51 + 512 END FROM w WHERE e - 51 < length(text))"""
-query("txt_05_fixed_chunks", _CHUNKS + " SELECT doc_id, position, substring(text, s + 1, e - s) AS content, CAST(s AS INT) AS start_offset, CAST(e AS INT) AS end_offset FROM w WHERE trim(substring(text, s + 1, e - s)) <> ''")(lambda spark, d: docs(spark, d).select("doc_id", F.inline(tx.fixed_chunks(c("text")))))
+ SELECT doc_id, text, 0 AS position, 0 AS s, CASE WHEN 512 < length(text) AND regexp_matches(substring(text, 513, 50), '[.!?。！？]') THEN 512 + length(regexp_extract(substring(text, 513, 50), '^[^.!?。！？]*')) + 1 ELSE 512 END AS e FROM documents WHERE length(text) > 0
+ UNION ALL SELECT doc_id, text, position + 1, e - 51, CASE WHEN e - 51 + 512 < length(text) AND regexp_matches(substring(text, e - 51 + 513, 50), '[.!?。！？]') THEN e - 51 + 512 + length(regexp_extract(substring(text, e - 51 + 513, 50), '^[^.!?。！？]*')) + 1 ELSE e - 51 + 512 END FROM w WHERE e - 51 < length(text))"""
+query("txt_05_fixed_chunks", _CHUNKS + r" SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1 AS INT) AS position, content, CAST(s AS INT) AS start_offset, CAST(e AS INT) AS end_offset FROM (SELECT *, regexp_replace(substring(text, s + 1, e - s), '^\s+|\s+$', '', 'g') AS content FROM w) z WHERE content <> ''")(lambda spark, d: docs(spark, d).select("doc_id", F.inline(tx.fixed_chunks(c("text")))))
 _SEM = r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
 w AS (SELECT doc_id, ps, 0 AS i, '' AS now, CAST([] AS VARCHAR[]) AS done FROM p
  UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN length(now) + length(ps[i + 1]) + 2 <= 1000 THEN CASE WHEN now = '' THEN ps[i + 1] ELSE concat(now, chr(10), chr(10), ps[i + 1]) END ELSE ps[i + 1] END,

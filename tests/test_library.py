@@ -71,7 +71,7 @@ def test_text_rules(spark):
         tx.normalize(F.lit("a\r\n\r\n\r\n\r\nb\r ")).alias("normal"),
         tx.markdown(F.lit("---\ntitle: T: x\n---\n# A\ntext\n## B")).alias("md"),
         tx.references(F.lit("x [1] y [12]")).alias("refs"),
-        tx.annotate(F.lit("The quick brown fox jumps"), F.array(F.lit("quick brown fox, no"))).alias("noted"),
+        tx.annotate(F.lit("The quick brown fox jumps"), F.array(F.lit("quick brown fox. no"))).alias("noted"),
     ).first()
     assert row["clean"] == "多余 空格" and row["normal"] == "a\n\nb" and row["refs"] == [1, 12]
     assert row["md"]["metadata"] == {"title": "T: x"} and [h["level"] for h in row["md"]["headings"]] == [1, 2]
