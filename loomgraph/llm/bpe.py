@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries that each of a worker's stores keeps encoded; a store is emptied when full.
-STORE = 500_000
+#: Pieces that a worker keeps encoded; the store is emptied when full.
+STORE = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -153,17 +153,10 @@ _loaded: dict[str, tuple] = {}
 
 
 class Codec:
-    """A vocabulary with a worker's stores of encoded words and pieces.
-
-    Where a text has no two white-space characters in a row, every single space starts a piece and every line break is
-    one, so the text is cut at these first and whole words are looked up; other texts are cut by the pattern alone."""
+    """A vocabulary with a worker's store of encoded pieces."""
 
     def __init__(self, spec: str):
-        self.vocabulary, self.pattern, self.double = Vocabulary(spec), regex.compile(PATTERN), regex.compile(r"\s\s")
-        #: Encoded pieces, line-initial words, and words after a space.
-        self.pieces: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.vocabulary, self.store, self.pattern = Vocabulary(spec), {}, regex.compile(PATTERN)
 
     @staticmethod
     def of(spec: str) -> Codec:
@@ -181,57 +174,22 @@ class Codec:
             at = m.end()
         yield text[at:] if at else text, None
 
-    def learn(self, wanted: set[str], store: dict[str, bytes], before: str = "") -> None:
-        """Encode what is wanted and not in the store (with `before` in front)."""
-        missing = wanted.difference(store)
-        if not missing:
-            return
-        if len(store) + len(missing) > STORE:
-            store.clear()
-            missing = wanted
-        cut = {w: self.pattern.findall(before + w) for w in missing}
-        ordered = sorted({p.encode() for pieces in cut.values() for p in pieces})
-        encoded = dict(zip((p.decode() for p in ordered), self.vocabulary.encode_pieces(ordered), strict=True))
-        store.update((w, b"".join(map(encoded.__getitem__, pieces))) for w, pieces in cut.items())
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        cut, wanted, first, spaced = [], [], set(), []
-        for t in texts:
-            for part, special in self.parts(t):
-                if self.double.search(part):
-                    lines = None
-                    pieces = self.pattern.findall(part)
-                    wanted.append(pieces)
-                else:
-                    lines = [line.split(" ") for line in part.split("\n")]
-                    pieces = None
-                    first.update(words[0] for words in lines)
-                    spaced += [words[1:] for words in lines]
-                cut.append((lines, pieces, special))
-            cut.append(None)
-        self.learn(set().union(*wanted), self.pieces)
-        self.learn(first | {"\n"}, self.first)
-        self.learn(set().union(*spaced), self.spaced, " ")
-        piece, initial, inner, line_break = self.pieces.__getitem__, self.first, self.spaced.__getitem__, self.first["\n"]
-        out, ids = [], []
-        rest = iter(spaced)
-        for entry in cut:
-            if entry is None:
-                out.append(b"".join(ids))
-                ids = []
-                continue
-            lines, pieces, special = entry
-            if lines is None:
-                ids += map(piece, pieces)
-            else:
-                for n, words in enumerate(lines):
-                    if n:
-                        ids.append(line_break)
-                    ids.append(initial[words[0]])
-                    ids += map(inner, next(rest))
-            if special is not None:
-                ids.append(special.to_bytes(4, "little"))
+        cut = [[(self.pattern.findall(part), special) for part, special in self.parts(t)] for t in texts]
+        wanted = set().union(*(pieces for parts in cut for pieces, _ in parts))
+        missing = wanted.difference(self.store)
+        if missing:
+            if len(self.store) + len(missing) > STORE:
+                self.store.clear()
+                missing = wanted
+            ordered = sorted(missing)
+            encoded = sorted(p.encode() for p in ordered)
+            self.store.update(zip((e.decode() for e in encoded), self.vocabulary.encode_pieces(encoded), strict=True))
+        get, out = self.store.__getitem__, []
+        for parts in cut:
+            ids = [b"".join(map(get, pieces)) + (b"" if special is None else special.to_bytes(4, "little")) for pieces, special in parts]
+            out.append(ids[0] if len(ids) == 1 else b"".join(ids))
         return out
 
     def decode(self, ids: bytes) -> str:
