@@ -1,8 +1,9 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in SQL functions only.
 
-A text's lines are cut into blocks of BLOCK words, each starting BLOCK / 2 words after the one before, so that any run
-of BLOCK / 2 words lies in one block. A block matches a template if it holds at least CONTAINMENT of the template's
-different words, o of n. The templates' words are ordered by the number of documents that have them, rarest first. By
+A text's lines, and the text as a whole (line breaks as blanks, for notices wrapped over lines), are cut into blocks of
+BLOCK words, each starting BLOCK / 2 words after the one before, so that any run of BLOCK / 2 words lies in one block;
+blocks are larger where a template has more than BLOCK / 2 words. A block matches a template if it holds at least
+CONTAINMENT of the template's different words, o of n; op5 reports the labels of all templates that a block matches. The templates' words are ordered by the number of documents that have them, rarest first. By
 that order a matching block has one of a template's first n - o + 1 words (prefix filter), has at least o words of the
 templates' (length filter), and from its first word in common with the template on, both have enough words left
 (positional filter). What passes is verified by counting the common words.
@@ -60,24 +61,30 @@ def spaced(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), _SEPARATORS, " ")
 
 
+def running_words(notice: str) -> list[str]:
+    return [w for w in re.split(_SEPARATORS, notice.translate(str.maketrans(_UPPER, _LOWER))) if w]
+
+
 def words_in(notice: str) -> frozenset[str]:
-    return frozenset(w for w in re.split(_SEPARATORS, notice.translate(str.maketrans(_UPPER, _LOWER))) if w)
+    return frozenset(running_words(notice))
 
 
 def literals(words: list[str]) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
 
-def cut(words: Column) -> Column:
-    """A line's blocks of BLOCK words, half of it apart."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - BLOCK // 2, F.lit(1)), F.lit(BLOCK // 2))
-    return F.when(F.size(words) <= BLOCK, F.array(words)).otherwise(F.transform(starts, lambda at: F.slice(words, at, BLOCK)))
+def cut(words: Column, half: int) -> Column:
+    """The blocks of 2 * half words of a line or text, half of it apart."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - half, F.lit(1)), F.lit(half))
+    return F.when(F.size(words) <= 2 * half, F.array(words)).otherwise(F.transform(starts, lambda at: F.slice(words, at, 2 * half)))
 
 
-def blocks_of(text: Column) -> Column:
-    """The lines' blocks: arrays of words, A-Z lower-cased."""
-    lines = F.split(F.translate(text, _UPPER, _LOWER), "\n")
-    return F.flatten(F.transform(lines, lambda line: cut(F.split(F.trim(spaced(line)), " "))))
+def blocks_of(text: Column, half: int = BLOCK // 2) -> Column:
+    """The blocks of each line, then, if there are more lines than one, those of the whole text: arrays of words, A-Z lower-cased."""
+    lower = F.translate(text, _UPPER, _LOWER)
+    blocks_in = lambda part: cut(F.split(F.trim(spaced(part)), " "), half)
+    lines = F.flatten(F.transform(F.split(lower, "\n"), blocks_in))
+    return F.when(F.contains(text, F.lit("\n")), F.concat(lines, blocks_in(lower))).otherwise(lines)
 
 
 def phrase_places(phrase: str, label: str) -> Column:
@@ -107,7 +114,7 @@ def prefix_table(templates: list[tuple[str, frozenset[str]]], order: list[str],
     return out
 
 
-def matched_blocks(rows: DataFrame, templates: list[tuple[str, frozenset[str]]], containment: float) -> DataFrame:
+def matched_blocks(rows: DataFrame, templates: list[tuple[str, frozenset[str]]], containment: float, half: int = BLOCK // 2) -> DataFrame:
     """doc_id, text_key, block_no, label, share and number of common words of every block and template that match."""
     order = frequency_order(rows, sorted(frozenset().union(*(w for _, w in templates))))
     table = prefix_table(templates, order, containment)
@@ -115,7 +122,7 @@ def matched_blocks(rows: DataFrame, templates: list[tuple[str, frozenset[str]]],
     may_match = lambda words: (F.size(words) >= fewest) & F.arrays_overlap(words, heads)
     # A document's own template words bound those of its blocks: few documents are cut up at all.
     hopeful = rows.filter(may_match(F.array_intersect(known, F.split(F.lower("spaced"), " "))))
-    shrunk = F.filter(F.transform(blocks_of(F.col("text")), lambda b: F.array_intersect(known, b)), may_match)
+    shrunk = F.filter(F.transform(blocks_of(F.col("text"), half), lambda b: F.array_intersect(known, b)), may_match)
     blocks = hopeful.select("doc_id", "text_key", F.posexplode(shrunk).alias("block_no", "block"))
     tokens = blocks.select("*", F.posexplode("block").alias("q", "word"))
     prefixes = rows.sparkSession.createDataFrame(table, "word string, p int, template int, label string, words array<string>, least int")
@@ -134,8 +141,10 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     n_words = F.greatest(F.length("spaced") - F.length(F.replace("spaced", F.lit(" "))) - 1, F.lit(0)).cast("long")
     base = F.flatten(F.array_compact(F.array(*(phrase_places(phrase, label) for phrase, label in PHRASES.items()))))
     counted = rows.select("doc_id", "text_key", n_words.alias("n_words"), base.alias("base"))
-    sets = [(label, words_in(notice)) for label, notice in (TEMPLATES if templates is None else templates)]
-    found = matched_blocks(rows, [(label, words) for label, words in sets if words], containment)
+    notices = TEMPLATES if templates is None else templates
+    sets = [(label, words_in(notice)) for label, notice in notices]
+    half = max([BLOCK // 2, *(len(running_words(notice)) for _, notice in notices)])
+    found = matched_blocks(rows, [(label, words) for label, words in sets if words], containment, half)
     best = F.max(F.struct("share", "common", "label"))
     found = found.groupBy("doc_id", "text_key", "block_no").agg(best.alias("best"), F.sort_array(F.collect_set("label")).alias("labels"))
     match = F.struct("block_no", F.col("best.label").alias("label"), F.col("best.share").alias("share"), "labels")
@@ -149,7 +158,7 @@ def op5_license_scan(spark, sf_dir: str) -> DataFrame:
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     at = F.transform("base", lambda b: b["at"])
     base_labels = F.transform("base", lambda b: b["label"])
-    labels = F.array_union(base_labels, F.transform("matches", lambda m: m["label"]))
+    labels = F.array_union(base_labels, F.flatten(F.transform("matches", lambda m: m["labels"])))
     score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)))
 
     def joined(names: Column) -> Column:

@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, clashing columns and an empty table."""
 
 import hashlib
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -179,6 +180,20 @@ def test_license_join_is_exact(spark):
     assert got == {i: {label for label, t in sets if len(t & set(text.split())) >= 0.8 * len(t) - 1e-9} for i, text in rows}
 
 
+def test_licenses_over_line_breaks_and_side_by_side(spark, tmp_path):
+    notice = dict(reversed(license_scan.TEMPLATES))
+    wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(notice["isc"], 40))
+    filler = "\n".join(f"line{i} of other words" for i in range(100))
+    dual = f"{dict(license_scan.TEMPLATES)['bsd']} {notice['mpl']}"
+    rows = [(1, f"{filler}\n{wrapped}\n{filler}"), (2, dual), (3, f"{notice['cc0']} {notice['isc']}"), (4, filler)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"]: r["labels"] for r in license_scan.op5_license_scan(spark, str(tmp_path)).collect()} == {1: "isc", 2: "bsd,mpl", 3: "cc0,isc", 4: ""}
+    long = [("long", " ".join(f"l{i}" for i in range(170)))]
+    wide = spark.createDataFrame([(1, filler + "\n" + "\n".join(textwrap.wrap(long[0][1], 70)))], "doc_id long, text string")
+    assert [m["label"] for m in license_scan.scan_licenses(wide, templates=long).first()["matches"]][:1] == ["long"]
+
+
 def test_shuffle(edges, edge_rows, empty):
     got = shuffling.external_shuffle(edges, shards=4, bucket_bytes=50_000)
     rows = got.collect()
