@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import construct as kg
 from .catalog import query
 from .fixtures import derived, table
@@ -17,9 +18,21 @@ _R = "r AS (SELECT a.doc_id, a.chunk_id, a.ord, a.name AS head, b.name AS tail,
 
 
 def responses(spark, d):
+    """The input that the SQL twins restate: two chunks of six long words from each English document."""
     docs = table(spark, d, "documents").filter("lang = 'en'")
     words = F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"), F.lit(1))
     rows = docs.select("doc_id", words.alias("w")).withColumn("chunk_id", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("w", F.slice("w", c("chunk_id") * 3 + 1, F.lit(6)))
+    return answered(rows)
+
+
+def whole_responses(spark, d):
+    """One response for each chunk of each document in any language, from all words of the chunk."""
+    chunks = table(spark, d, "documents").select("doc_id", F.inline(tx.fixed_chunks(c("text"))))
+    return answered(chunks.select("doc_id", c("position").alias("chunk_id"), F.regexp_extract_all("content", F.lit(r"(\p{L}+)"), F.lit(1)).alias("w")))
+
+
+def answered(rows):
+    """Extraction responses that name the words w of each row."""
     types = F.array(*map(F.lit, ("Person", "Organization", "Location", "Product", "Event", "Concept")))
     kinds = F.array(*map(F.lit, ("BELONGS_TO", "CONTAINS", "LOCATED_AT")))
     sure = lambda w, i: (50 + (F.length(w) * 7 + (i + 1) * 13) % 51) / 100
@@ -30,7 +43,7 @@ def responses(spark, d):
 
 
 query("txt_13_parse_responses", f"WITH {_E} SELECT doc_id, chunk_id, ord, name, type, confidence FROM m")(lambda spark, d: kg.entity_mentions(responses(spark, d)).select("doc_id", "chunk_id", "ord", "name", "type", "confidence"))
-query("agg_13_chunk_entities")(lambda spark, d: kg.dedup_chunk_entities(kg.entity_mentions(responses(spark, d))).select("doc_id", "chunk_id", "ord", "name", "source_count", F.array_join("aliases", ",").alias("aliases")))
+query("agg_13_chunk_entities")(lambda spark, d: kg.dedup_chunk_entities(kg.entity_mentions(whole_responses(spark, d))).select("doc_id", "chunk_id", "ord", "name", "source_count", F.array_join("aliases", ",").alias("aliases")))
 query("agg_14_document_entities", f"WITH {_E} SELECT doc_id, type, normalized_name, arg_min(name, chunk_id * 100 + ord) AS name, round(avg(confidence), 6) AS confidence, count(*) AS source_count FROM m GROUP BY ALL")(lambda spark, d: kg.merge_document_entities(kg.entity_mentions(responses(spark, d))).select("doc_id", "type", "normalized_name", "name", F.round("confidence", 6).alias("confidence"), "source_count"))
 _DEDUP = "SELECT {by}, head_key, relation, tail_key, arg_min(head, chunk_id * 100 + ord) AS head, round(least(1, arg_min(confidence, chunk_id * 100 + ord) + {boost} * (count(*) - 1)), 6) AS confidence, count(*) AS source_count FROM r GROUP BY {by}, head_key, relation, tail_key"
 query("agg_15_chunk_relations", f"WITH {_E}, {_R} " + _DEDUP.format(by="doc_id, chunk_id", boost=".1"))(lambda spark, d: kg.dedup_relations(kg.relation_mentions(responses(spark, d))).select("doc_id", "chunk_id", "head_key", "relation", "tail_key", "head", F.round("confidence", 6).alias("confidence"), "source_count"))
@@ -45,10 +58,10 @@ def validated(spark, d):
     return found[0].select(*kg.PLACE, F.lit(True).alias("valid")).unionByName(found[1].select(*kg.PLACE, F.lit(False).alias("valid")))
 
 
-query("agg_17_batch_relations")(lambda spark, d: kg.extract_chunks(responses(spark, d))[1].select("doc_id", "chunk_id", "head_key", "relation", "tail_key", F.round("confidence", 6).alias("confidence"), "source_count"))
-query("kgc_01_extract_chunks")(lambda spark, d: kg.extract_chunks(responses(spark, d))[0].select("doc_id", "chunk_id", "ord", "name", "type", "confidence", "source_count"))
-query("kgc_02_extract_documents")(lambda spark, d: kg.extract_documents(responses(spark, d))[0].select("doc_id", "type", "normalized_name", "name", F.round("confidence", 6).alias("confidence"), "source_count"))
-query("kgc_03_build_graph")(lambda spark, d: kg.build_graph(responses(spark, d))[1].select("id", "src", "dst", "relation", F.round("confidence", 6).alias("confidence")))
+query("agg_17_batch_relations")(lambda spark, d: kg.extract_chunks(whole_responses(spark, d))[1].select("doc_id", "chunk_id", "head_key", "relation", "tail_key", F.round("confidence", 6).alias("confidence"), "source_count"))
+query("kgc_01_extract_chunks")(lambda spark, d: kg.extract_chunks(whole_responses(spark, d))[0].select("doc_id", "chunk_id", "ord", "name", "type", "confidence", "source_count"))
+query("kgc_02_extract_documents")(lambda spark, d: kg.extract_documents(whole_responses(spark, d))[0].select("doc_id", "type", "normalized_name", "name", F.round("confidence", 6).alias("confidence"), "source_count"))
+query("kgc_03_build_graph")(lambda spark, d: kg.build_graph(whole_responses(spark, d))[1].select("id", "src", "dst", "relation", F.round("confidence", 6).alias("confidence")))
 query("agg_22_summary", f"WITH {_E}, g AS (SELECT doc_id, count(DISTINCT concat(type, '|', normalized_name)) AS e FROM m GROUP BY doc_id) SELECT doc_id, coalesce(e, 0) AS entity_count, CASE WHEN e > 0 THEN 'success' ELSE 'empty' END AS status FROM documents LEFT JOIN g USING (doc_id) WHERE lang = 'en'")(lambda spark, d: kg.summary(kg.merge_document_entities(kg.entity_mentions(responses(spark, d))), kg.relation_mentions(responses(spark, d)), table(spark, d, "documents").filter("lang = 'en'")).select("doc_id", "entity_count", "status"))
 query("join_04_link", f"WITH {_E}, {_R}, ids AS (SELECT doc_id, normalized_name, min(concat(type, '/', normalized_name)) AS id FROM m WHERE confidence >= .6 GROUP BY ALL) SELECT r.doc_id, r.chunk_id, r.ord, a.id AS src, b.id AS dst FROM r JOIN ids a ON a.doc_id = r.doc_id AND a.normalized_name = head_key JOIN ids b ON b.doc_id = r.doc_id AND b.normalized_name = tail_key")(lambda spark, d: kg.link(kg.relation_mentions(responses(spark, d)), kg.merge_document_entities(kg.entity_mentions(responses(spark, d)).filter("confidence >= 0.6")).withColumn("id", F.concat_ws("/", "type", "normalized_name")))[0].select("doc_id", "chunk_id", "ord", "src", "dst"))
 

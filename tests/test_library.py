@@ -1,5 +1,7 @@
 """Streams against their batch twins, the corner rules of text and graph functions, and the registered queries."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +109,15 @@ def test_delete_documents(spark, tmp_path):
     sources.write_chunks(chunks, chunks.select("doc_id", "chunk_id", F.array(F.lit(1.0)).alias("embedding")), path, 4)
     sources.delete_documents(spark, path, spark.createDataFrame([(3,), (4,)], "doc_id long"), 4)
     assert {r["doc_id"] for r in spark.read.parquet(path).collect()} == {0, 1, 2, 5, 6, 7, 8, 9}
+
+
+def test_construction_reads_whole_documents_of_all_languages(spark, tmp_path):
+    rng = random.Random(5)
+    texts = {i: [("".join(rng.choices(letters, k=9))) for _ in range(400)] for i, letters in ((1, "abcdefghijklmnop"), (2, "абвгдежзиклмнопр"), (3, "abcdefghijklmnop"))}
+    rows = [(i, " ".join(words), lang) for (i, words), lang in zip(texts.items(), ("en", "ru", "de"), strict=True)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = __spark_entry__.queries()["kgc_02_extract_documents"](spark, str(tmp_path)).collect()
+    for i, words in texts.items():
+        assert set(words) <= {r["normalized_name"] for r in found if r["doc_id"] == i}
+    graph_rows = __spark_entry__.queries()["kgc_03_build_graph"](spark, str(tmp_path)).count()
+    assert graph_rows > 300
