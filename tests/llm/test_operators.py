@@ -162,6 +162,21 @@ def test_markov_models(spark):
     assert spans == {1: [(4, 24)], 2: []}
 
 
+def test_unkeyed_secrets_in_ordinary_texts_are_found(spark):
+    """The unlabelled random strings of ordinary texts raise no threshold above themselves."""
+    rng = np.random.default_rng(4)
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    alphabet, stems = license_scan._UPPER + license_scan._LOWER + "0123456789", ["customer", "document", "configuration", "temperature", "understanding", "account", "number", "international"]
+    prose = lambda: " ".join("_".join(rng.choice(stems, 3)) for _ in range(12))
+    keyed = [(i, f"{prose()} secret={drawn(alphabet, 32)}") for i in range(300)]
+    planted = {1000 + i: drawn(alphabet, 40) if i % 2 else drawn("0123456789abcdef", 8) + "-" + drawn(alphabet, 20) for i in range(100)}
+    plain = [(2000 + i, f"{prose()} internationalCustomerAccount{i % 7}") for i in range(100)]
+    docs = spark.createDataFrame([*keyed, *((i, f"{prose()} {s} end") for i, s in planted.items()), *plain], "doc_id long, text string")
+    found = {r["doc_id"]: [s["value"] for s in r["random"]] for r in secret_scan.scan_secrets(docs).select("doc_id", "random").collect()}
+    assert sum(found[i] == [s] for i, s in planted.items()) >= 95
+    assert not any(found[i] for i, _ in plain)
+
+
 def test_licenses(edges, edge_rows, empty, spark):
     found = license_scan.scan_licenses(edges).collect()
     got = Counter((r["doc_id"], r["n_words"], len(r["base"]), min((b["at"] for b in r["base"]), default=None), max((b["at"] for b in r["base"]), default=None), ",".join(sorted({b["label"] for b in r["base"]}))) for r in found)
