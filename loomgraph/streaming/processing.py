@@ -4,7 +4,8 @@ Each stateful rule is a plain function of (state, event), used by the stream and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,6 +33,24 @@ def status_step(state: tuple[str, int], to: str, at_ms: int) -> tuple[tuple[str,
     return (to, 0 if to == "COMPLETED" else retries), True, None
 
 
+def _carried(rows: DataFrame, key: list[str], order: str, rows_of: Callable, start, schema: str) -> DataFrame:
+    """rows_of(key, frame, state) over each key's rows by (ts, order), a batch at a time: only the state outlives a batch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, start
+        for frame in frames:
+            for _, part in frame.groupby((frame["_key"] != frame["_key"].shift()).cumsum(), sort=False):
+                if part["_key"].iloc[0] != now:
+                    now, state = part["_key"].iloc[0], start
+                # Keys come from text: a null among whole numbers would make all of them floats.
+                found = json.loads(now)
+                out, state = rows_of(tuple(found.get(k) for k in key), part, state)
+                yield out
+
+    keyed = rows.withColumn("_key", F.to_json(F.struct(*key))).repartition(*key)
+    return keyed.sortWithinPartitions(*key, "ts", order).drop(*key).mapInPandas(run, schema)
+
+
 def _status_rows(doc_id: int, frame: pd.DataFrame, state: tuple[str, int]) -> tuple[pd.DataFrame, tuple[str, int]]:
     out = []
     for message, to, ts in frame.sort_values(["ts", "message_id"])[["message_id", "to", "ts"]].itertuples(index=False):
@@ -54,7 +73,7 @@ def status_stream(messages: DataFrame) -> DataFrame:
 
 def status_batch(messages: DataFrame) -> DataFrame:
     """The batch twin of status_stream."""
-    return messages.groupBy("doc_id").applyInPandas(lambda key, frame: _status_rows(key[0], frame, ("PENDING", 0))[0], STATUS_OUT)
+    return _carried(messages, ["doc_id"], "message_id", lambda key, frame, state: _status_rows(key[0], frame, state), ("PENDING", 0), STATUS_OUT)
 
 
 def progress(statuses: DataFrame) -> DataFrame:
@@ -104,7 +123,7 @@ def quota_stream(requests: DataFrame) -> DataFrame:
 
 
 def quota_batch(requests: DataFrame) -> DataFrame:
-    return requests.groupBy("client_id", "route").applyInPandas(lambda key, frame: _quota_rows(key, frame, None)[0], QUOTA_OUT)
+    return _carried(requests, ["client_id", "route"], "request_id", _quota_rows, None, QUOTA_OUT)
 
 
 def daily_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:

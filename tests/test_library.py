@@ -121,3 +121,26 @@ def test_construction_reads_whole_documents_of_all_languages(spark, tmp_path):
         assert set(words) <= {r["normalized_name"] for r in found if r["doc_id"] == i}
     graph_rows = __spark_entry__.queries()["kgc_03_build_graph"](spark, str(tmp_path)).count()
     assert graph_rows > 300
+
+
+def test_batches_of_one_key_carry_its_state(spark, monkeypatch):
+    """No call holds more rows of a key than a batch, and the results are those of all rows at once."""
+    events = spark.range(500).selectExpr("case when id % 5 = 0 then null when id % 5 = 1 then 2 else 1 end AS client_id", "'document' AS route", "id AS request_id", "timestamp_seconds(id * 3) AS ts")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    whole = processing._quota_rows
+
+    def small(key, frame, state):
+        assert len(frame) <= 40
+        return whole(key, frame, state)
+
+    monkeypatch.setattr(processing, "_quota_rows", small)
+    try:
+        got = {r["request_id"]: (r["client_id"], r["allowed"], r["remaining"]) for r in processing.quota_batch(events).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, states = {}, {}
+    for i in range(500):
+        client = None if i % 5 == 0 else 2 if i % 5 == 1 else 1
+        states[client], allowed, left = processing.quota_step(states.get(client), i * 3000, 10)
+        want[i] = (client, allowed, left)
+    assert got == want
