@@ -144,3 +144,9 @@ def test_batches_of_one_key_carry_its_state(spark, monkeypatch):
         states[client], allowed, left = processing.quota_step(states.get(client), i * 3000, 10)
         want[i] = (client, allowed, left)
     assert got == want
+
+
+def test_every_part_is_a_mention(spark):
+    parts = {r["p_partkey"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    assert {r["mention_id"] for r in __spark_entry__.queries()["kgc_04_resolve"](spark, SF).collect()} == parts
+    assert __spark_entry__.queries()["agg_23_resolution_accuracy"](spark, SF).first()["total"] == len(parts)
