@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds; a longer document is a step of its own.
@@ -42,6 +42,28 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], block: int = 64) -> Column:
+    """What `combine` makes of 0 and all values before each one, such as running sums; in blocks, so that no long array grows by one."""
+    last = lambda held: F.element_at(held, -1)
+    zero = F.array(F.lit(0))
+
+    def within(whole: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(whole), F.lit(block)), lambda at: F.slice(whole, at, block))
+        return F.transform(parts, lambda part: F.aggregate(part, zero, lambda held, x: F.concat(held, F.array(combine(last(held), x)))))
+
+    def moved(parts: Column) -> Column:
+        before = F.aggregate(parts, zero, lambda held, part: F.concat(held, F.array(combine(last(held), last(part)))))
+        return F.flatten(F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda part, at: F.transform(F.slice(part, F.lit(1), F.size(part) - 1), lambda x: combine(at, x))))
+
+    nothing = F.array().cast("array<int>")
+    return once(values, lambda whole: F.when(F.size(whole) > 0, once(within(whole), moved)).otherwise(nothing))
+
+
 class Texts:
     """Some rows' UTF-8 bytes laid end to end: data (uint8) and the rows' edges in it (len rows + 1)."""
 

@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import once, running, text_or_empty
 
 CONTAINMENT, BLOCK = 0.8, 96
 
@@ -92,8 +92,12 @@ def phrase_places(phrase: str, label: str) -> Column:
     n = len(phrase.split())
     pieces = F.split("spaced", f"(?i) {phrase}(?= )")
     gaps = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "))))
-    at = F.transform(F.sequence(F.lit(1), F.size(gaps)), lambda k: F.aggregate(F.slice(gaps, F.lit(1), k), F.lit(0), lambda total, gap: total + gap) + (k - 1) * n)
-    return F.when(F.col("spaced").rlike(f"(?i) {phrase} "), F.transform(at, lambda a: F.struct(a.cast("long").alias("at"), F.lit(label).alias("label"))))
+
+    def places(gaps: Column) -> Column:
+        before = running(F.transform(gaps, lambda gap: gap + n), lambda a, b: a + b)
+        return F.zip_with(before, gaps, lambda a, gap: F.struct((a + gap).cast("long").alias("at"), F.lit(label).alias("label")))
+
+    return F.when(F.col("spaced").rlike(f"(?i) {phrase} "), once(gaps, places))
 
 
 def frequency_order(rows: DataFrame, vocabulary: list[str]) -> list[str]:
