@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker keeps encoded; the store is emptied when full.
 STORE = 600_000
@@ -240,6 +242,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     """Per row of docs: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded.
 
     tokenizer: path of a byte-level BPE tokenizer file on the driver; its text, a fixed size, is broadcast."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_spec(tokenizer))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,10 +19,12 @@ CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests only) a fresh local one."""
+    """The folder that driver and executors share, spark.checkpoint.dir; where it is unset in local mode, a fresh temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="loomgraph-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -34,8 +38,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Let Arrow batches of this session hold `most` bytes, so that long texts don't fill Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    """Let Arrow batches hold `most` bytes, so that long texts don't fill Python workers; a session's own setting stays.
+
+    Every operator that hands texts to Python calls this. Spark reads the setting when it plans a query, so it is left on."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, most)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+SALTS = 64
+
+
+def salt(*columns: str) -> Column:
+    """A number below SALTS by the columns' hash, by which rows of one key are split."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def salts_seen(salted: str = "salt") -> Column:
+    """Aggregate: which salts a key's rows have, as bits; each task reports its own."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(salted)))
+
+
+def each_salt(seen: str) -> Column:
+    """One row for each salt in `seen`, so that a key's row meets its rows salt by salt."""
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), s)
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.col(seen).bitwiseAND(bit(s)) != 0))
 
 
 def text_or_empty(column: str = "text"):
@@ -115,12 +150,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end] for many spans at once, from one running sum."""
+    """Hashes of values[start:end] for many spans at once, from one running sum; for spans of under 1,000 values."""
     up, down = powers(len(values) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+LONG_SPAN = 512
+
+
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings data[start:end]; long ones, for which sums of powers can be made to collide, by BLAKE2."""
+    out = spans_hash(_table(1)[data], starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 #: Byte classes. Both word rules work on bytes: all bytes of a non-ASCII code point are word bytes.
 SPACES = np.ones(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = False
@@ -160,8 +206,8 @@ class Words:
         """Words from each one to the end of its row, itself included."""
         return self.edges[self.row + 1] - np.arange(len(self))
 
-    def hashes(self, seed: int = 1) -> np.ndarray:
-        return spans_hash(_table(seed)[self.data], self.starts, self.ends)
+    def hashes(self) -> np.ndarray:
+        return bytes_hash(self.data, self.starts, self.ends)
 
 
 def grams(hashes: np.ndarray, left: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

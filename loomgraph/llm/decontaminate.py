@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, chunks, grams, slid_min, text_or_empty
+from .common import Words, bound_batches, chunks, grams, slid_min, text_or_empty
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
@@ -147,6 +147,7 @@ def blocks_of(items: DataFrame, item_id: str, text: str, block_bytes: int) -> li
 def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, text_key (hash of id and text), n_words, n_hit, items (distinct ids, sorted as strings), runs (hit word spans)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64("doc_id", "text"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("text_key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("runs", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
