@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import each_salt, materialize, salt, salts_seen
+
+
+def _least(edges: DataFrame, self_too: bool) -> DataFrame:
+    """u, salt and m, u's least neighbour (or itself), once for each salt that u's edges have: a hub meets its edges in many tasks."""
+    found = F.min("v")
+    held = edges.groupBy("u").agg((F.least(found, F.col("u")) if self_too else found).alias("m"), salts_seen().alias("seen"))
+    return held.select("u", "m", each_salt("seen").alias("salt"))
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hook each node's larger (or not larger) neighbours to its least one. Edges are (u, v) with u > v."""
     if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hooked = edges.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hooked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("salt", salt("v"))
+        return both.filter("v > u").join(_least(both, self_too=True), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    edges = edges.withColumn("salt", salt("v"))
+    hooked = edges.join(_least(edges, self_too=False), ["u", "salt"])
+    # Each neighbour hangs on the least one; the node itself does, once, through the row of that neighbour.
+    return hooked.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

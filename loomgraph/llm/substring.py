@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, bitmap_of, chunks, grams, has_bit, materialize, mix, slid_min, spans_hash, text_or_empty
+from .common import Words, bitmap_of, bound_batches, chunks, each_salt, grams, has_bit, materialize, mix, salt, salts_seen, slid_min, spans_hash, text_or_empty
 
 WINDOW, GRAM, DEPTH, WIDTH, MOST_BITS, LONGEST_RUN = 50, 25, 2, 32, 30, 64
 
@@ -118,14 +118,17 @@ def repeated_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(repeated_cells(rows, window, gram))
     schema = T.StructType([rows.schema["doc_id"], rows.schema["text_key"], *(T.StructField(c, T.LongType()) for c in ("minimiser", "run", "start")), T.StructField("n", T.IntegerType()), T.StructField("windows", T.ArrayType(T.LongType()))])
     runs = materialize(rows.select("doc_id", "text_key", "text").mapInArrow(_picker(shared, window, gram), schema), "runs")
-    first = runs.groupBy("minimiser", "run").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"))
+    runs = runs.withColumn("salt", salt("doc_id", "start"))
+    first = runs.groupBy("minimiser", "run").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"), salts_seen().alias("seen"))
     first = materialize(first, "first_runs")
     shared_minimisers = first.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1").select("minimiser")
     window_rows = first.join(shared_minimisers, "minimiser", "left_semi").select("minimiser", "run", "source", F.posexplode("windows").alias("offset", "hash"))
     least = window_rows.groupBy("minimiser", "hash").agg(F.min("source").alias("least"), F.max("source").alias("most")).filter("least < most").drop("most")
     found = window_rows.join(least, ["minimiser", "hash"]).filter("source > least").groupBy("minimiser", "run").agg(F.collect_list("offset").alias("offsets"))
-    judged = first.select("minimiser", "run", "source", "last").join(found, ["minimiser", "run"], "left").filter("last > source or offsets is not null")
-    joined = runs.select("doc_id", "text_key", "minimiser", "run", "start", "n").join(judged, ["minimiser", "run"])
+    judged = first.select("minimiser", "run", "source", "last", "seen").join(found, ["minimiser", "run"], "left").filter("last > source or offsets is not null")
+    # A run that stands in very many documents meets its occurrences salt by salt, in as many tasks.
+    judged = judged.select("minimiser", "run", "source", "offsets", each_salt("seen").alias("salt"))
+    joined = runs.select("doc_id", "text_key", "minimiser", "run", "salt", "start", "n").join(judged, ["minimiser", "run", "salt"])
     return joined.filter("doc_id > source or offsets is not null").select("doc_id", "text_key", "start", "n", F.when(F.col("doc_id") <= F.col("source"), F.col("offsets")).alias("offsets"))
 
 
@@ -158,6 +161,7 @@ def _remover(window: int):
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("text_key", F.xxhash64("doc_id", "text"))
     spans = repeated_windows(rows, window, window // 2)
     spans = spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n", "offsets")).alias("spans"))
