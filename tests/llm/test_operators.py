@@ -67,21 +67,38 @@ def test_pruning_keeps_what_reaches_the_threshold():
     assert all(m < 0.8 * n for n, m in least.items()) and list(least.values()) == sorted(least.values())
 
 
+def two_classes(marks):
+    """Invented prose, and such prose with one of the marks in its midst."""
+    rng = np.random.default_rng(3)
+    syllables = ["an", "be", "cor", "di", "el", "fo", "gu", "ha", "in", "jo", "ka", "lu"]
+    prose = lambda n: ["".join(rng.choice(syllables, 3)) for _ in range(n)]
+    return [" ".join(prose(80)) for _ in range(200)], [" ".join([*prose(40), str(rng.choice(marks)), *prose(40)]) for _ in range(200)]
+
+
 def test_toxicity(spark, edges, edge_rows, empty):
-    calm = [f"the {a} walks by the {b} and then it goes home with the {c}" for a in ("dog", "cat", "bird", "man") for b in ("tree", "lake", "hill") for c in ("ball", "bone", "book", *(f"thing{i}" for i in range(20)))]
-    rude = [t.replace("walks", "awfulword stinks") for t in calm]
+    calm, rude = two_classes(("awfulword", "stinks"))
     model = toxicity.Model(rude, calm)
     assert model.score(rude[0]) > 0.7 > 0.3 > model.score(calm[0])
     got = toxicity.score_toxicity(edges, model).collect()
     assert len(got) == len(edge_rows) and all(0 <= r["score"] <= 1 for r in got)
-    kept = toxicity.with_toxicity(edges, model)
-    assert kept.count() == len(edge_rows) and kept.columns.count("toxicity") == 1
+    scored = toxicity.with_toxicity(edges, model)
+    assert scored.columns == [*edges.columns, "toxicity_"] and {r["toxicity"] for r in scored.collect()} == {"t"}
     assert toxicity.score_toxicity(empty, model).count() == 0
     assert toxicity.Model([], calm).score("anything") == 0.0
     labelled = spark.createDataFrame([(t, 1) for t in rude] + [(t, 0) for t in calm] + [(None, 1), ("x", None)], "text string, toxic int")
     assert toxicity.fit(labelled).score(rude[3]) > 0.7
 
 
+def test_toxicity_dictionaries_are_trained_on_both_classes():
+    calm, rude = two_classes(("vexwump", "quzzbray"))
+    found = toxicity.Model(rude, calm).dictionaries
+    for ordinary, toxic in found.parts:
+        assert b"vexwump" in toxic and b"quzzbray" in toxic and b"vexwump" not in ordinary and b"quzzbray" not in ordinary
+        # What zstandard took are passages of the texts: most of the part is what stands around the telling words.
+        assert len(toxic.replace(b"vexwump", b"").replace(b"quzzbray", b"")) > len(toxic) / 2
+    assert b"vexwump" not in found.body and len(found.parts) == toxicity.PAIRS
+
+
 def test_toxicity_held_out(spark):
     from tests.conftest import SF
 
@@ -91,7 +108,7 @@ def test_toxicity_held_out(spark):
     held = scored.filter("held_out").join(labels, "doc_id").collect()
     y, s = np.array([r["toxic"] for r in held]), np.array([r["score"] for r in held])
     ahead = (s[y == 1][:, None] > s[y == 0]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0]).mean()
-    assert ahead > 0.7
+    assert ahead > 0.9
     assert scored.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
 
