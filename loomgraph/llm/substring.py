@@ -121,10 +121,13 @@ def repeated_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
     runs = runs.withColumn("salt", salt("doc_id", "start"))
     first = runs.groupBy("minimiser", "run").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.first("windows").alias("windows"), salts_seen().alias("seen"))
     first = materialize(first, "first_runs")
-    shared_minimisers = first.groupBy("minimiser").agg(F.count("*").alias("n")).filter("n > 1").select("minimiser")
-    window_rows = first.join(shared_minimisers, "minimiser", "left_semi").select("minimiser", "run", "source", F.posexplode("windows").alias("offset", "hash"))
-    least = window_rows.groupBy("minimiser", "hash").agg(F.min("source").alias("least"), F.max("source").alias("most")).filter("least < most").drop("most")
-    found = window_rows.join(least, ["minimiser", "hash"]).filter("source > least").groupBy("minimiser", "run").agg(F.collect_list("offset").alias("offsets"))
+    # Runs of one minimiser, and windows of one hash, may be many: they too meet salt by salt, by the run.
+    parted = first.withColumn("salt", salt("run"))
+    shared_minimisers = parted.groupBy("minimiser").agg(F.count("*").alias("n"), salts_seen().alias("seen")).filter("n > 1").select("minimiser", each_salt("seen").alias("salt"))
+    window_rows = parted.join(shared_minimisers, ["minimiser", "salt"], "left_semi").select("minimiser", "run", "salt", "source", F.posexplode("windows").alias("offset", "hash"))
+    least = window_rows.groupBy("minimiser", "hash").agg(F.min("source").alias("least"), F.max("source").alias("most"), salts_seen().alias("seen")).filter("least < most")
+    least = least.select("minimiser", "hash", "least", each_salt("seen").alias("salt"))
+    found = window_rows.join(least, ["minimiser", "hash", "salt"]).filter("source > least").groupBy("minimiser", "run").agg(F.collect_list("offset").alias("offsets"))
     judged = first.select("minimiser", "run", "source", "last", "seen").join(found, ["minimiser", "run"], "left").filter("last > source or offsets is not null")
     # A run that stands in very many documents meets its occurrences salt by salt, in as many tasks.
     judged = judged.select("minimiser", "run", "source", "offsets", each_salt("seen").alias("salt"))
