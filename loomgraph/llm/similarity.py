@@ -2,11 +2,13 @@
 
 Texts are sets of five-word shingles (fewer words: one shingle of all). Equal texts are one class from the start. Of
 each text 288 MinHash values are taken; texts that agree in six consecutive ones (one of 48 bands) are candidates: of
-pairs of similarity 0.8 fewer than one in two million is no candidate. Candidates' connected components are cut into
-blocks, every two blocks meet in one task, and there pairs are compared by 24 more MinHash values at a time. A pair goes
-as soon as, under a uniform prior, the posterior probability that its similarity reaches the threshold is below
-TOLERANCE; all others are verified on the exact shingle sets. Tasks return links counted by text and a spanning forest
-of them, never pairs, so that a group of n near copies costs no n * n rows.
+pairs of similarity 0.8 fewer than one in two million is no candidate. Texts meet in groups of two kinds: a component of
+candidates whole, or, where a component is large and would cost more than its bands do (a chain of texts that are not
+alike), band by band, each pair at the least band that both have. Groups are cut into blocks, every two blocks meet in
+one task, and there pairs are compared by 24 more MinHash values at a time. A pair goes as soon as, under a uniform
+prior, the posterior probability that its similarity reaches the threshold is below TOLERANCE; all others are verified
+on the exact shingle sets. Tasks return links counted by text and a spanning forest of them, never pairs, so that a
+group of n near copies costs no n * n rows.
 
 Null and empty texts have no shingles and no links, and are copies of each other; a null doc_id is a member but never
 gives a class its id (a class of nulls only has a null id); repeated rows are copies; an empty table gives no rows.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, bitmap_of, bound_batches, chunks, has_bit, materialize, mix, spans_hash, text_or_empty
+from .common import Words, bitmap_of, bound_batches, chunks, each_salt, has_bit, materialize, mix, salt, salts_seen, spans_hash, text_or_empty
 from .components import components
 
 SHINGLE, BANDS, ROWS, STEP, THRESHOLD, TOLERANCE, BLOCK, MOST_BITS = 5, 48, 6, 24, 0.8, 1e-6, 256, 30
@@ -149,7 +151,25 @@ def shared_sizes(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nda
     return total[where[a], where[b]].astype(np.int64)
 
 
-def _task(nodes, sides, signature, sets, cross: bool, threshold: float, least) -> list[tuple]:
+def met_before(bands: list[np.ndarray], here: int) -> np.ndarray:
+    """For each two texts: do they share a band less than `here`, at which they meet too?"""
+    owner = np.repeat(np.arange(len(bands)), [len(b) for b in bands])
+    values = np.concatenate(bands)
+    less = values < here
+    _, column, count = np.unique(values[less], return_inverse=True, return_counts=True)
+    shared = np.zeros((len(bands), len(bands)), np.float32)
+    common = count[column] > 1
+    owner, number = owner[less][common], np.cumsum(count > 1) - 1
+    column = number[column[common]]
+    for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+        part = np.zeros((len(bands), 4096), np.float32)
+        here_now = (column >= at) & (column < at + 4096)
+        part[owner[here_now], column[here_now] - at] = 1
+        shared += part @ part.T
+    return shared > 0
+
+
+def _task(nodes, sides, signature, sets, bands, band, cross: bool, threshold: float, least) -> list[tuple]:
     """(node, links, least node linked to it within the task) of the nodes with links."""
     n = len(nodes)
     if cross:
@@ -159,6 +179,9 @@ def _task(nodes, sides, signature, sets, cross: bool, threshold: float, least) -
         a, b = np.repeat(first, len(second)), np.tile(second, len(first))
     else:
         a, b = np.triu_indices(n, 1)
+    if band is not None:
+        new = ~met_before(bands, band)[a, b]
+        a, b = a[new], b[new]
     sizes = np.array([len(s) for s in sets])
     a, b = surviving(signature, sizes, a, b, threshold, least)
     both = shared_sizes(sets, a, b)
@@ -187,13 +210,15 @@ def _linker(threshold: float, tolerance: float):
         def closed(rows):
             signature = np.stack([np.frombuffer(r["signature"], np.uint16) for r in rows])
             sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-            out = _task([r["node"] for r in rows], np.array([r["block"] for r in rows]), signature, sets, rows[0]["i"] != rows[0]["j"], threshold, least)
+            band = rows[0]["band"]
+            bands = [np.array(r["bands"], np.int64) for r in rows] if band is not None else []
+            out = _task([r["node"] for r in rows], np.array([r["block"] for r in rows]), signature, sets, bands, band, rows[0]["i"] != rows[0]["j"], threshold, least)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[], [], []], types, strict=True)], names=names)
 
         held, key = [], None
         for batch in batches:
             for row in batch.to_pylist():
-                now = (row["component"], row["i"], row["j"])
+                now = (row["component"], row["band"], row["i"], row["j"])
                 if now != key and held:
                     yield closed(held)
                     held = []
@@ -206,34 +231,65 @@ def _linker(threshold: float, tolerance: float):
     return link
 
 
+def groups(candidates: DataFrame, bands: DataFrame, buckets: DataFrame, block: int) -> DataFrame:
+    """Where each candidate meets others: node, meets, an array of struct<component, band, members> (one of the two null),
+    and bands, those of the node at which it does.
+
+    candidates: node, component; bands: node, band; buckets: band, v, members of bands that texts share."""
+    parted = candidates.withColumn("salt", salt("node"))
+    sizes = parted.groupBy("component").agg(F.count("*").alias("members"), salts_seen().alias("seen"))
+    blocks = lambda n: F.ceil(F.col(n) / block)
+    # Copies of texts that a large component sends as a whole, and band by band.
+    at_least = buckets.join(candidates, F.col("v") == F.col("node")).select("component", "members")
+    large = sizes.filter(F.col("members") > block)
+    by_band = at_least.join(large.select("component", (F.col("members") * blocks("members")).alias("whole")), "component")
+    by_band = by_band.groupBy("component").agg(F.sum(F.col("members") * blocks("members")).alias("cost"), F.first("whole").alias("whole")).filter("cost < whole").select("component", F.lit(True).alias("by_band"))
+    sizes = sizes.join(by_band, "component", "left").select("component", "members", F.coalesce("by_band", F.lit(False)).alias("by_band"), each_salt("seen").alias("salt"))
+    placed = materialize(parted.join(sizes, ["component", "salt"]).select("node", "component", "members", "by_band"), "placed")
+    whole = F.struct("component", F.lit(None).cast("long").alias("band"), "members")
+    together = placed.filter("not by_band").select("node", F.array(whole).alias("meets"), F.array().cast("array<long>").alias("bands"))
+    apart = placed.filter("by_band").select("node", salt("node").alias("salt"))
+    if apart.isEmpty():
+        return together
+    apart = apart.join(bands, "node").distinct().join(buckets.select("band", "members", each_salt("seen").alias("salt")), ["band", "salt"])
+    single = F.struct(F.lit(None).cast("binary").alias("component"), "band", "members")
+    apart = apart.groupBy("node").agg(F.collect_list(single).alias("meets"), F.collect_list("band").alias("bands"))
+    return together.unionByName(apart)
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """Per row of docs: doc_id, node (its text's 128-bit key), root (the same for all rows of a class), class_id (the
     class's least doc_id), copy_id (the least doc_id of its text), n_copies (rows of its text) and n_links (different
     texts of similarity >= threshold)."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("node", F.unhex(F.md5("text")))
-    texts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies")), "texts")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("node", F.unhex(F.md5("text"))).withColumn("salt", salt("doc_id"))
+    texts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), salts_seen().alias("seen")), "texts")
     # Copies of a text come out once a task; the few that are left make the same buckets, edges and features again.
     bands = materialize(rows.select("node", "text").mapInArrow(_bander, "node binary, bands array<long>"), "bands").select("node", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v < most").select("band", "v")
-    candidates = components(bands.join(buckets, "band").filter("node != v").select(F.col("node").alias("u"), "v"))
-    candidates = materialize(candidates, "candidates")
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("members"))
+    parted = bands.withColumn("salt", salt("node"))
+    buckets = parted.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("most"), F.count("*").alias("members"), salts_seen().alias("seen")).filter("v < most").drop("most")
+    buckets = materialize(buckets, "buckets")
+    met = parted.join(buckets.select("band", "v", each_salt("seen").alias("salt")), ["band", "salt"])
+    candidates = materialize(components(met.filter("node != v").select(F.col("node").alias("u"), "v")), "candidates")
     size = 1 << min(MOST_BITS, max(15, (16 * candidates.count()).bit_length()))
     position = F.pmod(F.xxhash64("node"), F.lit(size))
     shared = spark.sparkContext.broadcast(bitmap_of(candidates.select(position.alias("position")), "position", size))
     features = rows.select("node", "text", position.alias("position")).mapInArrow(_featurer(shared), "node binary, signature binary, shingles binary")
-    placed = candidates.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    placed = placed.join(features, "node")
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "signature", "shingles")
-    met = met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
-    links = materialize(met.mapInArrow(_linker(threshold, tolerance), "node binary, links long, root binary"), "links")
+    placed = groups(candidates, bands, buckets, block).join(features, "node").withColumn("meet", F.explode("meets")).select("node", "signature", "shingles", "bands", "meet.*")
+    placed = placed.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("component", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "signature", "shingles", "bands")
+    key = ("component", "band", "i", "j")
+    pairs = pairs.repartition(*key).sortWithinPartitions(*key, "node")
+    links = materialize(pairs.mapInArrow(_linker(threshold, tolerance), "node binary, links long, root binary"), "links")
     classes = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    judged = texts.join(links.groupBy("node").agg(F.sum("links").alias("n_links")), "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    roots = judged.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    judged = judged.join(roots, "root").select("node", "root", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", "node").join(judged, "node")
+    judged = texts.join(links.groupBy("node").agg(F.sum("links").alias("n_links")), "node", "left").join(classes, "node", "left")
+    judged = materialize(judged.withColumn("root", F.coalesce("component", "node")).withColumn("salt", salt("node")).drop("component"), "judged")
+    roots = judged.groupBy("root").agg(F.min("copy_id").alias("class_id"), salts_seen().alias("salts"))
+    judged = judged.join(roots.select("root", "class_id", each_salt("salts").alias("salt")), ["root", "salt"])
+    judged = judged.select("node", "root", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), each_salt("seen").alias("salt"))
+    return rows.select("doc_id", "node", "salt").join(judged, ["node", "salt"]).drop("salt")
 
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

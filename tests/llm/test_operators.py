@@ -62,6 +62,36 @@ def test_near_copies_small_blocks(spark):
     assert {r["class_id"] for r in got} == {0}
 
 
+def test_near_copies_of_a_chain_meet_band_by_band(spark, monkeypatch):
+    """Texts each like the next ones only: one large component, in which few pairs share a band."""
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(words[i * 3 : i * 3 + 60]) for i in range(600)]
+    rows, seen = list(enumerate(texts)), []
+    found = similarity.groups
+    monkeypatch.setattr(similarity, "groups", lambda *of: seen.append(found(*of)) or seen[-1])
+    got = similarity.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()
+    linked = brute.links(texts)
+    assert linked and {r["doc_id"]: r["n_links"] for r in got} == {i: sum(t in link for link in linked) for i, t in rows}
+    assert {r["class_id"] for r in got} == {0}
+    assert seen[0].filter("size(bands) > 0").count() > 0
+
+
+def test_near_copies_recall(spark):
+    """Edited copies at about the threshold: at least 0.9 of all pairs of 0.8 or more are found (0.99 and more here)."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(150)]
+        for _ in range(5):
+            copy = list(words)
+            for at in rng.integers(0, 150, rng.integers(1, 5)):
+                copy[at] = f"x{rng.integers(1 << 30)}"
+            texts.append(" ".join(copy))
+    linked = brute.links(texts)
+    got = similarity.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(r["n_links"] for r in got) >= 0.99 * 2 * len(linked) and len(linked) > 100
+
+
 def test_pruning_keeps_what_reaches_the_threshold():
     least = similarity.fewest_matches(0.8, 1e-6)
     assert all(m < 0.8 * n for n, m in least.items()) and list(least.values()) == sorted(least.values())
