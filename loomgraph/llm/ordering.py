@@ -9,10 +9,14 @@ shard file each: slot s is at byte (s mod ROWS_A_SHARD) * stride of its shard, l
 for larger vocabularies), stride bytes a sequence.
 
 The packed sequences are written once, compressed, to the shared folder; only the slot order moves them. A range is one
-partition, sorted by slot and streamed to a file that gets its name when whole: a retried task writes the same bytes,
-and a later run of the same input into the same folder leaves whole shards alone (resumption). The folder must be one
-that all executors reach; it is opened by pyarrow's file systems. Input files read with the same split size give the
-same order.
+partition, sorted by slot and streamed to a file that gets its name when whole, with its checksum beside it: a retried
+task writes the same bytes. The folder's manifest names the tokenizer, the order's parameters and a fingerprint of all
+sequences. A later run of the same input into the same folder leaves whole shards alone (resumption) if their size and
+checksum are right; a folder with another manifest is refused. It must be one that all executors reach, and is opened by
+pyarrow's file systems. Input files read with the same split size give the same order.
+
+Ids come from tiktoken's encoder over the tokenizer file's own vocabulary, whose merges it applies in the same order;
+texts with a piece of over LONG_PIECE characters go to the encoder of bpe.py, whose work stays near their length.
 
 Null and empty texts give just the end-of-text id. Repeated rows are encoded each. A null doc_id is listed as null. An
 empty table gives no rows and no files.
@@ -20,11 +24,14 @@ empty table gives no rows and no files.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -32,12 +39,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Codec, batches_of, default_tokenizer, tokenizer_spec
+from .bpe import PATTERN, Codec, batches_of, default_tokenizer, tokenizer_spec
 from .common import bound_batches, materialize, mix, shared_dir
 
 LENGTH, ROWS_A_SHARD, ROUNDS, KEY = 2048, 1 << 14, 6, 20240611
 #: Texts, and characters of each, that train the packed table's compression dictionary, and its bytes. It changes no result.
-SAMPLE, SAMPLE_CHARS, DICTIONARY = 1_000, 20_000, 112_640
+SAMPLE, SAMPLE_CHARS, DICTIONARY, LEVEL = 1_000, 20_000, 112_640, 6
+LONG_PIECE = 2_000
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -60,15 +68,39 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+class Encoder:
+    """Token ids of texts as arrays of the shards' integer type."""
+
+    def __init__(self, spec: str):
+        self.spec, vocabulary = spec, Codec.of(spec).vocabulary
+        plain = {b: i for i, b in vocabulary.bytes.items() if i not in vocabulary.special.values()}
+        self.encoding = tiktoken.Encoding("training-order", pat_str=PATTERN, mergeable_ranks=plain, special_tokens=vocabulary.special)
+        self.kind = id_kind(vocabulary)
+
+    @staticmethod
+    def of(spec: str) -> Encoder:
+        key = hashlib.sha256(spec.encode()).hexdigest()
+        if key not in _encoders:
+            _encoders[key] = Encoder(spec)
+        return _encoders[key]
+
+    def encode(self, text: str) -> np.ndarray:
+        if max(map(len, text.split()), default=0) > LONG_PIECE or any(c * LONG_PIECE in text for c in " \n\t"):
+            return np.frombuffer(Codec.of(self.spec).encode([text])[0], "<u4").astype(self.kind)
+        return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(self.kind)
+
+
 def id_kind(vocabulary) -> str:
     return "<u4" if len(vocabulary.by_id) > 1 << 16 else "<u2"
 
 
-def squeezing(docs: DataFrame, text: str, spec: str, kind: str) -> bytes:
+def squeezing(docs: DataFrame, text: str, spec: str) -> bytes:
     """A zstandard dictionary for the packed table, trained on the start of SAMPLE texts; empty if they are too few."""
-    codec = Codec.of(spec)
-    texts = [r[0] for r in docs.filter(F.pmod(F.xxhash64(text), F.lit(64)) == 0).select(F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS)).limit(SAMPLE).collect() if r[0]]
-    ids = b"".join(np.frombuffer(i, "<u4").astype(kind).tobytes() for i in codec.encode(texts)) if texts else b""
+    texts = docs.filter(F.pmod(F.xxhash64(text), F.lit(64)) == 0).select(F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE)
+    ids = b"".join(Encoder.of(spec).encode(r["text"]).tobytes() for r in texts.collect() if r["text"])
     try:
         return zstandard.train_dictionary(DICTIONARY, [ids[at : at + 512] for at in range(0, len(ids), 512)]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -81,7 +113,7 @@ def _dictionary(raw: bytes):
 
 def _packer(shared, length: int, end: int, kind: str, squeezed: bytes):
     def pack(batches):
-        codec, squeeze = Codec.of(shared.value), zstandard.ZstdCompressor(level=3, **_dictionary(squeezed)).compress
+        encoder, squeeze = Encoder.of(shared.value), zstandard.ZstdCompressor(level=LEVEL, **_dictionary(squeezed)).compress
         part, row = TaskContext.get().partitionId(), 0
         held, held_docs, held_ends, id_type = np.zeros(0, kind), [], [], pa.int64()
 
@@ -92,7 +124,7 @@ def _packer(shared, length: int, end: int, kind: str, squeezed: bytes):
         for batch in batches:
             at, id_type = 0, batch.schema.field(0).type
             for texts in batches_of(batch.column(1)):
-                found = [np.append(np.frombuffer(i, "<u4").astype(kind), np.array([end], kind)) for i in codec.encode(texts)]
+                found = [np.append(encoder.encode(t), np.array([end], kind)) for t in texts]
                 names = held_docs + batch.column(0).slice(at, len(texts)).to_pylist()
                 ids = np.concatenate([held, *found])
                 ends = np.cumsum([*held_ends, *map(len, found)])
@@ -144,49 +176,96 @@ def permuted(rows: DataFrame, n: int, key: int = KEY) -> DataFrame:
     return rows.mapInArrow(_permuter(n, key), T.StructType([*rows.schema.fields, T.StructField("slot", T.LongType())]))
 
 
+def checksum(store: fs.FileSystem, name: str) -> int:
+    crc = 0
+    with store.open_input_stream(name) as f:
+        while piece := f.read(1 << 20):
+            crc = zlib.crc32(piece, crc)
+    return crc
+
+
+def is_whole(store: fs.FileSystem, name: str, size: int) -> bool:
+    """Is the shard there, of this size and with the checksum noted beside it?"""
+    there, noted = store.get_file_info([name, f"{name}.crc32"])
+    if there.type != fs.FileType.File or there.size != size or noted.type != fs.FileType.File:
+        return False
+    with store.open_input_stream(f"{name}.crc32") as f:
+        return f.read().decode() == str(checksum(store, name))
+
+
+class Shard:
+    """One shard as it is written: a temporary file that is named when whole."""
+
+    def __init__(self, store: fs.FileSystem, name: str):
+        self.store, self.name, self.temporary, self.crc = store, name, f"{name}.{uuid.uuid4().hex}", 0
+        self.out = store.open_output_stream(self.temporary)
+
+    def write(self, piece: bytes) -> None:
+        self.crc = zlib.crc32(piece, self.crc)
+        self.out.write(piece)
+
+    def close(self) -> None:
+        self.out.close()
+        with self.store.open_output_stream(f"{self.temporary}.crc32") as f:
+            f.write(str(self.crc).encode())
+        self.store.move(f"{self.temporary}.crc32", f"{self.name}.crc32")
+        self.store.move(self.temporary, self.name)
+
+
 def _writer(folder: str, rows_a_shard: int, n: int, stride: int, squeezed: bytes):
     def write(batches):
         (store, path), whole = fs.FileSystem.from_uri(folder), zstandard.ZstdDecompressor(**_dictionary(squeezed)).decompress
-        shard, out, name, temporary = -1, None, "", ""
+        number, shard = -1, None
         for batch in batches:
             columns = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             shards, slots = columns["shard"].to_numpy(), columns["slot"].to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)]
             ids = [whole(i.as_buffer()) for i in columns["ids"]]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a < b and shards[a] != shard:
-                    if out is not None:
-                        out.close()
-                        store.move(temporary, name)
-                    shard = int(shards[a])
-                    name = f"{path}/shard-{shard:08d}.bin"
-                    temporary = f"{name}.{uuid.uuid4().hex}"
-                    there = store.get_file_info(name)
-                    done = there.type == fs.FileType.File and there.size == stride * min(rows_a_shard, n - shard * rows_a_shard)
-                    out = None if done else store.open_output_stream(temporary)
-                if out is not None:
-                    out.write(b"".join(ids[a:b]))
+                if a < b and shards[a] != number:
+                    if shard is not None:
+                        shard.close()
+                    number = int(shards[a])
+                    name = f"{path}/shard-{number:08d}.bin"
+                    done = is_whole(store, name, stride * min(rows_a_shard, n - number * rows_a_shard))
+                    shard = None if done else Shard(store, name)
+                if shard is not None:
+                    shard.write(b"".join(ids[a:b]))
             yield pa.RecordBatch.from_arrays([columns["slot"], columns["shard"], pa.array(slots % rows_a_shard * stride), columns["n_tokens"], columns["doc_ids"], pa.array([zlib.crc32(i) for i in ids], pa.int64())], names=["slot", "shard", "at_byte", "n_tokens", "doc_ids", "ids_crc32"])
-        if out is not None:
-            out.close()
-            store.move(temporary, name)
+        if shard is not None:
+            shard.close()
 
     return write
 
 
+def claim(folder: str, manifest: dict) -> None:
+    """Make the folder and note what it is to hold; refuse one that holds something else."""
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    name, wanted = f"{path}/manifest.json", json.dumps(manifest, sort_keys=True)
+    if store.get_file_info(name).type == fs.FileType.File:
+        with store.open_input_stream(name) as f:
+            if f.read().decode() != wanted:
+                raise ValueError(f"{folder} holds the shards of another input or order")
+    else:
+        with store.open_output_stream(f"{name}.new") as f:
+            f.write(wanted.encode())
+        store.move(f"{name}.new", name)
+
+
 def materialise_order(docs: DataFrame, folder: str, tokenizer: str, length: int = LENGTH, rows_a_shard: int = ROWS_A_SHARD, key: int = KEY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the shards as the result is evaluated; per sequence: slot, shard, at_byte, n_tokens, doc_ids, ids_crc32."""
     bound_batches(docs.sparkSession)
     spec = tokenizer_spec(tokenizer)
     kind = id_kind(Codec.of(spec).vocabulary)
-    squeezed = squeezing(docs, text, spec, kind)
+    squeezed = squeezing(docs, text, spec)
     packed = materialize(sequences(docs, tokenizer, length, doc_id, text, squeezed), "sequences")
-    n = packed.count()
+    mark = F.shiftright(F.xxhash64("part", "row", "ids"), 24)
+    n, fingerprint = packed.agg(F.count("*"), F.coalesce(F.sum(mark), F.lit(0))).first()
+    folder = folder if ":/" in folder else f"file://{folder}"
+    claim(folder, {"sequences": n, "fingerprint": fingerprint, "length": length, "rows_a_shard": rows_a_shard, "key": key, "ids": kind, "tokenizer": hashlib.sha256(spec.encode()).hexdigest()})
     placed = permuted(numbered(packed), n, key).withColumn("shard", F.floor(F.col("slot") / rows_a_shard).cast("int"))
     dealt = placed.select("slot", "shard", "n_tokens", "doc_ids", "ids").repartitionById(max(1, -(-n // rows_a_shard)), F.col("shard")).sortWithinPartitions("slot")
-    folder = folder if ":/" in folder else f"file://{folder}"
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
     schema = T.StructType([T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("at_byte", T.LongType()), T.StructField("n_tokens", T.IntegerType()), packed.schema["doc_ids"], T.StructField("ids_crc32", T.LongType())])
     return dealt.mapInArrow(_writer(folder, rows_a_shard, n, length * np.dtype(kind).itemsize, squeezed), schema)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomgraph.llm import bpe, common, decontaminate, license_scan, ordering, quality, secret_scan, shuffling, similarity, substring, toxicity
@@ -268,25 +270,61 @@ def test_shuffle(edges, edge_rows, empty):
     assert Counter((r["doc_id"], r["shard"], r["slot"]) for r in again) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in rows)
 
 
-def test_training_order(edges, edge_rows, empty, tmp_path):
-    path = bpe.default_tokenizer()
-    made = lambda folder: ordering.materialise_order(edges, str(folder), path, length=64, rows_a_shard=100).orderBy("slot").collect()
-    rows = made(tmp_path / "a")
-    assert [r["slot"] for r in rows] == list(range(len(rows)))
-    stride, text = 128, Counter()
+def plain_slot(number, n, key):
+    """The Feistel permutation in plain integers."""
+    wide = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 & wide
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & wide
+        return x ^ (x >> 31)
+
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    keys = [mix((i * 0x9E3779B97F4A7C15 + key) & wide) for i in range(1, ordering.ROUNDS + 1)]
+    while True:
+        left, right = number >> half, number & (1 << half) - 1
+        for k in keys:
+            left, right = right, left ^ (mix(right ^ k) & (1 << half) - 1)
+        number = left << half | right
+        if number < n:
+            return number
+
+
+def test_training_order(edges, empty, tmp_path):
+    path, length, end = bpe.default_tokenizer(), 64, 50256
+    made = lambda docs, folder: docs and ordering.materialise_order(docs, str(folder), path, length=length, rows_a_shard=100).orderBy("slot").collect()
+    rows = made(edges, tmp_path / "a")
+    parts = {}
+    for r in edges.select(F.spark_partition_id().alias("part"), "doc_id", "text").collect():
+        ids = [*_library.encode(r["text"] or "", add_special_tokens=False).ids, end]
+        parts.setdefault(r["part"], []).extend((i, r["doc_id"], n == 0) for n, i in enumerate(ids))
+    packed = [tokens[at : at + length] for _, tokens in sorted(parts.items()) for at in range(0, len(tokens), length)]
+    wanted = {}
+    for number, tokens in enumerate(packed):
+        docs = [doc for n, (_, doc, new) in enumerate(tokens) if new or n == 0]
+        wanted[plain_slot(number, len(packed), ordering.KEY)] = ([i for i, _, _ in tokens] + [end] * (length - len(tokens)), len(tokens), docs)
+    assert [r["slot"] for r in rows] == list(range(len(packed))) == sorted(wanted)
     for r in rows:
         with open(tmp_path / "a" / f"shard-{r['shard']:08d}.bin", "rb") as f:
             f.seek(r["at_byte"])
-            ids = np.frombuffer(f.read(stride), "<u2")
-        text.update(ids[: r["n_tokens"]].tolist())
-    wanted = Counter()
-    for _, t in pairs(edge_rows):
-        wanted.update([*_library.encode(t or "", add_special_tokens=False).ids, 50256])
-    assert text == wanted
+            raw = f.read(2 * length)
+        assert (np.frombuffer(raw, "<u2").tolist(), r["n_tokens"], r["doc_ids"]) == wanted[r["slot"]] and r["ids_crc32"] == zlib.crc32(raw)
     before = {p.name: p.read_bytes() for p in (tmp_path / "a").iterdir()}
-    made(tmp_path / "a")
+    (tmp_path / "a" / "shard-00000001.bin").write_bytes(b"x" * len(before["shard-00000001.bin"]))
+    (tmp_path / "a" / "shard-00000002.bin").unlink()
+    kept = (tmp_path / "a" / "shard-00000000.bin").stat().st_mtime_ns
+    made(edges, tmp_path / "a")  # a broken and a missing shard are made again, the others left alone
     assert {p.name: p.read_bytes() for p in (tmp_path / "a").iterdir()} == before
-    assert ordering.materialise_order(empty, str(tmp_path / "b"), path).count() == 0
+    assert (tmp_path / "a" / "shard-00000000.bin").stat().st_mtime_ns == kept
+    with pytest.raises(ValueError, match="another"):
+        made(edges.filter("doc_id > 6"), tmp_path / "a")
+    assert made(empty, tmp_path / "b") == []
+
+
+def test_training_order_encoder_matches_the_library():
+    encoder = ordering.Encoder.of(bpe.tokenizer_spec(bpe.default_tokenizer()))
+    for text in ["", "plain text", "<|endoftext|> inside", "x" * 5000, " " * 4000 + "end", "a" * 1999 + " \n\n" + "Été 日本語 😀"]:
+        assert encoder.encode(text).tolist() == _library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
