@@ -75,14 +75,15 @@ def unlike_others(texts: list[str]) -> list[str]:
 
 
 def counted_beginnings(texts: list[str]) -> list[Counter]:
-    """Of each text how often its word beginnings occur, between neighbours between which no earlier one did."""
-    seen: set[tuple] = set()
-    out = []
-    for text in texts:
+    """How often word beginnings occur in each fold's texts, between neighbours between which no earlier one did."""
+    seen: set[int] = set()
+    out = [Counter() for _ in range(FOLDS)]
+    for n, text in enumerate(texts):
         words = ["", *text.lower().split(), ""]
-        contexts = {tuple(words[i - 1 : i + 2]) for i in range(1, len(words) - 1)}
-        out.append(Counter(b for c in contexts - seen for b in set(beginnings(c[1]))))
-        seen |= contexts
+        contexts = {hash(tuple(words[i - 1 : i + 2])): words[i] for i in range(1, len(words) - 1)}
+        new = contexts.keys() - seen
+        out[n % FOLDS].update(b for c in new for b in set(beginnings(contexts[c])))
+        seen |= new
     return out
 
 
@@ -163,13 +164,9 @@ class Model:
         counts = [counted_beginnings(texts) for texts in classes]
 
         def without(fold: int | None) -> Dictionaries:
-            kept = [[(t, c) for i, (t, c) in enumerate(zip(*of, strict=True)) if i % FOLDS != fold] for of in zip(classes, counts, strict=True)]
-            kept = [k or list(zip(*of, strict=True)) for k, of in zip(kept, zip(classes, counts, strict=True), strict=True)]
-            totals = [Counter() for _ in kept]
-            for total, rows in zip(totals, kept, strict=True):
-                for _, count in rows:
-                    total.update(count)
-            return Dictionaries([t for t, _ in kept[0]], [t for t, _ in kept[1]], telling(*totals))
+            kept = [[t for i, t in enumerate(texts) if i % FOLDS != fold] or texts for texts in classes]
+            totals = [sum((c for i, c in enumerate(of) if i != fold), Counter()) for of in counts]
+            return Dictionaries(*kept, telling(*totals))
 
         gains: list[list[np.ndarray]] = [[], []]
         for fold in range(FOLDS):
