@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.tables import written
+
 K1, B = 1.2, 0.75
-#: Query vectors that go to the executors at once; more are searched block by block.
-QUERY_BLOCK = 10_000
+#: Query vectors that go to the executors at once; more are searched block by block. Vectors that one step scores.
+QUERY_BLOCK, STEP = 10_000, 512
+#: Query terms that are broadcast at most; more are joined by a shuffle.
+MOST_TERMS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -26,22 +30,40 @@ def term_statistics(docs: DataFrame, field: str = "content", key: str = "doc_id"
     return postings, rows.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, fields: tuple[str, ...] = ("content", "title", "keywords"), top_k: int = 100, key: str = "doc_id") -> DataFrame:
-    """query_id, key, score, rank: of each document its best field's score; queries: query_id, query."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    scored = None
-    for field in fields:
-        postings, totals = term_statistics(docs, field, key)
-        found = postings.join(wanted, "term", "left_semi")
-        frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        weighted = found.join(frequency, "term").join(F.broadcast(totals)).select("term", key, weight.alias("weight"))
-        one = terms.join(weighted, "term").groupBy("query_id", key).agg(F.sum("weight").alias("score"))
-        scored = one if scored is None else scored.unionByName(one)
-    best = scored.groupBy("query_id", key).agg(F.max("score").alias("score"))
-    return ranked(best, top_k, key)
+def postings_of(docs: DataFrame, wanted: DataFrame, fields: tuple[str, ...], key: str) -> DataFrame:
+    """field, key, dl, term, tf of the wanted terms, and for every field of every document one row without a term.
+
+    Texts are cut into tokens once; other terms go before anything is shuffled."""
+    words = {f: F.col(f) if isinstance(docs.schema[f].dataType, T.ArrayType) else tokens(F.col(f)) for f in fields}
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(w, F.array().cast("array<string>")).alias("words")) for f, w in words.items()))
+    rows = docs.select(key, F.explode(each).alias("of")).select(key, "of.field", "of.words", F.size("of.words").alias("dl"))
+    counted = rows.select(key, "field", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("term"))
+    wanted = wanted.withColumn("asked", F.lit(True))
+    if wanted.count() <= MOST_TERMS:
+        wanted = F.broadcast(wanted)
+    found = counted.join(wanted, "term", "left").filter("asked or term is null")
+    return found.groupBy("field", key, "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, fields: tuple[str, ...] = ("content", "title", "keywords"), top_k: int = 100, key: str = "doc_id", filters: dict[str, object] | None = None) -> DataFrame:
+    """query_id, key, score, rank: of each document its best field's score; queries: query_id, query.
+
+    filters: column of docs -> value, or list of values, that hits must have; they change no score."""
+    terms = written(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "terms")
+    rows = written(postings_of(docs, terms.select("term").distinct(), fields, key), "postings")
+    totals = rows.filter("term is null").groupBy("field").agg(F.sum("tf").alias("docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    found = rows.filter("term is not null")
+    frequency = found.groupBy("field", "term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    if filters:
+        allowed = docs
+        for column, value in filters.items():
+            allowed = allowed.filter(F.col(column).isin(list(value) if isinstance(value, (list, tuple, set)) else [value]))
+        found = found.join(allowed.select(key).distinct(), key, "left_semi")
+    weighted = found.join(frequency, ["field", "term"]).join(F.broadcast(totals), "field").select("field", "term", key, weight.alias("weight"))
+    scored = weighted.join(terms, "term").groupBy("query_id", key, "field").agg(F.sum("weight").alias("score"))
+    return ranked(scored.groupBy("query_id", key).agg(F.max("score").alias("score")), top_k, key)
 
 
 def ranked(scores: DataFrame, top_k: int, key: str = "doc_id") -> DataFrame:
@@ -51,25 +73,38 @@ def ranked(scores: DataFrame, top_k: int, key: str = "doc_id") -> DataFrame:
 
 def _nearest(names: list, matrix: np.ndarray, k: int, key: str, vector: str):
     def search(frames):
-        best: dict[int, pd.DataFrame] = {}
+        # Of each query the best scores so far and their keys; a step adds STEP vectors and keeps the best k again.
+        scores, keys = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+        known: list = []
         for frame in frames:
-            rows = np.stack(frame[vector].to_numpy()).astype(np.float64) if len(frame) else np.zeros((0, matrix.shape[1]))
-            scores = matrix @ (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).T
-            keys = frame[key].to_numpy()
-            for i in range(len(names)):
-                order = np.lexsort((keys, -np.round(scores[i], 9)))[:k]
-                new = pd.DataFrame({"query_id": names[i], key: keys[order], "score": scores[i][order]})
-                both = pd.concat([best[i], new]) if i in best else new
-                best[i] = both.sort_values(["score", key], ascending=[False, True]).head(k)
-        yield from best.values()
+            for at in range(0, len(frame), STEP):
+                part = frame.iloc[at : at + STEP]
+                rows = np.stack(part[vector].to_numpy()).astype(np.float64)
+                new = matrix @ (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)).T
+                number = np.arange(len(known), len(known) + len(part))
+                known += part[key].tolist()
+                scores = np.concatenate([scores, new], 1)
+                keys = np.concatenate([keys, np.broadcast_to(number, new.shape)], 1)
+                if scores.shape[1] > k:
+                    order = np.lexsort((np.argsort(np.argsort(np.array(known, dtype=object)))[keys], -np.round(scores, 9)), axis=1)[:, :k]
+                    scores, keys = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+                    used, keys = np.unique(keys, return_inverse=True)
+                    known, keys = [known[i] for i in used], keys.reshape(scores.shape)
+        for at in range(0, len(names), STEP):
+            part = slice(at, at + STEP)
+            yield pd.DataFrame({"query_id": np.repeat(np.array(names[part], dtype=object), scores.shape[1]), key: [known[i] for i in keys[part].ravel()], "score": scores[part].ravel()})
 
     return search
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int = 100, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int = 100, key: str = "doc_id", vector: str = "embedding", doc_ids: DataFrame | list | None = None) -> DataFrame:
     """query_id, key, score, rank of the nearest vectors; queries: query_id and a vector. Each task keeps top_k for a query.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK."""
+    Queries go to the tasks in blocks of QUERY_BLOCK. doc_ids: keys that hits must have, a list or a table of the key."""
+    if isinstance(doc_ids, DataFrame):
+        vectors = vectors.join(doc_ids.select(key).distinct(), key, "left_semi")
+    elif doc_ids is not None:
+        vectors = vectors.filter(F.col(key).isin(list(doc_ids)))
     numbered = queries.select("query_id", F.col(vector).alias("vector"))
     blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
     found = None
@@ -165,15 +200,19 @@ def last_messages(turns: DataFrame, n: int = 5) -> DataFrame:
     return kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
 
 
+#: Headings and line formats of the graph context.
+CONTEXT_HEADS = {"entities": "相关实体", "relations": "相关关系", "paths": "证据路径"}
+
+
 def graph_context(entities: Column, relations: Column, paths: Column) -> Column:
     """Lines for at most 10 entities (descriptions of 100 characters), 10 relations and 3 paths; fixed line formats."""
 
     def part(head: str, rows: Column, most: int, line) -> Column:
         return F.when(F.size(rows) > 0, F.concat(F.lit(f"【{head}】\n"), F.array_join(F.transform(F.slice(rows, 1, most), line), "\n")))
 
-    entity = part("相关实体", entities, 10, lambda e: F.concat(F.lit("  - "), e["name"], F.lit("（"), e["type"], F.lit("）: "), F.substring(F.coalesce(e["description"], F.lit("")), 1, 100)))
-    relation = part("相关关系", relations, 10, lambda r: F.concat(F.lit("  - "), r["head"], F.lit(" --["), r["type"], F.lit("]--> "), r["tail"]))
-    path = part("证据路径", paths, 3, lambda p: F.concat(F.lit("  - "), F.array_join(p, " -> ")))
+    entity = part(CONTEXT_HEADS["entities"], entities, 10, lambda e: F.concat(F.lit("  - "), e["name"], F.lit("（"), e["type"], F.lit("）: "), F.substring(F.coalesce(e["description"], F.lit("")), 1, 100)))
+    relation = part(CONTEXT_HEADS["relations"], relations, 10, lambda r: F.concat(F.lit("  - "), r["head"], F.lit(" --["), r["type"], F.lit("]--> "), r["tail"]))
+    path = part(CONTEXT_HEADS["paths"], paths, 3, lambda p: F.concat(F.lit("  - "), F.array_join(p, " -> ")))
     return F.concat_ws("\n\n", entity, relation, path)
 
 
