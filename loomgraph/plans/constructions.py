@@ -10,23 +10,25 @@ from .catalog import query
 from .fixtures import derived, table
 
 c = F.col
-#: Words of a document's two chunks, 1 to 6 and 4 to 9 of its long words; every tenth document's response is malformed.
-_WORDS = r"SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{6,}') AS w FROM documents WHERE lang = 'en' AND doc_id % 10 <> 0"
+#: Words of a response, one response for each so many words of a document; those of every tenth document are malformed.
+SPAN = 50
+_WORDS = r"SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS w FROM documents WHERE doc_id % 10 <> 0"
 _TYPE = "['Person', 'Organization', 'Location', 'Product', 'Event', 'Concept'][length({}) % 6 + 1]"
-_E = f"m AS (SELECT doc_id, chunk_id, i - 1 AS ord, w[chunk_id * 3 + i] AS name, {_TYPE.format('w[chunk_id * 3 + i]')} AS type, (50 + (length(w[chunk_id * 3 + i]) * 7 + i * 13) % 51) / 1e2 AS confidence, lower(w[chunk_id * 3 + i]) AS normalized_name FROM ({_WORDS}) z, (VALUES (0), (1)) k(chunk_id), (VALUES (1), (2), (3), (4), (5), (6)) n(i) WHERE chunk_id * 3 + i <= len(w))"
+_E = f"""c AS (SELECT doc_id, chunk_id, w[chunk_id * {SPAN} + 1 : chunk_id * {SPAN} + {SPAN}] AS v FROM (SELECT *, unnest(generate_series(0, (len(w) - 1) // {SPAN})) AS chunk_id FROM ({_WORDS}) z WHERE len(w) > 0) y),
+m AS (SELECT doc_id, chunk_id, i - 1 AS ord, name, {_TYPE.format('name')} AS type, (50 + (length(name) * 7 + i * 13) % 51) / 1e2 AS confidence, lower(name) AS normalized_name FROM (SELECT doc_id, chunk_id, unnest(v) AS name, generate_subscripts(v, 1) AS i FROM c) x)"""
 _R = "r AS (SELECT a.doc_id, a.chunk_id, a.ord, a.name AS head, b.name AS tail, ['BELONGS_TO', 'CONTAINS', 'LOCATED_AT'][(length(a.name) + length(b.name)) % 3 + 1] AS relation, concat(a.name, ' ', b.name) AS evidence, a.confidence, lower(a.name) AS head_key, lower(b.name) AS tail_key FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.chunk_id = b.chunk_id AND b.ord = a.ord + 1)"
 
 
 def responses(spark, d):
-    """The input that the SQL twins restate: two chunks of six long words from each English document."""
-    docs = table(spark, d, "documents").filter("lang = 'en'")
-    words = F.regexp_extract_all("text", F.lit("([A-Za-z]{6,})"), F.lit(1))
-    rows = docs.select("doc_id", words.alias("w")).withColumn("chunk_id", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("w", F.slice("w", c("chunk_id") * 3 + 1, F.lit(6)))
-    return answered(rows)
+    """One response for each SPAN words of each document, from all of its words."""
+    words = F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), F.lit(1))
+    parts = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / SPAN).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", words.alias("w")).filter(F.size("w") > 0).select("doc_id", F.explode(parts).alias("chunk_id"), "w")
+    return answered(rows.withColumn("w", F.slice("w", c("chunk_id") * SPAN + 1, F.lit(SPAN))))
 
 
 def whole_responses(spark, d):
-    """One response for each chunk of each document in any language, from all words of the chunk."""
+    """One response for each chunk of each document, from all words of the chunk."""
     chunks = table(spark, d, "documents").select("doc_id", F.inline(tx.fixed_chunks(c("text"))))
     return answered(chunks.select("doc_id", c("position").alias("chunk_id"), F.regexp_extract_all("content", F.lit(r"(\p{L}+)"), F.lit(1)).alias("w")))
 
@@ -62,14 +64,10 @@ query("agg_17_batch_relations")(lambda spark, d: kg.extract_chunks(whole_respons
 query("kgc_01_extract_chunks")(lambda spark, d: kg.extract_chunks(whole_responses(spark, d))[0].select("doc_id", "chunk_id", "ord", "name", "type", "confidence", "source_count"))
 query("kgc_02_extract_documents")(lambda spark, d: kg.extract_documents(whole_responses(spark, d))[0].select("doc_id", "type", "normalized_name", "name", F.round("confidence", 6).alias("confidence"), "source_count"))
 query("kgc_03_build_graph")(lambda spark, d: kg.build_graph(whole_responses(spark, d))[1].select("id", "src", "dst", "relation", F.round("confidence", 6).alias("confidence")))
-query("agg_22_summary", f"WITH {_E}, g AS (SELECT doc_id, count(DISTINCT concat(type, '|', normalized_name)) AS e FROM m GROUP BY doc_id) SELECT doc_id, coalesce(e, 0) AS entity_count, CASE WHEN e > 0 THEN 'success' ELSE 'empty' END AS status FROM documents LEFT JOIN g USING (doc_id) WHERE lang = 'en'")(lambda spark, d: kg.summary(kg.merge_document_entities(kg.entity_mentions(responses(spark, d))), kg.relation_mentions(responses(spark, d)), table(spark, d, "documents").filter("lang = 'en'")).select("doc_id", "entity_count", "status"))
+query("agg_22_summary", f"WITH {_E}, g AS (SELECT doc_id, count(DISTINCT concat(type, '|', normalized_name)) AS e FROM m GROUP BY doc_id) SELECT doc_id, coalesce(e, 0) AS entity_count, CASE WHEN e > 0 THEN 'success' ELSE 'empty' END AS status FROM documents LEFT JOIN g USING (doc_id)")(lambda spark, d: kg.summary(kg.merge_document_entities(kg.entity_mentions(responses(spark, d))), kg.relation_mentions(responses(spark, d)), table(spark, d, "documents")).select("doc_id", "entity_count", "status"))
 query("join_04_link", f"WITH {_E}, {_R}, ids AS (SELECT doc_id, normalized_name, min(concat(type, '/', normalized_name)) AS id FROM m WHERE confidence >= .6 GROUP BY ALL) SELECT r.doc_id, r.chunk_id, r.ord, a.id AS src, b.id AS dst FROM r JOIN ids a ON a.doc_id = r.doc_id AND a.normalized_name = head_key JOIN ids b ON b.doc_id = r.doc_id AND b.normalized_name = tail_key")(lambda spark, d: kg.link(kg.relation_mentions(responses(spark, d)), kg.merge_document_entities(kg.entity_mentions(responses(spark, d)).filter("confidence >= 0.6")).withColumn("id", F.concat_ws("/", "type", "normalized_name")))[0].select("doc_id", "chunk_id", "ord", "src", "dst"))
 
-_MENTIONS = "SELECT p_partkey AS mention_id, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, '!') ELSE substring(p_name, 1, length(p_name) - 1) END AS name, CAST(NULL AS STRING) AS type, concat('Product node named ', p_name) AS context, concat('P', CAST(p_partkey AS STRING)) AS expected_id FROM part WHERE p_partkey % 20 = 0"
-
-#: The same of all parts, for the queries without SQL twin; join_08 keeps to what its SQL restates.
-_ALL_MENTIONS = _MENTIONS.split(" WHERE ")[0]
-
+_MENTIONS = "SELECT p_partkey AS mention_id, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, '!') ELSE substring(p_name, 1, length(p_name) - 1) END AS name, CAST(NULL AS STRING) AS type, concat('Product node named ', p_name) AS context, concat('P', CAST(p_partkey AS STRING)) AS expected_id FROM part"
 
 def products(spark, d):
     from .fixtures import entities
@@ -82,8 +80,8 @@ query("join_08_blocking", f"WITH m AS (SELECT mention_id, {_NORM.format('name')}
 query("txt_11_resolver_similarity")(lambda spark, d: resolved(spark, d).select("mention_id", "confidence"))
 query("kgc_04_resolve")(lambda spark, d: resolved(spark, d))
 query("win_03_best_candidates")(lambda spark, d: resolved(spark, d).filter("not is_new").select("mention_id", "entity_id"))
-query("agg_23_resolution_accuracy")(lambda spark, d: kg.resolution_accuracy(resolved(spark, d), derived(spark, d, _ALL_MENTIONS).select("mention_id", "expected_id")))
+query("agg_23_resolution_accuracy")(lambda spark, d: kg.resolution_accuracy(resolved(spark, d), derived(spark, d, _MENTIONS).select("mention_id", "expected_id")))
 
 
 def resolved(spark, d):
-    return kg.resolve(derived(spark, d, _ALL_MENTIONS).drop("expected_id"), products(spark, d))
+    return kg.resolve(derived(spark, d, _MENTIONS).drop("expected_id"), products(spark, d))

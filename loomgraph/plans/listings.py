@@ -58,8 +58,8 @@ query("win_08_first_by_hash", "SELECT sha256(text) AS content_hash, min(doc_id)
 _RBAC = """u AS (SELECT c_custkey AS user_id, c_custkey % 9 = 0 AS deleted FROM customer),
 ro AS (SELECT DISTINCT c_custkey % 50 AS role_id, (c_custkey % 50) % 9 = 8 AS deleted, (c_custkey % 50) % 7 <> 3 AS enabled FROM customer),
 ur AS (SELECT c_custkey AS user_id, c_custkey % 50 AS role_id FROM customer UNION SELECT c_custkey, (c_custkey * 7) % 50 FROM customer),
-p AS (SELECT p_partkey AS permission_id, concat('perm', CAST(p_partkey AS STRING)) AS code, p_partkey % 9 = 0 AS deleted FROM part WHERE p_partkey <= 200),
-rp AS (SELECT p_partkey % 50 AS role_id, p_partkey AS permission_id FROM part WHERE p_partkey <= 200)"""
+p AS (SELECT p_partkey AS permission_id, concat('perm', CAST(p_partkey AS STRING)) AS code, p_partkey % 9 = 0 AS deleted FROM part),
+rp AS (SELECT p_partkey % 50 AS role_id, p_partkey AS permission_id FROM part)"""
 
 
 @query("join_09_access_review", f"WITH {_RBAC} SELECT DISTINCT user_id, code FROM u JOIN ur USING (user_id) JOIN ro USING (role_id) JOIN rp USING (role_id) JOIN p USING (permission_id) WHERE NOT u.deleted AND NOT ro.deleted AND enabled AND NOT p.deleted")

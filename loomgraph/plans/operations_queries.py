@@ -36,4 +36,15 @@ query("str_01_status_machine")(lambda spark, d: processing.status_batch(messages
 query("str_05_progress")(lambda spark, d: processing.progress(processing.status_batch(messages(spark, d))))
 query("str_06_quota")(lambda spark, d: processing.quota_batch(table(spark, d, "events").select(c("user_id").alias("client_id"), F.lit("document").alias("route"), c("event_id").alias("request_id"), "ts")))
 query("str_08_daily_counts", "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, event_type AS action, count(*) AS n FROM events GROUP BY ALL")(lambda spark, d: processing.daily_counts(table(spark, d, "events").select("ts", c("event_type").alias("action"))))
-query("str_03_routing", "SELECT event_type AS action, count(*) AS n FROM events GROUP BY event_type")(lambda spark, d: processing.route(table(spark, d, "events").select(c("event_type").alias("action")))[1].groupBy("action").agg(F.count("*").alias("n")))
+_ACTIONS = ("FULL_PROCESS", "PARSE", "CHUNK", "EMBED", "PURGE", None)
+_ACTION_SQL = "[" + ", ".join("NULL" if a is None else f"'{a}'" for a in _ACTIONS) + "][event_id % 6 + 1]"
+
+
+@query("str_03_routing", f"SELECT coalesce(action, 'none') AS action, CASE WHEN action IN ('FULL_PROCESS', 'PARSE', 'CHUNK', 'EMBED') THEN action ELSE 'unknown' END AS routed, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT event_id, {_ACTION_SQL} AS action FROM events) z GROUP BY ALL")
+def str_03(spark, d):
+    action = F.get(F.array(*map(F.lit, _ACTIONS)), (c("event_id") % 6).cast("int"))
+    known, unknown = processing.route(table(spark, d, "events").select("event_id", action.alias("action")))
+    rows = unknown.withColumn("routed", F.lit("unknown"))
+    for name, part in known.items():
+        rows = rows.unionByName(part.withColumn("routed", F.lit(name)))
+    return rows.groupBy(F.coalesce("action", F.lit("none")).alias("action"), "routed").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))

@@ -10,7 +10,7 @@ from .fixtures import GRAPH_SQL, entities, table
 
 c = F.col
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
-_DOCS = f"k AS (SELECT doc_id, {_TOK.format('text')} AS content, list_slice({_TOK.format('text')}, 1, 8) AS title, [lang, source] AS keywords FROM documents), q AS (SELECT item_id AS query_id, array_to_string(list_slice({_TOK.format('text')}, 1, 3), ' ') AS query, list_slice({_TOK.format('text')}, 1, 3) AS terms FROM benchmark)"
+_DOCS = f"k AS (SELECT doc_id, {_TOK.format('text')} AS content, list_slice({_TOK.format('text')}, 1, 8) AS title, [lang, source] AS keywords FROM documents), q AS (SELECT item_id AS query_id, text AS query, {_TOK.format('text')} AS terms FROM benchmark)"
 
 
 def _field(f):
@@ -32,7 +32,7 @@ def docs(spark, d):
 
 
 def queries(spark, d):
-    asked = table(spark, d, "benchmark").select(c("item_id").alias("query_id"), F.array_join(F.slice(rt.tokens(c("text")), 1, 3), " ").alias("query"))
+    asked = table(spark, d, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"))
     return asked.join(table(spark, d, "embeddings").select(c("vec_id").alias("query_id"), "embedding"), "query_id", "left")
 
 

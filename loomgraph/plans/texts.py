@@ -35,7 +35,7 @@ query("txt_07_chunk_strategy", f"SELECT id, CASE WHEN doc_type IN ('pdf', 'docx'
 query("txt_08_entity_name", f"{GRAPH_SQL} SELECT id, lower(regexp_replace(name, '{_W}', '', 'g')) AS name FROM e")(lambda spark, d: entities(spark, d).select("id", tx.entity_name(c("name")).alias("name")))
 query("txt_09_relation_name", "SELECT item_id, lower(trim(concat('  ', substring(text, 1, 20), ' '))) AS name FROM benchmark")(lambda spark, d: table(spark, d, "benchmark").select("item_id", tx.relation_name(F.concat(F.lit("  "), F.substring("text", 1, 20), F.lit(" "))).alias("name")))
 query("txt_10_name_similarity")(lambda spark, d: table(spark, d, "part").select("p_partkey", F.round(tx.name_similarity("p_name", F.reverse("p_name")), 6).alias("ratio")))
-query("txt_12_context_overlap", r"SELECT doc_id, round(CASE WHEN len(m) > 0 THEN len(list_filter(m, lambda x: list_contains(w, x))) / len(m) ELSE 0 END, 6) AS overlap FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(substring(text, 1, 400)), '[\p{L}\p{N}_]+')) AS m, list_distinct(regexp_extract_all(lower(substring(text, 300, 600)), '[\p{L}\p{N}_]+')) AS w FROM documents) z")(lambda spark, d: docs(spark, d).select("doc_id", F.round(tx.context_overlap(F.substring("text", 300, 600), F.substring("text", 1, 400)), 6).alias("overlap")))
+query("txt_12_context_overlap", r"SELECT doc_id, round(CASE WHEN len(m) > 0 THEN len(list_filter(m, lambda x: list_contains(w, x))) / len(m) ELSE 0 END, 6) AS overlap FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(substring(text, 1, length(text) // 2 + 40)), '[\p{L}\p{N}_]+')) AS m, list_distinct(regexp_extract_all(lower(substring(text, length(text) // 2 + 1)), '[\p{L}\p{N}_]+')) AS w FROM documents) z")(lambda spark, d: docs(spark, d).select("doc_id", F.round(tx.context_overlap(F.expr("substring(text, length(text) div 2 + 1)"), F.expr("substring(text, 1, cast(length(text) div 2 + 40 as int))")), 6).alias("overlap")))
 query("txt_14_extraction_prompt", "SELECT item_id, concat('Types: Person, Product', chr(10), 'Entities: a, b', chr(10), 'Text:', chr(10), text) AS prompt FROM benchmark")(lambda spark, d: table(spark, d, "benchmark").select("item_id", tx.extraction_prompt(c("text"), ["Person", "Product"], F.array(F.lit("a"), F.lit("b"))).alias("prompt")))
 query("txt_15_entity_confidence", f"{GRAPH_SQL} SELECT id, round(greatest(0, least(1, confidence * CASE WHEN k % 1500 > 0 THEN .8 + .2 * least(1, (k % 1500) / 1000) ELSE 1 END * CASE WHEN length(name) < 2 THEN .5 WHEN length(name) > 50 THEN .8 ELSE 1 END * CASE WHEN coalesce(length(description), 0) = 0 THEN .9 ELSE 1 END)), 6) AS confidence FROM e")(lambda spark, d: entities(spark, d).select("id", F.round(tx.entity_confidence(c("confidence"), c("name"), c("description"), c("created_s") % 1500), 6).alias("confidence")))
 query("txt_16_relation_confidence", f"{GRAPH_SQL} SELECT id, round(greatest(0, least(1, confidence * CASE WHEN length(evidence) > 0 THEN .9 + .1 * least(1, length(evidence) / 100) ELSE .7 END * CASE WHEN length(src) < 2 OR length(dst) < 2 THEN .8 ELSE 1 END)), 6) AS confidence FROM r")(lambda spark, d: relations(spark, d).select("id", F.round(tx.relation_confidence(c("confidence"), c("src"), c("dst"), c("evidence")), 6).alias("confidence")))
@@ -49,7 +49,7 @@ def answers(spark, d):
     return table(spark, d, "conversations").withColumn("answer", F.concat("text", tail))
 
 
-query("txt_18_annotate")(lambda spark, d: answers(spark, d).select("conv_id", "turn", tx.annotate(c("answer"), F.array(F.substring("text", 3, 60), F.lit("no such source phrase"), F.substring("text", 30, 40))).alias("annotated")))
+query("txt_18_annotate")(lambda spark, d: answers(spark, d).select("conv_id", "turn", tx.annotate(c("answer"), F.array(c("text"), F.lit("no such source phrase"), F.reverse("text"))).alias("annotated")))
 query("txt_19_source_list", "SELECT item_id, concat('[1] first: ', substring(text, 1, 200), chr(10), '[2] ', CAST(item_id AS STRING), ': ', substring(concat('x', text), 1, 200)) AS sources FROM benchmark")(lambda spark, d: table(spark, d, "benchmark").select("item_id", tx.source_list(F.array(F.struct(F.lit("first").alias("title"), c("item_id").alias("doc_id"), c("text").alias("content")), F.struct(F.lit(None).cast("string").alias("title"), c("item_id").alias("doc_id"), F.concat(F.lit("x"), "text").alias("content")))).alias("sources")))
 query("txt_20_character_jaccard", "SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM (SELECT p_partkey, list_distinct(string_split(p_name, '')) AS a, list_distinct(string_split(p_type, '')) AS b FROM part) z")(lambda spark, d: table(spark, d, "part").select("p_partkey", F.round(tx.character_jaccard(c("p_name"), c("p_type")), 6).alias("jaccard")))
 query("txt_21_query_keywords", "SELECT item_id, array_to_string(list_filter(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]+|[A-Za-z]+'), lambda w: length(w) >= 2)[1:5], ' ') AS words FROM benchmark")(lambda spark, d: table(spark, d, "benchmark").select("item_id", F.array_join(tx.query_keywords(c("text")), " ").alias("words")))
