@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from . import bpe, decontaminate, license_scan, ordering, quality, secret_scan, shuffling, similarity, substring, toxicity
 
 
+OPERATORS = (
+    toxicity.op1_toxicity,
+    decontaminate.op2_decontaminate,
+    ordering.op3_training_order,
+    similarity.op4_ngram_jaccard,
+    license_scan.op5_license_scan,
+    bpe.op6_bpe,
+    quality.op7_quality,
+    secret_scan.op8_secret_scan,
+    shuffling.op9_shuffle,
+    substring.op10_substring_dedup,
+)
+
+
+def quality_base_counts(spark, sf_dir: str) -> DataFrame:
+    """What of op7 SQL can restate."""
+    return quality.op7_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_base_spans(spark, sf_dir: str) -> DataFrame:
+    """What of op8 SQL can restate."""
+    return secret_scan.op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def shuffle_law(spark, sf_dir: str) -> DataFrame:
+    """op9's shards: their sizes, first and last slot, and what they hold together."""
+    rows = shuffling.op9_shuffle(spark, sf_dir)
+    whole = rows.agg(F.sum("size").alias("all_bytes"), F.countDistinct("doc_id").alias("all_ids"))
+    return rows.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("slots")).join(whole)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (toxicity.op1_toxicity, decontaminate.op2_decontaminate, ordering.op3_training_order, similarity.op4_ngram_jaccard, license_scan.op5_license_scan, bpe.op6_bpe, quality.op7_quality, secret_scan.op8_secret_scan, shuffling.op9_shuffle, substring.op10_substring_dedup)}
+    return {f.__name__: f for f in (*OPERATORS, quality_base_counts, secret_base_spans, shuffle_law)}
 
 
 _LOWER_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -30,6 +66,58 @@ v AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS kept FROM (SELECT doc_i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN v USING (doc_id)"""
 
 
+def _license_sql() -> str:
+    notices = [(label, license_scan.running_words(notice)) for label, notice in license_scan.TEMPLATES]
+    half = max([license_scan.BLOCK // 2, *(len(words) for _, words in notices)])
+    rows = []
+    for label, words in ((label, sorted(set(words))) for label, words in notices):
+        listed = ", ".join(f"'{w}'" for w in words)
+        rows.append(f"('{label}', [{listed}], {len(words)}, {math.ceil(len(words) * license_scan.CONTAINMENT - 1e-9)})")
+    templates = ", ".join(rows)
+    phrases = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in license_scan.PHRASES.items())
+    return f"""WITH d AS (SELECT doc_id, text, {_LOWER_WORDS} AS w FROM documents),
+ph(label, p) AS (VALUES {phrases}), t(label, words, n, least) AS (VALUES {templates}),
+hits AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0) z, ph WHERE w[i] = p[1] AND w[i : i + len(p) - 1] = p),
+b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY doc_id),
+parts AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))) z),
+blocks AS (SELECT doc_id, list_distinct(w[i : i + {2 * half - 1}]) AS v FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) <= {2 * half} THEN [1] ELSE generate_series(1, greatest(len(w) - {half}, 1), {half}) END) AS i FROM parts WHERE len(w) > 0) z),
+m AS (SELECT doc_id, label, len(list_intersect(v, words)) / n AS share FROM blocks, t WHERE len(list_intersect(v, words)) >= least),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hits UNION ALL SELECT doc_id, label FROM m) z GROUP BY doc_id),
+x AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+
+QUALITY_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) z WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 7], ' ')) AS n FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM d WHERE len(w) >= 8) z),
+r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS j FROM g WHERE n > 1) z GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(r.n, 0) > 30 * len(w) AS base_failed FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+
+def _secret_sql() -> str:
+    parts = []
+    for place, (kind, (pattern, group, least)) in enumerate(secret_scan.KINDS.items()):
+        pattern = pattern.replace("'", "''")
+        matches = f"regexp_extract_all(text, '{pattern}', 0) AS whole, regexp_extract_all(text, '{pattern}', {group}) AS value, string_split_regex(text, '{pattern}') AS piece"
+        steps = f"SELECT doc_id, i, length(piece[i]) AS before, length(whole[i]) AS n, length(value[i]) AS size FROM (SELECT doc_id, whole, value, piece, unnest(generate_series(1, len(whole))) AS i FROM (SELECT doc_id, {matches} FROM d) z WHERE len(whole) > 0) y"
+        parts.append(f"SELECT doc_id, {place} AS place, '{kind}' AS kind, start, start + n AS \"end\" FROM (SELECT *, sum(before + n) OVER (PARTITION BY doc_id ORDER BY i) - n AS start FROM ({steps}) x) v WHERE size >= {least}")
+    spans = " UNION ALL ".join(parts)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({spans}),
+a AS (SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex, string_agg(concat(kind, ':', start, ':', "end"), ',' ORDER BY start, place) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN a USING (doc_id)"""
+
+
+SHUFFLE_SQL = f"""SELECT CAST(s AS INT) AS shard, n // {shuffling.SHARDS} + CASE WHEN s < n % {shuffling.SHARDS} THEN 1 ELSE 0 END AS n, CAST(0 AS BIGINT) AS first_slot, n // {shuffling.SHARDS} + CASE WHEN s < n % {shuffling.SHARDS} THEN 0 ELSE -1 END AS last_slot, n // {shuffling.SHARDS} + CASE WHEN s < n % {shuffling.SHARDS} THEN 1 ELSE 0 END AS slots, all_bytes, all_ids
+FROM (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 16) AS BIGINT) AS all_bytes, count(DISTINCT doc_id) AS all_ids FROM documents) z, generate_series(0, {shuffling.SHARDS - 1}) g(s) WHERE n > s"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others are tested against plain Python in tests/llm."""
-    return {"op2_decontaminate": DECONTAMINATE_SQL, "op10_substring_dedup": SUBSTRING_SQL}
+    return {
+        "op2_decontaminate": DECONTAMINATE_SQL,
+        "op5_license_scan": _license_sql(),
+        "op10_substring_dedup": SUBSTRING_SQL,
+        "quality_base_counts": QUALITY_SQL,
+        "secret_base_spans": _secret_sql(),
+        "shuffle_law": SHUFFLE_SQL,
+    }
