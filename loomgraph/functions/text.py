@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,6 +39,11 @@ def markdown(content: Column) -> Column:
     return F.struct(metadata.alias("metadata"), body.alias("body"), headings.alias("headings"), F.sha2(body, 256).alias("hash"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fixed_chunks(text: Column, size: int = 512, rate: float = 0.1, reach: int = 50) -> Column:
     """array<struct<position, content, start_offset, end_offset>> of about `size` characters.
 
@@ -48,16 +54,23 @@ def fixed_chunks(text: Column, size: int = 512, rate: float = 0.1, reach: int =
     kind = "array<struct<position:int,content:string,start_offset:int,end_offset:int>>"
 
     def step(held: Column, n: Column) -> Column:
-        start = held["at"]
-        plain = start + size
-        ahead = F.substring(text, plain + 1, F.lit(reach))
-        mark = F.regexp_instr(ahead, F.lit(SENTENCE_MARKS))
-        end = F.when((plain < F.length(text)) & (mark > 0), plain + mark).otherwise(plain)
-        content = F.regexp_replace(F.substring(text, start + 1, end - start), r"(?U)^\s+|\s+\z", "")
-        chunk = F.struct(n.alias("position"), content.alias("content"), start.alias("start_offset"), end.alias("end_offset"))
-        return F.when(start >= F.length(text), held).otherwise(F.struct((end - overlap).alias("at"), F.concat(held["out"], F.array(chunk)).alias("out")))
-
-    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda held: held["out"])
+        # What is left of the text is carried along, so that no chunk is looked up from the text's start.
+        mark = F.regexp_instr(F.substring(held["head"], size + 1, reach), F.lit(SENTENCE_MARKS))
+        long = F.when((held["left"] > size) & (mark > 0), size + mark).otherwise(size)
+        return F.when(held["left"] <= 0, held).otherwise(once(long, lambda end: grown(held, n, end)))
+
+    def grown(held: Column, n: Column, end: Column) -> Column:
+        content = F.regexp_replace(F.substring(held["head"], F.lit(1), end), r"(?U)^\s+|\s+\z", "")
+        chunk = F.struct(n.alias("position"), content.alias("content"), held["at"].alias("start_offset"), (held["at"] + end).alias("end_offset"))
+        on = end - overlap
+        rest = F.substring(held["rest"], on + 1, held["left"])
+        return once(rest, lambda rest: state(held["at"] + on, held["left"] - on, rest, F.concat(held["out"], F.array(chunk))))
+
+    def state(at: Column, left: Column, rest: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), left.alias("left"), rest.alias("rest"), F.substring(rest, 1, size + reach).alias("head"), out.alias("out"))
+
+    start = state(F.lit(0), F.length(text), text, F.array().cast(kind))
+    walked = F.aggregate(steps, start, step, lambda held: held["out"])
     kept = F.filter(walked, lambda c: c["content"] != "")
     return F.transform(kept, lambda c, i: F.struct(i.alias("position"), c["content"].alias("content"), c["start_offset"].alias("start_offset"), c["end_offset"].alias("end_offset")))
 
@@ -77,11 +90,23 @@ def semantic_chunks(text: Column, most: int = 1000, least: int = 100) -> Column:
     return F.aggregate(paragraphs, F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out")), step, flush)
 
 
+#: Least and most characters of a chunk, and the largest share that chunks overlap.
+CHUNK_SIZES, MOST_OVERLAP = (100, 2000), 0.5
+
+
 def chunk_strategy(doc_type: Column, asked: Column | None = None) -> Column:
     chosen = F.when(doc_type.isin("pdf", "docx"), "semantic").otherwise("fixed")
     return chosen if asked is None else F.coalesce(asked, chosen)
 
 
+def chunk_settings(size: Column, rate: Column) -> Column:
+    """struct<valid, size, rate>: are size and overlap within their bounds; if not, the nearest that are."""
+    low, high = CHUNK_SIZES
+    fitting = F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(size, F.lit(512))))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(MOST_OVERLAP), F.coalesce(rate, F.lit(0.1))))
+    return F.struct(((size == fitting) & (rate == share)).alias("valid"), fitting.alias("size"), share.alias("rate"))
+
+
 def entity_name(name: Column) -> Column:
     """Lower case without punctuation and spaces."""
     return F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}_]", ""))
@@ -101,10 +126,18 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
 
 
-def context_overlap(context: Column, description: Column) -> Column:
-    """Share of the description's different words that the context has."""
-    mine = words_of(F.coalesce(description, F.lit("")))
-    return F.when(F.size(mine) > 0, F.least(F.lit(1.0), F.size(F.array_intersect(words_of(context), mine)) / F.size(mine))).otherwise(0.0)
+def context_overlap(context: Column, description: Column, properties: Column | None = None) -> Column:
+    """Share of the description's different words that the context has; with properties (a map of texts), the largest share
+    of the description and of all of them."""
+    words = words_of(context)
+
+    def share(text: Column) -> Column:
+        return once(words_of(F.coalesce(text, F.lit(""))), lambda mine: F.when(F.size(mine) > 0, F.least(F.lit(1.0), F.size(F.array_intersect(words, mine)) / F.size(mine))).otherwise(0.0))
+
+    own = share(description)
+    if properties is None:
+        return own
+    return F.greatest(own, F.coalesce(F.array_max(F.transform(F.map_values(properties), share)), F.lit(0.0)))
 
 
 def resolver_similarity(name: Column, candidate: Column, ratio: Column) -> Column:
@@ -161,6 +194,21 @@ def references(answer: Column) -> Column:
     return F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda n: n.cast("int"))
 
 
+def reference_places(answer: Column) -> Column:
+    """array<struct<n, start, end>>: every [n] of an answer with its place in characters, end exclusive."""
+    pieces = F.split(answer, r"\[\d+\]", -1)
+    numbers = references(answer)
+    steps = F.zip_with(F.slice(pieces, 1, F.size(numbers)), F.regexp_extract_all(answer, F.lit(r"\[\d+\]"), F.lit(0)), lambda a, b: F.struct(F.length(a).alias("before"), F.length(b).alias("long")))
+
+    def step(held: Column, s: Column) -> Column:
+        start = held["at"] + s["before"]
+        return F.struct((start + s["long"]).alias("at"), F.concat(held["out"], F.array(start)).alias("out"))
+
+    starts = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda held: held["out"])
+    placed = F.arrays_zip(numbers.alias("n"), starts.alias("start"), steps.alias("s"))
+    return F.transform(placed, lambda p: F.struct(p["n"].alias("n"), p["start"].alias("start"), (p["start"] + p["s"]["long"]).alias("end")))
+
+
 def invalid_references(answer: Column, sources: Column) -> Column:
     return F.array_distinct(F.filter(references(answer), lambda n: (n < 1) | (n > sources)))
 

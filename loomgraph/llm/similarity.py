@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import Words, bitmap_of, bound_batches, chunks, each_salt, has_bit, materialize, mix, salt, salts_seen, spans_hash, text_or_empty
 from .components import components
 
-SHINGLE, BANDS, ROWS, STEP, THRESHOLD, TOLERANCE, BLOCK, MOST_BITS = 5, 48, 6, 24, 0.8, 1e-6, 256, 30
+SHINGLE, BANDS, ROWS, STEP, THRESHOLD, TOLERANCE, BLOCK, MOST_BITS = 5, 48, 6, 24, 0.8, 1e-6, 160, 30
 HASHES = BANDS * ROWS
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .operations import upsert
 
 PLACE = ("doc_id", "chunk_id", "ord")
 
@@ -129,20 +130,32 @@ def link(relations: DataFrame, entities: DataFrame, mode: str = "strict", by: tu
     return out.filter("src is not null and dst is not null").drop("h", "t"), out.filter("src is null or dst is null").drop("h", "t")
 
 
-def build_graph(responses: DataFrame, mode: str = "strict") -> tuple[DataFrame, DataFrame]:
-    """Entities and relations with ids made of their keys."""
+def build_graph(responses: DataFrame, mode: str = "strict", stored: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations with ids made of their keys; upserted into the stored entities and relations, where given."""
     entities, relations = extract_documents(responses)
     entities = entities.withColumn("id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "type", "normalized_name"), 256))
     linked, _ = link(relations, entities, mode)
-    return entities, linked.withColumn("id", F.sha2(F.concat_ws("|", "src", "relation", "dst"), 256))
+    linked = linked.withColumn("id", F.sha2(F.concat_ws("|", "src", "relation", "dst"), 256))
+    if stored is None:
+        return entities, linked
+    first = F.lit(1).alias("version")
+    return upsert(stored[0], entities.select("*", first)), upsert(stored[1], linked.select("*", first))
 
 
-def summary(entities: DataFrame, relations: DataFrame, documents: DataFrame) -> DataFrame:
-    """doc_id, entity_count, relation_count, status of every document."""
+def summary(entities: DataFrame, relations: DataFrame, documents: DataFrame, responses: DataFrame | None = None) -> DataFrame:
+    """doc_id, entity_count, relation_count, status of every document; with responses also errors: how many of its answers
+    hold no JSON object (status "failed" where nothing else came out)."""
     e = entities.groupBy("doc_id").agg(F.count("*").alias("e"))
     r = relations.groupBy("doc_id").agg(F.count("*").alias("r"))
     out = documents.select("doc_id").join(e, "doc_id", "left").join(r, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("e", F.lit(0)).alias("entity_count"), F.coalesce("r", F.lit(0)).alias("relation_count"), F.when(F.coalesce("e", F.lit(0)) > 0, "success").otherwise("empty").alias("status"))
+    found, wrong = F.coalesce("e", F.lit(0)), F.lit(0).cast("long")
+    if responses is not None:
+        bad = lambda c: F.when(F.from_json(tx.json_of(F.col(c)), "map<string,string>").isNull(), 1).otherwise(0)
+        broken = responses.groupBy("doc_id").agg(F.sum(bad("entity_response") + bad("relation_response")).alias("errors"))
+        out, wrong = out.join(broken, "doc_id", "left"), F.coalesce("errors", F.lit(0))
+    status = F.when(found > 0, "success").when(wrong > 0, "failed").otherwise("empty")
+    columns = ["doc_id", found.alias("entity_count"), F.coalesce("r", F.lit(0)).alias("relation_count"), status.alias("status")]
+    return out.select(*columns, *([wrong.alias("errors")] if responses is not None else []))
 
 
 def _grams(name: Column, n: int = 3) -> Column:
@@ -163,15 +176,22 @@ def blocked(mentions: DataFrame, entities: DataFrame, limit: int = 20) -> DataFr
     return pairs.select("mention_id", "id", "m", "e").distinct().withColumn("at", at).filter(F.col("at") <= limit).select("mention_id", "id")
 
 
+def ranked_candidates(mentions: DataFrame, entities: DataFrame, name_weight: float = 0.6, context_weight: float = 0.4, limit: int = 20, top_n: int = 5) -> DataFrame:
+    """mention_id, entity_id, score, rank: of each mention's candidates the top_n by score, then id."""
+    pairs = blocked(mentions, entities, limit).join(mentions, "mention_id").join(entities.select("id", F.col("name").alias("candidate"), "description", "properties"), "id")
+    name = tx.resolver_similarity(F.col("name"), F.col("candidate"), tx.name_similarity("name", "candidate"))
+    score = name_weight * name + context_weight * tx.context_overlap(F.coalesce("context", F.lit("")), F.col("description"), F.col("properties"))
+    at = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("score"), F.desc("entity_id")))
+    scored = pairs.select("mention_id", F.col("id").alias("entity_id"), F.round(score, 6).alias("score"))
+    return scored.withColumn("rank", at).filter(F.col("rank") <= top_n)
+
+
 def resolve(mentions: DataFrame, entities: DataFrame, name_weight: float = 0.6, context_weight: float = 0.4, threshold: float = 0.85, limit: int = 20) -> DataFrame:
     """Per mention (mention_id, name, type, context): the best candidate of threshold or more, or is_new."""
-    pairs = blocked(mentions, entities, limit).join(mentions, "mention_id").join(entities.select("id", F.col("name").alias("candidate"), "description"), "id")
-    name = tx.resolver_similarity(F.col("name"), F.col("candidate"), tx.name_similarity("name", "candidate"))
-    score = name_weight * name + context_weight * tx.context_overlap(F.coalesce("context", F.lit("")), F.col("description"))
-    best = pairs.withColumn("score", F.round(score, 6)).groupBy("mention_id").agg(F.max(F.struct("score", F.col("id").alias("entity_id"))).alias("best"))
+    best = ranked_candidates(mentions, entities, name_weight, context_weight, limit, 1)
     out = mentions.join(best, "mention_id", "left")
-    hit = F.coalesce(F.col("best.score") >= threshold, F.lit(False))
-    return out.select("mention_id", F.when(hit, F.col("best.entity_id")).alias("entity_id"), F.when(hit, F.col("best.score")).otherwise(0.0).alias("confidence"), (~hit).alias("is_new"), F.coalesce("type", F.lit("Concept")).alias("type"))
+    hit = F.coalesce(F.col("score") >= threshold, F.lit(False))
+    return out.select("mention_id", F.when(hit, F.col("entity_id")).alias("entity_id"), F.when(hit, F.col("score")).otherwise(0.0).alias("confidence"), (~hit).alias("is_new"), F.coalesce("type", F.lit("Concept")).alias("type"))
 
 
 def resolution_accuracy(resolved: DataFrame, truth: DataFrame) -> DataFrame:

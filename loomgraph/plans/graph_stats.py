@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import stats
 from .catalog import query
 from .fixtures import GRAPH_SQL, entities, relations
-from .tables import written
+from ..tables import written
 
 _DEG = "d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM r UNION ALL SELECT dst FROM r WHERE dst <> src) z GROUP BY id)"
 _PROPS = "(CAST(id IS NOT NULL AS INT) + CAST(name IS NOT NULL AS INT) + CAST(type IS NOT NULL AS INT) + CAST(confidence IS NOT NULL AS INT) + CAST(description IS NOT NULL AS INT) + 1 + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END)"

@@ -53,6 +53,11 @@ query("agg_18_adjacency", f"{GRAPH_SQL} SELECT src AS id, string_agg(concat(type
 query("agg_19_query_statistics", f"WITH a AS ({AUDIT}), w AS (SELECT * FROM a WHERE created_at >= (SELECT max(created_at) FROM a) - INTERVAL 7 DAY) SELECT CAST(day AS STRING) AS day, count(*) AS n, (SELECT count(*) FROM w) AS total, (SELECT round_even(avg(response_ms), 2) FROM w) AS avg_ms, (SELECT round_even(avg(satisfaction), 2) FROM w) AS avg_satisfaction FROM w GROUP BY day")(lambda spark, d: operations.query_statistics(audit(spark, d), 7))
 query("agg_20_audit_summary", f"WITH a AS ({AUDIT}) SELECT 'action' AS facet, action AS key, count(*) AS n FROM a GROUP BY action UNION ALL SELECT 'resource', resource_type, count(*) FROM a GROUP BY resource_type UNION ALL SELECT 'users', 'distinct', count(DISTINCT user_id) FROM a UNION ALL (SELECT 'top_user', username, count(*) AS n FROM a GROUP BY username ORDER BY n DESC, username LIMIT 5)")(lambda spark, d: operations.audit_summary(audit(spark, d)))
 query("agg_21_document_statistics", f"WITH f AS ({REGISTRY}) SELECT 'total' AS facet, 'all' AS key, count(*) AS n FROM f UNION ALL SELECT 'total', 'new', count(*) FROM f WHERE created_s >= 30000 UNION ALL SELECT 'doc_type', doc_type, count(*) FROM f GROUP BY doc_type UNION ALL SELECT 'status', status, count(*) FROM f GROUP BY status")(lambda spark, d: operations.document_statistics(registry(spark, d), 30000))
+query("agg_21_graph_statistics", f"{GRAPH_SQL} SELECT 'entity_type' AS facet, type AS key, count(*) AS n FROM e GROUP BY type UNION ALL SELECT 'relation_type', type, count(*) FROM r GROUP BY type UNION ALL SELECT 'total', 'entities', count(*) FROM e UNION ALL SELECT 'total', 'relations', count(*) FROM r")(lambda spark, d: operations.graph_statistics(entities(spark, d), relations(spark, d)))
+_USERS = "SELECT c_custkey AS user_id, c_custkey % 9 = 0 AS deleted FROM customer"
+query("agg_21_user_statistics", f"WITH a AS ({AUDIT}), u AS ({_USERS}) SELECT 'users' AS facet, CASE WHEN deleted THEN 'deleted' ELSE 'live' END AS key, count(*) AS n FROM u GROUP BY ALL UNION ALL SELECT 'users', 'active', count(DISTINCT user_id) FROM a WHERE created_at >= (SELECT max(created_at) FROM a) - INTERVAL 7 DAY")(lambda spark, d: operations.user_statistics(derived(spark, d, _USERS), audit(spark, d), 7))
+query("agg_06_counts", f"{GRAPH_SQL} SELECT 'type' AS facet, type AS key, count(*) AS n FROM e GROUP BY type UNION ALL SELECT 'entity', id, count(*) FROM (SELECT src AS id FROM r UNION ALL SELECT dst FROM r WHERE dst <> src) z GROUP BY id UNION ALL SELECT 'action', event_type, count(*) FROM events GROUP BY event_type UNION ALL SELECT 'document', CAST(conv_id AS STRING), count(*) FROM conversations GROUP BY conv_id")(lambda spark, d: operations.counts_per_key(entities(spark, d), relations(spark, d), audit(spark, d), table(spark, d, "conversations").withColumnRenamed("conv_id", "doc_id")))
+query("flt_03_by_source_document", f"{GRAPH_SQL}, f AS (SELECT * FROM e WHERE k % 97 = 5 OR k % 89 = 5) SELECT id, name, (SELECT count(*) FROM f) AS total FROM f ORDER BY k DESC, id LIMIT 20")(lambda spark, d: filters.list_entities(entities(spark, d).withColumn("source_docs", F.array(F.col("created_s") % 97, F.col("created_s") % 89)), source_doc=5).select("id", "name", "total"))
 query("win_08_first_by_hash", "SELECT sha256(text) AS content_hash, min(doc_id) AS id FROM documents GROUP BY text")(lambda spark, d: operations.first_by_hash(registry(spark, d).withColumn("content_hash", F.sha2("text", 256))).select("content_hash", "id"))
 
 _RBAC = """u AS (SELECT c_custkey AS user_id, c_custkey % 9 = 0 AS deleted FROM customer),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retrieval as rt
 from .catalog import query
-from .fixtures import GRAPH_SQL, entities, table
+from .fixtures import GRAPH_SQL, entities, relations, table
 
 c = F.col
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
@@ -59,7 +59,7 @@ def six(name="score"):
 query("ret_01_keyword_search", _BM25 + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM kw")(lambda spark, d: keyword_hits(spark, d).select("query_id", "doc_id", six(), "rank"))
 query("ret_02_term_statistics", f"WITH {_DOCS}, " + _field("content").split(",\ns_content")[0] + " SELECT term, df, CAST((SELECT sum(tf) FROM t_content x WHERE x.term = d_content.term) AS BIGINT) AS total FROM d_content")(lambda spark, d: rt.term_statistics(docs(spark, d))[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
 query("ret_03_vector_search", "WITH " + _VEC[2:] + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ve")(lambda spark, d: vector_hits(spark, d).select("query_id", "doc_id", six(), "rank"))
-query("ret_04_approximate_search")(lambda spark, d: rt.approximate_top_k(queries(spark, d).filter("embedding is not null"), vectors(spark, d), probe=8).select("query_id", "doc_id", six(), "rank"))
+query("ret_04_approximate_search")(lambda spark, d: rt.approximate_top_k(queries(spark, d).filter("embedding is not null"), vectors(spark, d)).select("query_id", "doc_id", six(), "rank"))
 query("ret_05_rrf", _RRF + " SELECT query_id, doc_id, round(score, 9) AS score, rank FROM hy")(lambda spark, d: hybrid_hits(spark, d).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank"))
 query("ret_06_weighted_fusion", _BM25 + _VEC + _BOTH + ", mx AS (SELECT *, max(ks) OVER w AS mk, max(vs) OVER w AS mv FROM ca WINDOW w AS (PARTITION BY query_id)), fu AS (SELECT query_id, doc_id, .3 * CASE WHEN mk > 0 THEN coalesce(ks, 0) / mk ELSE 0 END + .7 * CASE WHEN mv > 0 THEN coalesce(vs, 0) / mv ELSE 0 END AS score, kr, vr FROM mx) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, kr NULLS LAST, vr NULLS LAST) AS rank FROM fu) z WHERE rank <= 20")(lambda spark, d: rt.weighted_fusion(keyword_hits(spark, d), vector_hits(spark, d)).select("query_id", "doc_id", six(), "rank"))
 query("ret_07_hybrid", _RRF + " SELECT query_id, doc_id, rank FROM hy")(lambda spark, d: rt.hybrid(queries(spark, d).filter("embedding is not null"), docs(spark, d), vectors(spark, d)).select("query_id", "doc_id", "rank"))
@@ -91,23 +91,39 @@ def contexts(spark, d):
 
 
 query("ret_09_context", _RRF + ", x AS (SELECT query_id, rank, doc_id, concat('[', CAST(rank AS STRING), '] ', substring(text, 1, 500)) AS block FROM hy JOIN documents USING (doc_id)), t AS (SELECT *, floor(length(block) / 2) AS tokens, 1500 - coalesce(sum(floor(length(block) / 2)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft FROM x), u AS (SELECT *, coalesce(max(CASE WHEN tokens <= lft THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS broken FROM t) SELECT query_id, string_agg(substring(block, 1, CAST(2 * least(tokens, lft) + 1 AS BIGINT)), concat(chr(10), chr(10)) ORDER BY rank) AS context, string_agg(CAST(doc_id AS STRING), ',' ORDER BY rank) AS sources FROM u WHERE broken = 0 AND (tokens <= lft OR lft > 50) GROUP BY query_id")(lambda spark, d: contexts(spark, d).select("query_id", "context", F.array_join(c("sources").cast("array<string>"), ",").alias("sources")))
-query("ret_10_graph_context", f"{GRAPH_SQL}, o AS (SELECT src, dst, type, row_number() OVER (PARTITION BY src ORDER BY id) AS nth FROM r WHERE src LIKE 'O%') SELECT src AS id, concat('【相关关系】', chr(10), string_agg(concat('  - ', src, ' --[', type, ']--> ', dst), chr(10) ORDER BY nth)) AS context FROM o WHERE nth <= 10 GROUP BY src")(lambda spark, d: graph_contexts(spark, d))
+_GRAPH_CONTEXT = f"""{GRAPH_SQL}, o AS (SELECT src, dst, type, row_number() OVER (PARTITION BY src ORDER BY id) AS nth FROM r WHERE src LIKE 'O%'),
+rs AS (SELECT src AS id, string_agg(concat('  - ', src, ' --[', type, ']--> ', dst), chr(10) ORDER BY nth) AS lines, string_agg(concat('  - ', src, ' -> ', dst), chr(10) ORDER BY nth) FILTER (nth <= 3) AS paths FROM o WHERE nth <= 10 GROUP BY src),
+es AS (SELECT src AS id, string_agg(concat('  - ', name, '（', e.type, '）: ', substring(coalesce(description, ''), 1, 100)), chr(10) ORDER BY nth) AS lines FROM o JOIN e ON e.id = dst WHERE nth <= 10 GROUP BY src)
+SELECT id, concat('【相关实体】', chr(10), es.lines, chr(10), chr(10), '【相关关系】', chr(10), rs.lines, chr(10), chr(10), '【证据路径】', chr(10), rs.paths) AS context FROM rs JOIN es USING (id)"""
+query("ret_10_graph_context", _GRAPH_CONTEXT)(lambda spark, d: graph_contexts(spark, d))
 
 
 def graph_contexts(spark, d):
-    from .fixtures import relations
+    """Context of every order: what its relations lead to, the relations, and the one-step paths."""
+    edges = relations(spark, d).filter("src like 'O%'")
+    ends = edges.join(entities(spark, d).select(c("id").alias("dst"), "name", c("type").alias("kind"), "description"), "dst")
+    near = F.struct("id", c("src").alias("head"), "type", c("dst").alias("tail"), "name", "kind", "description")
+    rows = ends.groupBy(c("src").alias("id")).agg(F.array_sort(F.collect_list(near)).alias("rs"))
+    es = F.transform("rs", lambda r: F.struct(r["name"].alias("name"), r["kind"].alias("type"), r["description"].alias("description")))
+    paths = F.transform("rs", lambda r: F.array(r["head"], r["tail"]))
+    return rows.select("id", rt.graph_context(es, c("rs"), paths).alias("context"))
 
-    rows = relations(spark, d).filter("src like 'O%'").groupBy(c("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("id", c("src").alias("head"), "type", c("dst").alias("tail")))).alias("rs"))
-    none = F.array().cast("array<struct<name:string,type:string,description:string>>")
-    return rows.select("id", rt.graph_context(none, c("rs"), F.array().cast("array<array<string>>")).alias("context"))
 
+query("ret_11_prompt", _BM25 + ", x AS (SELECT query_id, string_agg(CAST(doc_id AS STRING), ', ' ORDER BY rank) AS context FROM kw WHERE rank <= 5 GROUP BY query_id) SELECT query_id, concat('Answer from the sources only and cite them as [n].', chr(10), chr(10), context, chr(10), chr(10), 'Question: ', query) AS prompt FROM x JOIN q USING (query_id)")(lambda spark, d: prompts(spark, d))
 
-query("ret_11_prompt", "SELECT item_id, concat('Answer from the sources only and cite them as [n].', chr(10), chr(10), 'some context', chr(10), chr(10), 'Question: ', text) AS prompt FROM benchmark")(lambda spark, d: table(spark, d, "benchmark").select("item_id", rt.prompt(c("text"), F.lit("some context")).alias("prompt")))
+
+def prompts(spark, d):
+    """Prompts over each question's five best documents."""
+    listed = keyword_hits(spark, d).filter("rank <= 5").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", c("doc_id").cast("string").alias("doc_id")))).alias("hits"))
+    text = F.array_join(F.transform("hits", lambda h: h["doc_id"]), ", ")
+    return listed.join(queries(spark, d).select("query_id", "query"), "query_id").select("query_id", rt.prompt(c("query"), text).alias("prompt"))
 
 
 @query("ret_12_batch_context")
 def ret_12(spark, d):
     """Hybrid hits, outside rerank scores, context and prompt for a table of questions."""
     best = reranked(spark, d).select("query_id", "doc_id", c("new_rank").alias("rank")).join(table(spark, d, "documents").select("doc_id", c("text").alias("content")), "doc_id")
-    made = rt.context(best, budget=1500).join(queries(spark, d).select("query_id", "query"), "query_id")
-    return made.select("query_id", rt.prompt(c("query"), c("context")).alias("prompt"), F.size("sources").alias("n_sources"), "truncated")
+    # The graph side: the question's own node (B and its id) with its relations, here those of the order of that number.
+    graphs = graph_contexts(spark, d).select(F.regexp_extract("id", r"(\d+)", 1).cast("long").alias("query_id"), c("context").alias("graph"))
+    made = rt.context(best, budget=1500).join(queries(spark, d).select("query_id", "query"), "query_id").join(graphs, "query_id", "left")
+    return made.select("query_id", rt.prompt(c("query"), c("context"), c("graph"), "graph_enhanced").alias("prompt"), F.size("sources").alias("n_sources"), "truncated")

@@ -17,7 +17,7 @@ def docs(spark, d):
 
 
 query("txt_01_clean", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '[^\p{L}\p{N}_ .,!?;:''"()\-]', '', 'g')) AS cleaned FROM documents""")(lambda spark, d: docs(spark, d).select("doc_id", tx.clean(c("text")).alias("cleaned")))
-query("txt_02_normalize", r"""SELECT doc_id, trim(regexp_replace(concat(replace(text, chr(10), concat(chr(13), chr(10), chr(13), chr(10))), chr(13), chr(13)), '\s*$', ''), concat(' ', chr(10), chr(13), chr(9))) IS NOT NULL AS done, length(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(10), concat(chr(13), chr(10), chr(13), chr(10), chr(13))), concat(chr(13), chr(10)), chr(10), 'g'), chr(13), chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS n FROM documents""")(lambda spark, d: docs(spark, d).select("doc_id", F.lit(True).alias("done"), F.length(tx.normalize(F.replace(c("text"), F.lit("\n"), F.lit("\r\n\r\n\r")))).cast("long").alias("n")))
+query("txt_02_normalize", r"""SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(10), concat(chr(10), chr(10), chr(10))), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g') AS normal FROM documents""")(lambda spark, d: docs(spark, d).select("doc_id", tx.normalize(F.replace(c("text"), F.lit("\n"), F.lit("\r\n\r\r\n"))).alias("normal")))
 _MD = "concat('---', chr(10), 'title: t', CAST(doc_id AS STRING), chr(10), 'lang: ', lang, chr(10), '---', chr(10), '# ', split_part(text, chr(10), 1), chr(10), 'rest', chr(10), '## second')"
 query("txt_03_markdown", f"SELECT doc_id, concat('t', CAST(doc_id AS STRING)) AS title, lang, CASE WHEN trim(split_part(text, chr(10), 1)) = '' THEN 'second' ELSE trim(split_part(text, chr(10), 1)) END AS heading, CASE WHEN trim(split_part(text, chr(10), 1)) = '' THEN 1 ELSE 2 END AS n FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", tx.markdown(F.concat(F.lit("---\ntitle: t"), c("doc_id").cast("string"), F.lit("\nlang: "), c("lang"), F.lit("\n---\n# "), F.substring_index("text", "\n", 1), F.lit("\nrest\n## second"))).alias("m")).select("doc_id", c("m.metadata")["title"].alias("title"), c("m.metadata")["lang"].alias("lang"), c("m.headings")[0]["text"].alias("heading"), F.size("m.headings").alias("n")))
 query("txt_04_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")(lambda spark, d: docs(spark, d).select("doc_id", F.sha2("text", 256).alias("hash")))
@@ -32,6 +32,7 @@ w AS (SELECT doc_id, ps, 0 AS i, '' AS now, CAST([] AS VARCHAR[]) AS done FROM p
 SELECT doc_id, unnest(CASE WHEN length(now) >= 100 THEN list_append(done, now) ELSE done END) AS content FROM w WHERE i = len(ps)"""
 query("txt_06_semantic_chunks", _SEM)(lambda spark, d: docs(spark, d).select("doc_id", F.explode(tx.semantic_chunks(F.replace(c("text"), F.lit("\n"), F.lit("\n\n")))).alias("content")))
 query("txt_07_chunk_strategy", f"SELECT id, CASE WHEN doc_type IN ('pdf', 'docx') THEN 'semantic' ELSE 'fixed' END AS strategy FROM ({REGISTRY}) z")(lambda spark, d: derived(spark, d, REGISTRY).select("id", tx.chunk_strategy(c("doc_type")).alias("strategy")))
+query("txt_07_chunk_settings", "SELECT doc_id, size BETWEEN 100 AND 2000 AND rate BETWEEN 0 AND .5 AS valid, greatest(100, least(2000, size)) AS size, greatest(0, least(.5, rate)) AS rate FROM (SELECT doc_id, CAST(length(text) AS INT) AS size, (doc_id % 9 - 1) / 1e1 AS rate FROM documents) z")(lambda spark, d: docs(spark, d).select("doc_id", tx.chunk_settings(F.length("text"), (c("doc_id") % 9 - 1) / 10).alias("s")).select("doc_id", "s.*"))
 query("txt_08_entity_name", f"{GRAPH_SQL} SELECT id, lower(regexp_replace(name, '{_W}', '', 'g')) AS name FROM e")(lambda spark, d: entities(spark, d).select("id", tx.entity_name(c("name")).alias("name")))
 query("txt_09_relation_name", "SELECT item_id, lower(trim(concat('  ', substring(text, 1, 20), ' '))) AS name FROM benchmark")(lambda spark, d: table(spark, d, "benchmark").select("item_id", tx.relation_name(F.concat(F.lit("  "), F.substring("text", 1, 20), F.lit(" "))).alias("name")))
 query("txt_10_name_similarity")(lambda spark, d: table(spark, d, "part").select("p_partkey", F.round(tx.name_similarity("p_name", F.reverse("p_name")), 6).alias("ratio")))
@@ -44,6 +45,9 @@ _TURNS = "(SELECT conv_id, turn, text, CAST(turn AS BIGINT) AS conv_turn FROM co
 query("txt_17_references", f"SELECT conv_id, turn, array_to_string(regexp_extract_all({_ANSWER}, '\\[(\\d+)\\]', 1), ',') AS cited, CASE conv_turn % 4 WHEN 0 THEN '7' WHEN 1 THEN '0' ELSE '' END AS invalid FROM {_TURNS} WHERE NOT regexp_matches(text, '\\[\\d+\\]')")(lambda spark, d: answers(spark, d).filter(~c("text").rlike(r"\[\d+\]")).select("conv_id", "turn", F.array_join(tx.references(c("answer")).cast("array<string>"), ",").alias("cited"), F.array_join(tx.invalid_references(c("answer"), F.lit(3)).cast("array<string>"), ",").alias("invalid")))
 
 
+query("txt_17_reference_places", f"SELECT conv_id, turn, string_agg(concat(n, ':', place - 1, ':', place + length(n) + 1), ',' ORDER BY i) AS places FROM (SELECT conv_id, turn, i, n, CAST(length(text) + CASE conv_turn % 4 WHEN 2 THEN CASE i WHEN 1 THEN 2 ELSE 5 END WHEN 1 THEN 2 ELSE CASE i WHEN 1 THEN 2 ELSE 10 END END AS BIGINT) AS place FROM (SELECT *, unnest(CASE conv_turn % 4 WHEN 0 THEN ['1', '7'] WHEN 1 THEN ['0'] WHEN 2 THEN ['2', '2'] ELSE [] END) AS n, unnest(CASE conv_turn % 4 WHEN 1 THEN [1] WHEN 3 THEN [] ELSE [1, 2] END) AS i FROM {_TURNS}) y WHERE NOT regexp_matches(text, '\\[\\d+\\]')) x GROUP BY ALL")(lambda spark, d: answers(spark, d).filter(~c("text").rlike(r"\[\d+\]")).select("conv_id", "turn", F.array_join(F.transform(tx.reference_places(c("answer")), lambda p: F.concat_ws(":", p["n"].cast("string"), p["start"].cast("string"), p["end"].cast("string"))), ",").alias("places")).filter("places != ''"))
+
+
 def answers(spark, d):
     tail = F.when(c("turn") % 4 == 0, " [1] and [7]").when(c("turn") % 4 == 1, " [0]").when(c("turn") % 4 == 2, " [2][2]").otherwise("")
     return table(spark, d, "conversations").withColumn("answer", F.concat("text", tail))

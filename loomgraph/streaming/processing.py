@@ -17,12 +17,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 TRANSITIONS = {("PENDING", "PARSING"), ("PARSING", "CHUNKING"), ("CHUNKING", "EMBEDDING"), ("EMBEDDING", "COMPLETED"), ("PARSING", "FAILED"), ("CHUNKING", "FAILED"), ("EMBEDDING", "FAILED"), ("FAILED", "PENDING")}
 QUOTAS, DEFAULT_QUOTA, QUOTA_MS = {"search": 50, "kg": 30, "qa": 20, "document": 10}, 100, 60_000
 ACTIONS = ("FULL_PROCESS", "PARSE", "CHUNK", "EMBED")
-MOST_RETRIES, FIRST_DELAY_MS, MOST_DELAY_MS = 3, 1000, 10_000
+MOST_RETRIES, FIRST_DELAY_MS, MOST_DELAY_MS, EXPIRY_MS = 3, 1000, 10_000, 3_600_000
 
 STATUS_OUT = "doc_id long, message_id long, status string, accepted boolean, retries int, retry_at_ms long"
 MESSAGE = "message_id long, doc_id long, to string, ts timestamp"
 
 
+def millis(ts: pd.Timestamp) -> int:
+    """Whole milliseconds since 1970, by the session's wall clock as pandas shows it."""
+    return ts.value // 1_000_000
+
+
 def status_step(state: tuple[str, int], to: str, at_ms: int) -> tuple[tuple[str, int], bool, int | None]:
     """(status, retries), accepted, and when a retry is due: a failure is retried at most MOST_RETRIES times."""
     status, retries = state
@@ -54,7 +59,7 @@ def _carried(rows: DataFrame, key: list[str], order: str, rows_of: Callable, sta
 def _status_rows(doc_id: int, frame: pd.DataFrame, state: tuple[str, int]) -> tuple[pd.DataFrame, tuple[str, int]]:
     out = []
     for message, to, ts in frame.sort_values(["ts", "message_id"])[["message_id", "to", "ts"]].itertuples(index=False):
-        state, accepted, due = status_step(state, to, int(ts.timestamp() * 1000))
+        state, accepted, due = status_step(state, to, millis(ts))
         out.append((doc_id, message, state[0], accepted, state[1], due))
     return pd.DataFrame(out, columns=["doc_id", "message_id", "status", "accepted", "retries", "retry_at_ms"]).astype({"retry_at_ms": "Int64"}), state
 
@@ -83,8 +88,49 @@ def progress(statuses: DataFrame) -> DataFrame:
     return last.select("doc_id", "last.status", F.element_at(percent, F.col("last.status")).alias("percent"), "last.retries")
 
 
+def due_retries(statuses: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents whose retry is due at `now` (one row, a timestamp), and those whose retry has been due for over EXPIRY_MS.
+
+    statuses: rows of status_batch with the messages' ts; a document's latest accepted row counts."""
+    last = statuses.filter("accepted").groupBy("doc_id").agg(F.max_by(F.struct("status", "retries", "retry_at_ms"), F.struct("ts", "message_id")).alias("last"))
+    failed = last.select("doc_id", "last.*").filter("status = 'FAILED'").join(F.broadcast(now.select(F.expr("timestampdiff(MILLISECOND, cast('1970-01-01' as timestamp_ntz), cast(now as timestamp_ntz))").alias("now_ms"))))
+    at = F.col("retry_at_ms")
+    columns = ("doc_id", "retries", "retry_at_ms")
+    fresh = at > F.col("now_ms") - EXPIRY_MS
+    return failed.filter((at <= F.col("now_ms")) & fresh).select(*columns), failed.filter((at <= F.col("now_ms")) & ~fresh).select(*columns)
+
+
+def retry_stream(messages: DataFrame) -> DataFrame:
+    """A stream of MESSAGE rows -> doc_id, retries, due_ms of every retry, emitted when its time has come.
+
+    A failure that may be retried sets a processing-time timer of its delay; a later message of the document clears it."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, retries, due = tuple(state.get) if state.exists else ("PENDING", 0, -1)
+        columns = ["doc_id", "retries", "due_ms"]
+        if state.hasTimedOut:
+            state.update((status, retries, -1))
+            yield pd.DataFrame([(key[0], retries, due)] if due >= 0 else [], columns=columns)
+            return
+        rows, (status, retries) = _status_rows(key[0], pd.concat(list(frames)), (status, retries))
+        last = rows[rows["accepted"]].tail(1)
+        wait = status == "FAILED" and len(last) and not pd.isna(last["retry_at_ms"].iloc[0])
+        due = int(last["retry_at_ms"].iloc[0]) if wait else -1 if len(last) else due
+        state.update((status, retries, due))
+        if wait:
+            state.setTimeoutDuration(min(FIRST_DELAY_MS * 2 ** (retries - 1), MOST_DELAY_MS))
+        yield pd.DataFrame([], columns=columns)
+
+    kept = "status string, retries int, due long"
+    return messages.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, retries int, due_ms long", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def without_duplicates(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """A stream without repeated message ids within the watermark."""
+    """messages without repeated message ids; of a stream, within the watermark.
+
+    Grouping by doc_id afterwards gives each document to one worker, which is what a lock per document is for."""
+    if not messages.isStreaming:
+        return messages.dropDuplicates(["message_id"])
     return messages.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["message_id"])
 
 
@@ -106,7 +152,7 @@ QUOTA_OUT = "client_id long, route string, request_id long, allowed boolean, rem
 def _quota_rows(key: tuple, frame: pd.DataFrame, state):
     out, limit = [], QUOTAS.get(key[1], DEFAULT_QUOTA)
     for request, ts in frame.sort_values(["ts", "request_id"])[["request_id", "ts"]].itertuples(index=False):
-        state, allowed, left = quota_step(state, int(ts.timestamp() * 1000), limit)
+        state, allowed, left = quota_step(state, millis(ts), limit)
         out.append((key[0], key[1], request, allowed, left))
     return pd.DataFrame(out, columns=["client_id", "route", "request_id", "allowed", "remaining"]), state
 
@@ -132,8 +178,12 @@ def daily_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return rows.groupBy(F.window("ts", "1 day").alias("w"), "action").agg(F.count("*").alias("n")).select(F.to_date("w.start").cast("string").alias("day"), "action", "n")
 
 
-def kafka_messages(spark, servers: str, topics: list[str]) -> DataFrame:
-    """Processing messages from Kafka; the file source gives the same columns in tests."""
+def parsed(raw: DataFrame) -> DataFrame:
+    """Processing messages from rows of value (JSON, bytes or text) and topic."""
     schema = T.StructType.fromDDL("message_id long, doc_id long, action string, priority int, ts timestamp, payload map<string,string>")
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).load()
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m"), "topic").select("m.*", "topic")
+
+
+def kafka_messages(spark, servers: str, topics: list[str]) -> DataFrame:
+    """Processing messages from Kafka; a file source of value and topic gives the same through `parsed`."""
+    return parsed(spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).load())

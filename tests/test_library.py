@@ -1,6 +1,7 @@
 """Streams against their batch twins, the corner rules of text and graph functions, and the registered queries."""
 
 import random
+import time
 
 import duckdb
 import pytest
@@ -96,19 +97,130 @@ def test_greedy_names(spark):
 
 
 def test_approximate_search_recall(spark):
+    """At the registered setting: recall of the ten nearest against the exact search."""
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = rows.filter("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
     exact = {(r["query_id"], r["doc_id"]) for r in retrieval.cosine_top_k(asked, rows, 10).collect()}
-    near = {(r["query_id"], r["doc_id"]) for r in retrieval.approximate_top_k(asked, rows, 10, cells=8, probe=6).collect()}
+    near = {(r["query_id"], r["doc_id"]) for r in retrieval.approximate_top_k(asked, rows, 10).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_vector_search_ties_and_steps(spark, monkeypatch):
+    """Equal scores go by key, over steps and tasks; doc_ids keeps to the asked documents."""
+    rows = spark.range(50).select(F.col("id").alias("doc_id"), F.array(F.lit(1.0), (F.col("id") % 3).cast("double")).alias("embedding"))
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 2.0])], "query_id long, embedding array<double>")
+    got = retrieval.cosine_top_k(asked, rows.repartition(3), 4).orderBy("query_id", "rank").collect()
+    assert [r["doc_id"] for r in got] == [0, 3, 6, 9, 2, 5, 8, 11]
+    few = retrieval.cosine_top_k(asked, rows, 4, doc_ids=[4, 5, 6]).orderBy("query_id", "rank").collect()
+    assert [r["doc_id"] for r in few] == [6, 4, 5, 5, 4, 6]
+
+
+def test_subgraph_and_limits(spark):
+    edges = spark.createDataFrame([("a", "1", "2", "T", 0.9), ("b", "2", "3", "T", 0.8), ("c", "3", "4", "T", 0.5), ("d", "1", "5", "T", 0.5)], "id string, src string, dst string, type string, confidence double")
+    nodes = spark.createDataFrame([(str(i), f"n{i}", "X") for i in range(1, 7)], "id string, name string, type string")
+    seed = nodes.filter("id = '1'").select("id")
+    ids = lambda of: (sorted(r["id"] for r in of[0].collect()), sorted(r["id"] for r in of[1].collect()))
+    assert ids(graph.subgraph(edges, nodes, seed)) == (["1", "2", "5"], ["a", "d"])
+    assert ids(graph.subgraph(edges, nodes, seed, depth=0)) == (["1"], ["a", "d"])
+    assert ids(graph.subgraph(edges, nodes, seed, depth=2, expand=True)) == (["1", "2", "3", "5"], ["a", "b", "d"])
+    assert ids(graph.subgraph(edges, nodes, seed, include_relations=False)) == (["1"], [])
+    assert ids(graph.subgraph(edges, nodes, seed.filter("false"))) == ([], [])
+    assert sorted(r["id"] for r in graph.bfs(edges, nodes, seed, limit=2).collect()) == ["1", "2"]
+    assert graph.bfs(edges, nodes, seed, limit=1).count() == 1
+
+
+def test_evidence_chain_without_paths(spark):
+    wide = "array<long>"
+    edges = spark.createDataFrame([("a", "1", "2", "T", 0.8, [5, 6])], f"id string, src string, dst string, type string, confidence double, source_docs {wide}")
+    nodes = spark.createDataFrame([(str(i), f"n{i}", "X", [i]) for i in range(1, 4)], f"id string, name string, type string, source_docs {wide}")
+    got = {r["seed"]: r for r in graph.evidence_chains(edges, nodes, nodes.select("id")).collect()}
+    assert got["1"]["documents"] == [1, 2, 5, 6] and len(got["1"]["paths"]) == 1 and got["1"]["start"]["name"] == "n1"
+    assert got["3"]["paths"] == [] and got["3"]["confidence"] == 0 and got["3"]["documents"] == []
+    paths = graph.evidence_paths(edges, nodes.filter("id = '1'").select("id"))
+    links = {r["key"]: r["documents"] for r in graph.linked_documents(paths, edges, nodes, [2, 5]).collect()}
+    assert links == {"1": [], "2": [2], "1_T_2": [5]}
+
+
 def test_delete_documents(spark, tmp_path):
-    chunks = spark.range(40).select((F.col("id") % 10).alias("doc_id"), F.col("id").alias("chunk_id"), F.lit("x").alias("content"))
-    path = str(tmp_path / "chunks")
+    chunks = spark.range(40).select((F.col("id") % 10).alias("doc_id"), F.col("id").alias("chunk_id"), F.concat(F.lit("word w"), F.col("id")).alias("content"))
+    path, new = str(tmp_path / "chunks"), str(tmp_path / "chunks-2")
     sources.write_chunks(chunks, chunks.select("doc_id", "chunk_id", F.array(F.lit(1.0)).alias("embedding")), path, 4)
-    sources.delete_documents(spark, path, spark.createDataFrame([(3,), (4,)], "doc_id long"), 4)
-    assert {r["doc_id"] for r in spark.read.parquet(path).collect()} == {0, 1, 2, 5, 6, 7, 8, 9}
+    assert spark.read.parquet(f"{path}.index").filter("term = 'word'").count() == 40
+    sources.delete_documents(spark, path, spark.createDataFrame([(3,), (4,)], "doc_id long"), new)
+    for side in ("", ".index"):
+        assert {r["doc_id"] for r in spark.read.parquet(new + side).collect()} == {0, 1, 2, 5, 6, 7, 8, 9}
+        assert {r["doc_id"] for r in spark.read.parquet(path + side).collect()} == set(range(10))
+
+
+def test_incremental_maintenance_adds_each_document_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"Text number {i}. " * 60) for i in range(6)], "doc_id long, text string")
+    source, path = str(tmp_path / "new"), str(tmp_path / "stored")
+    vector = lambda content: F.array(F.length(content).cast("double"))
+    for part in (rows.filter("doc_id < 4"), rows.filter("doc_id >= 2")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        sources.maintained(spark.readStream.schema(rows.schema).parquet(source), path, vector, str(tmp_path / "state")).awaitTermination()
+    got = sorted((r["doc_id"], r["chunk_id"], r["content"], r["embedding"]) for r in spark.read.parquet(path).collect())
+    want = rows.select("doc_id", F.inline(tx.fixed_chunks(F.col("text")))).collect()
+    assert got == sorted((r["doc_id"], r["position"], r["content"], [float(len(r["content"]))]) for r in want)
+    assert spark.read.parquet(f"{path}.index").filter("term = 'number'").agg(F.sum("tf")).first()[0] >= 6 * 60
+
+
+def test_read_texts(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# Title\r\n\r\n\r\n\r\nbody\r\n## Part\r\n")
+    (tmp_path / "b.log").write_text("  plain\rtext ")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in sources.read_texts(spark, str(tmp_path)).collect()}
+    assert got["a.md"]["doc_type"] == "md" and got["a.md"]["content"] == "# Title\n\nbody\n## Part"
+    assert [h["text"] for h in got["a.md"]["headings"]] == ["Title", "Part"]
+    assert got["b.log"]["doc_type"] == "txt" and got["b.log"]["content"] == "plain\ntext" and got["b.log"]["headings"] is None
+
+
+def test_messages_from_a_file_source(spark, tmp_path):
+    raw = [('{"message_id": 1, "doc_id": 7, "action": "PARSE", "priority": 2, "ts": "2024-01-01T00:00:00Z", "payload": {"a": "b"}}', "parse"), ("no json", "chunk")]
+    spark.createDataFrame(raw, "value string, topic string").write.parquet(str(tmp_path / "raw"))
+    stream = processing.parsed(spark.readStream.schema("value string, topic string").parquet(str(tmp_path / "raw")))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["topic"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (got["parse"]["message_id"], got["parse"]["doc_id"], got["parse"]["action"], got["parse"]["payload"]) == (1, 7, "PARSE", {"a": "b"})
+    assert got["chunk"]["message_id"] is None
+
+
+def test_repeated_messages_are_dropped_once_each(spark, tmp_path):
+    rows = spark.range(40).select((F.col("id") % 25).alias("message_id"), (F.col("id") % 5).alias("doc_id"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
+    assert sorted(r["message_id"] for r in processing.without_duplicates(rows).collect()) == list(range(25))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = processing.without_duplicates(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["message_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(25))
+
+
+def test_due_retries(spark):
+    at = "timestamp_ntz'2024-01-01 10:00:00'"
+    steps = [(1, 1, "PARSING", 0), (2, 1, "FAILED", 1), (3, 2, "PARSING", 0), (4, 2, "FAILED", 2), (5, 2, "PENDING", 3), (6, 3, "PARSING", 0), (7, 3, "FAILED", 7000)]
+    sent = spark.createDataFrame(steps, "message_id long, doc_id long, to string, s int").selectExpr("message_id", "doc_id", "to", f"{at} + make_dt_interval(0, 0, 0, s) AS ts")
+    statuses = processing.status_batch(sent).join(sent.select("message_id", "ts"), "message_id")
+    seen = lambda s: tuple([r["doc_id"] for r in part.collect()] for part in processing.due_retries(statuses, spark.sql(f"SELECT {at} + make_dt_interval(0, 0, 0, {s}) AS now")))
+    assert seen(1) == ([], []) and seen(3) == ([1], []) and seen(7001) == ([3], [1])
+
+
+def test_retry_stream_emits_when_due(spark, tmp_path):
+    steps = [(1, 1, "PARSING"), (2, 1, "FAILED"), (3, 2, "PARSING")]
+    rows = spark.createDataFrame(steps, "message_id long, doc_id long, to string").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = processing.retry_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("due_retries").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    try:
+        until = time.time() + 60
+        while time.time() < until and not spark.table("due_retries").count():
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert [tuple(r)[:2] for r in spark.table("due_retries").collect()] == [(1, 1)]
+
+
+def test_seconds_keep_their_milliseconds():
+    import pandas as pd
+
+    assert processing.millis(pd.Timestamp("2024-01-07 09:54:00.903999")) % 1000 == 903
 
 
 def test_construction_reads_whole_documents_of_all_languages(spark, tmp_path):
