@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, bound_batches, chunks, grams, slid_min, text_or_empty
+from .common import Words, bound_batches, chunks, grams, mix, slid_min, spans_hash, text_or_empty
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
@@ -43,7 +43,11 @@ def winnowed(hashes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Index:
-    """A block of benchmark items: word hashes, and fingerprints sorted for lookup."""
+    """A block of benchmark items: word hashes, and fingerprints sorted for lookup.
+
+    Places of one fingerprint whose surroundings, as far as a hit is extended, are the same words are looked at once: one
+    of them stands for all, and lists the items in which they are. So a header that very many items share costs a document
+    that repeats it no more than one item's does."""
 
     def __init__(self, ids: list[str], texts: list[str]):
         hashes, left, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -56,19 +60,29 @@ class Index:
         counts = np.bincount(self.row, minlength=len(ids))
         self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
         self.place = np.arange(len(self.row)) - self.first[self.row]
-        self.prints = {WINDOW: self.ordered(*winnowed(self.hashes, self.left))}
+        self.items: dict[int, np.ndarray] = {}
+        self.prints = {WINDOW: self.ordered(*winnowed(self.hashes, self.left), WINDOW)}
         for n in sorted({int(c) for c in counts if 0 < c < WINDOW}):
             at = self.first[:-1][counts == n]
-            self.prints[n] = self.ordered(*self.exact(at, n))
+            self.prints[n] = self.ordered(*self.exact(at, n), n)
 
     def exact(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         starts, found = grams(self.hashes, self.left, n)
         return at, found[np.searchsorted(starts, at)]
 
-    @staticmethod
-    def ordered(at: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(found, kind="stable")
-        return found[order], at[order]
+    def ordered(self, at: np.ndarray, found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints in order and the places that stand for each; notes their items by place."""
+        before = np.minimum(self.place[at], W - 1) if n == WINDOW else np.zeros(len(at), np.int64)
+        after = np.minimum(self.left[at], WINDOW) if n == WINDOW else np.full(len(at), n)
+        around = mix(spans_hash(self.hashes, at - before, at + after) + (before * WINDOW * 2 + after).astype(np.uint64))
+        order = np.lexsort((at, around, found))
+        at, found, around = at[order], found[order], around[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (found[1:] != found[:-1]) | (around[1:] != around[:-1])
+        edges = [*np.flatnonzero(new), len(at)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            self.items[int(at[a])] = np.union1d(self.items.get(int(at[a]), []), self.row[at[a:b]]).astype(np.int64)
+        return found[new], at[new]
 
     def joined(self, n: int, at: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (document word, item word) with equal fingerprints."""
@@ -82,7 +96,7 @@ class Index:
         return np.repeat(at, many), places[np.repeat(lo, many) + within]
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item number, first word and end word of each extended hit."""
+        """Item place, first word and end word of each extended hit."""
         hashes, left, place = words.hashes(), words.left(), words.place()
         out = []
         for n in self.prints:
@@ -102,9 +116,14 @@ class Index:
                     on = np.flatnonzero((after == reach) & (left[p] > reach) & (self.left[q] > reach))
                     after[on[hashes[p[on] + reach] == self.hashes[q[on] + reach]]] += 1
             long = before + after >= n
-            out.append((self.row[q[long]], (p - before)[long], (p + after)[long]))
+            out.append((q[long], (p - before)[long], (p + after)[long]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def names(self, places: np.ndarray) -> list[str]:
+        """Ids of the items that some places stand for."""
+        found = [self.items[int(q)] for q in np.unique(places)]
+        return [self.ids[i] for i in np.unique(np.concatenate(found))]
+
 
 def _scanner(shared):
     def scan(batches):
@@ -123,7 +142,7 @@ def _scanner(shared):
                         items.append([])
                         runs.append([])
                         continue
-                    items.append([index.ids[i] for i in np.unique(item[a:b])])
+                    items.append(index.names(item[a:b]))
                     reach = np.maximum.accumulate(end[a:b])
                     cut = np.concatenate([[0], np.flatnonzero(start[a + 1 : b] > reach[:-1]) + 1, [b - a]])
                     base = words.edges[r]

@@ -39,6 +39,20 @@ def test_decontaminate(spark, edges, edge_rows, empty, block_bytes):
     assert decontaminate.find_contamination(edges, table.filter("false")).filter("n_hit > 0").count() == 0
 
 
+def test_a_header_of_all_items_is_looked_at_once():
+    header = " ".join(f"head{i}" for i in range(30))
+    items = [(i, f"{header} own{i} tail{i % 3}") for i in range(300)]
+    index = decontaminate.Index([str(i) for i, _ in items], [t for _, t in items])
+    text = " ".join([header] * 50) + " own7 tail1"
+    (part,) = common.chunks(pa.array([text], pa.string()))
+    words = common.Words(part, lower=True)
+    at, found = decontaminate.winnowed(words.hashes(), words.left())
+    pairs = len(index.joined(decontaminate.WINDOW, at, found)[0])
+    assert pairs < 50 * 300 * 2 + 50 * 40
+    place, start, end = index.hits(words)
+    assert len(index.names(place)) == 300 and start.min() == 0 and end.max() == len(words)
+
+
 def test_substring(edges, edge_rows, empty):
     got = rows_of(substring.remove_repeats(edges))
     assert got == Counter(brute.repeats(pairs(edge_rows)))
