@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, ordering, quality, secret_scan, shuffling, similarity, substring, toxicity
+from . import bpe, centroids, decontaminate, license_scan, ordering, periodic, quality, secret_scan, shuffling, similarity, substring, toxicity, url_filter
 
 
 OPERATORS = (
@@ -21,6 +21,9 @@ OPERATORS = (
     secret_scan.op8_secret_scan,
     shuffling.op9_shuffle,
     substring.op10_substring_dedup,
+    centroids.op11_centroid_clusters,
+    url_filter.op12_url_filter,
+    periodic.op13_periodic_runs,
 )
 
 
@@ -111,12 +114,39 @@ SHUFFLE_SQL = f"""SELECT CAST(s AS INT) AS shard, n // {shuffling.SHARDS} + CASE
 FROM (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 16) AS BIGINT) AS all_bytes, count(DISTINCT doc_id) AS all_ids FROM documents) z, generate_series(0, {shuffling.SHARDS - 1}) g(s) WHERE n > s"""
 
 
+def _centroid_sql(k: int = 40, rounds: int = 5) -> str:
+    """Rounds of assignment and exact floored means, each a materialised table."""
+    near = """SELECT vec_id, a, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.n, v.vec_id, v.a, c{r}.c, list_sum(list_transform(range(1, 65), lambda i: (v.a[i] - c{r}.a[i]) * (v.a[i] - c{r}.a[i])))::BIGINT AS d FROM v, c{r}) z GROUP BY n, vec_id, a"""
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS a FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT place - 1 AS c, a FROM (SELECT a, row_number() OVER (ORDER BY sha256(concat('2:', vec_id)), a) AS place FROM v) z WHERE place <= {k})",
+    ]
+    for r in range(rounds):
+        steps.append(f"n{r} AS MATERIALIZED ({near.format(r=r)})")
+        steps.append(f"m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS a FROM (SELECT c, i, CAST(sum(a[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, a, unnest(range(1, 65)) AS i FROM n{r}) z GROUP BY c, i) y GROUP BY c)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.a, c{r}.a) AS a FROM c{r} LEFT JOIN m{r} USING (c))")
+    steps.append(f"n{rounds} AS MATERIALIZED ({near.format(r=rounds)})")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.a, ',')) AS centroid_sha256 FROM n{rounds} JOIN c{rounds} USING (c)"""
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{action}', '{host}', '{path}')" for action, host, path in url_filter.RULES)
+    return f"""WITH ru(action, rhost, rpath) AS (VALUES {rules}),
+p AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS behind FROM pages),
+h AS (SELECT n, page_id, translate(regexp_extract(behind, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(behind, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+m AS (SELECT n, max((length(rhost) + length(rpath), action = 'block', concat(rhost, rpath), action)) AS best FROM h JOIN ru ON (host = rhost OR ends_with(host, concat('.', rhost))) AND starts_with(path, rpath) GROUP BY n)
+SELECT page_id, host, path, best[3] AS rule, coalesce(best[4], 'allow') AS verdict FROM h LEFT JOIN m USING (n)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others are tested against plain Python in tests/llm."""
     return {
         "op2_decontaminate": DECONTAMINATE_SQL,
         "op5_license_scan": _license_sql(),
         "op10_substring_dedup": SUBSTRING_SQL,
+        "op11_centroid_clusters": _centroid_sql(),
+        "op12_url_filter": _url_sql(),
         "quality_base_counts": QUALITY_SQL,
         "secret_base_spans": _secret_sql(),
         "shuffle_law": SHUFFLE_SQL,
