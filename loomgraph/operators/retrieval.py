@@ -122,24 +122,6 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, top_k: int = 100, key:
     return ranked(found, top_k, key) if found is not None else ranked(queries.select("query_id", F.lit(None).cast(vectors.schema[key].dataType).alias(key), F.lit(0.0).alias("score")).filter("false"), top_k, key)
 
 
-def approximate_top_k(queries: DataFrame, vectors: DataFrame, top_k: int = 10, cells: int = 16, probe: int = 12, key: str = "doc_id", vector: str = "embedding", seed: int = 7, sample: int = 200_000) -> DataFrame:
-    """Nearest vectors among the `probe` cells nearest to each query. Cells are k-means centres of at most `sample` vectors;
-    every vector is in a cell. Recall of ten against cosine_top_k, measured on the tables here: 0.95 and more with 12 of 16
-    cells, 0.88 to 0.94 with 10, 0.82 to 0.88 with 8; all cells give exact results."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.greatest(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y), F.lit(1e-24))))
-    rows = vectors.select(key, unit(F.col(vector).cast("array<double>")).alias("v")).withColumn("features", array_to_vector("v"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(rows.orderBy(F.xxhash64(key)).limit(sample))
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    placed = model.transform(rows).select(key, "v", F.col("prediction").alias("cell"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = F.array(*(F.struct((-dot(F.col("q"), F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
-    asked = queries.select("query_id", unit(F.col(vector).cast("array<double>")).alias("q")).select("query_id", "q", F.explode(F.slice(F.array_sort(near), 1, probe)).alias("n")).select("query_id", "q", F.col("n.cell").alias("cell"))
-    return ranked(asked.join(placed, "cell").select("query_id", key, dot(F.col("q"), F.col("v")).alias("score")), top_k, key)
-
-
 def candidates(keyword: DataFrame, vector: DataFrame, key: str = "doc_id") -> DataFrame:
     """Both sides' hits, one row for each query and document: keyword and vector rank and score."""
     side = lambda rows, s: rows.select("query_id", key, F.col("rank").alias(f"{s}_rank"), F.col("score").alias(f"{s}_score"))
@@ -167,9 +149,14 @@ def weighted_fusion(keyword: DataFrame, vector: DataFrame, keyword_weight: float
     return both.withColumn("score", keyword_weight * part("keyword") + vector_weight * part("vector")).withColumn("rank", at).filter(F.col("rank") <= top_k)
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, each: int = 100, top_k: int = 20, use_keyword: bool = True, use_vector: bool = True, key: str = "doc_id") -> DataFrame:
-    """Both searches at `each` hits, fused to top_k; a side that is off gives no hits. queries: query_id, query, embedding."""
-    words, near = bm25(queries, docs, top_k=each, key=key), cosine_top_k(queries, vectors, each, key)
+def hybrid(queries: DataFrame, docs, vectors: DataFrame, each: int = 100, top_k: int = 20, use_keyword: bool = True, use_vector: bool = True, key: str = "doc_id") -> DataFrame:
+    """Both searches at `each` hits, fused to top_k; a side that is off gives no hits. queries: query_id, query, embedding.
+
+    docs: a table of documents, or a KeywordIndex of them."""
+    from . import keyword_index
+
+    words = bm25(queries, docs, top_k=each, key=key) if isinstance(docs, DataFrame) else keyword_index.search(queries, docs, each)
+    near = cosine_top_k(queries, vectors, each, key)
     return rrf(words if use_keyword else words.filter("false"), near if use_vector else near.filter("false"), top_k=top_k, key=key)
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import keyword_index, vector_index
 from ..operators import retrieval as rt
+from ..tables import shared_dir
 from .catalog import query
 from .fixtures import GRAPH_SQL, entities, relations, table
 
@@ -28,7 +32,7 @@ _RRF = _BM25 + _VEC + _BOTH + ", fu AS (SELECT query_id, doc_id, coalesce(1 / (6
 
 def docs(spark, d):
     words = rt.tokens(c("text"))
-    return table(spark, d, "documents").select("doc_id", c("text").alias("content"), F.slice(words, 1, 8).alias("title"), F.array("lang", "source").alias("keywords"), "source")
+    return table(spark, d, "documents").select("doc_id", c("text").alias("content"), F.slice(words, 1, 8).alias("title"), F.array("lang", "source").alias("keywords"), "source", "lang")
 
 
 def queries(spark, d):
@@ -40,8 +44,26 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(c("vec_id").alias("doc_id"), "embedding")
 
 
-def keyword_hits(spark, d):
-    return rt.bm25(queries(spark, d), docs(spark, d))
+_stored: dict = {}
+
+
+def stored(spark, d, kind, write, read):
+    """An index of a session's tables, written by the first query that needs it into the shared folder."""
+    at = (spark.sparkContext.applicationId, d, kind)
+    if at not in _stored:
+        path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+        write(path)
+        _stored[at] = path
+    return read(_stored[at])
+
+
+def keywords(spark, d):
+    """The keyword index of all documents."""
+    return stored(spark, d, "keywords", lambda path: keyword_index.write_index(docs(spark, d), path, together="lang"), lambda path: keyword_index.read_index(spark, path))
+
+
+def keyword_hits(spark, d, **settings):
+    return keyword_index.search(queries(spark, d), keywords(spark, d), **settings)
 
 
 def vector_hits(spark, d):
@@ -57,16 +79,28 @@ def six(name="score"):
 
 
 query("ret_01_keyword_search", _BM25 + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM kw")(lambda spark, d: keyword_hits(spark, d).select("query_id", "doc_id", six(), "rank"))
-query("ret_02_term_statistics", f"WITH {_DOCS}, " + _field("content").split(",\ns_content")[0] + " SELECT term, df, CAST((SELECT sum(tf) FROM t_content x WHERE x.term = d_content.term) AS BIGINT) AS total FROM d_content")(lambda spark, d: rt.term_statistics(docs(spark, d))[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")))
+query("ret_02_term_statistics", f"WITH {_DOCS}, " + _field("content").split(",\ns_content")[0] + " SELECT term, df, CAST((SELECT sum(tf) FROM t_content x WHERE x.term = d_content.term) AS BIGINT) AS total FROM d_content")(lambda spark, d: keywords(spark, d).terms.filter("field = 'content'").select("term", "df", "total"))
 query("ret_03_vector_search", "WITH " + _VEC[2:] + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ve")(lambda spark, d: vector_hits(spark, d).select("query_id", "doc_id", six(), "rank"))
-query("ret_04_approximate_search")(lambda spark, d: rt.approximate_top_k(queries(spark, d).filter("embedding is not null"), vectors(spark, d)).select("query_id", "doc_id", six(), "rank"))
+
+
+@query("ret_04_approximate_search")
+def ret_04(spark, d):
+    """Ten nearest of every hundredth vector by the stored index."""
+    rows = vectors(spark, d)
+    write = lambda path: vector_index.write_index(rows, path)
+    index, codes = stored(spark, d, "vectors", write, lambda path: vector_index.read_index(spark, path))
+    asked = rows.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    return vector_index.search_index(asked, rows, codes, index).select("query_id", "doc_id", six(), "rank")
+
+
+
 query("ret_05_rrf", _RRF + " SELECT query_id, doc_id, round(score, 9) AS score, rank FROM hy")(lambda spark, d: hybrid_hits(spark, d).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank"))
 query("ret_06_weighted_fusion", _BM25 + _VEC + _BOTH + ", mx AS (SELECT *, max(ks) OVER w AS mk, max(vs) OVER w AS mv FROM ca WINDOW w AS (PARTITION BY query_id)), fu AS (SELECT query_id, doc_id, .3 * CASE WHEN mk > 0 THEN coalesce(ks, 0) / mk ELSE 0 END + .7 * CASE WHEN mv > 0 THEN coalesce(vs, 0) / mv ELSE 0 END AS score, kr, vr FROM mx) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, kr NULLS LAST, vr NULLS LAST) AS rank FROM fu) z WHERE rank <= 20")(lambda spark, d: rt.weighted_fusion(keyword_hits(spark, d), vector_hits(spark, d)).select("query_id", "doc_id", six(), "rank"))
-query("ret_07_hybrid", _RRF + " SELECT query_id, doc_id, rank FROM hy")(lambda spark, d: rt.hybrid(queries(spark, d).filter("embedding is not null"), docs(spark, d), vectors(spark, d)).select("query_id", "doc_id", "rank"))
+query("ret_07_hybrid", _RRF + " SELECT query_id, doc_id, rank FROM hy")(lambda spark, d: rt.hybrid(queries(spark, d).filter("embedding is not null"), keywords(spark, d), vectors(spark, d)).select("query_id", "doc_id", "rank"))
 query("ret_08_entity_search", f"{GRAPH_SQL}, t AS (SELECT id, name, type, len({_TOK.format('name')}) AS dl, unnest({_TOK.format('name')}) AS term FROM e WHERE type = 'Product'), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT id, len({_TOK.format('name')}) AS dl FROM e WHERE type = 'Product') z), f AS (SELECT id, term, dl, count(*) AS tf FROM t GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM f GROUP BY term), q AS (SELECT DISTINCT p_partkey AS query_id, unnest(list_distinct({_TOK.format('p_name')})) AS term FROM part WHERE p_partkey % 100 = 0) SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT query_id, id, sum(ln(1 + (n - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * dl / avgdl))) AS score FROM q JOIN f USING (term) JOIN d USING (term), n GROUP BY query_id, id) y) z WHERE rank <= 10")(lambda spark, d: rt.bm25(table(spark, d, "part").filter("p_partkey % 100 = 0").select(c("p_partkey").alias("query_id"), c("p_name").alias("query")), entities(spark, d).filter("type = 'Product'"), ("name",), 10, "id").select("query_id", "id", six(), "rank"))
 _SOME = "WHERE doc_id IN (SELECT doc_id FROM documents WHERE source IN ('src3', 'src5'))"
 _FILTERED = _BM25.replace("FROM m) z", f"FROM m {_SOME}) z")
-query("ret_01_filtered_keyword_search", _FILTERED + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM kw")(lambda spark, d: rt.bm25(queries(spark, d), docs(spark, d), filters={"source": ["src3", "src5"]}).select("query_id", "doc_id", six(), "rank"))
+query("ret_01_filtered_keyword_search", _FILTERED + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM kw")(lambda spark, d: keyword_hits(spark, d, allowed=docs(spark, d).filter("source in ('src3', 'src5')")).select("query_id", "doc_id", six(), "rank"))
 query("ret_03_filtered_vector_search", "WITH " + _VEC[2:].replace("embeddings v)", "embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents WHERE source IN ('src3', 'src5')))") + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM ve")(lambda spark, d: rt.cosine_top_k(queries(spark, d).filter("embedding is not null"), vectors(spark, d), doc_ids=table(spark, d, "documents").filter("source in ('src3', 'src5')").select("doc_id")).select("query_id", "doc_id", six(), "rank"))
 query("set_02_candidates", _BM25 + _VEC + _BOTH + " SELECT query_id, count(*) AS n, count(kr) AS keyword, count(vr) AS vector FROM ca GROUP BY query_id")(lambda spark, d: rt.candidates(keyword_hits(spark, d), vector_hits(spark, d)).groupBy("query_id").agg(F.count("*").alias("n"), F.count("keyword_rank").alias("keyword"), F.count("vector_rank").alias("vector")))
 query("win_02_fused_ranks", _RRF + " SELECT query_id, string_agg(CAST(doc_id AS STRING), ',' ORDER BY rank) AS docs FROM hy GROUP BY query_id")(lambda spark, d: hybrid_hits(spark, d).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("docs")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, operations
+from ..operators import graph, operations, paths
 from .catalog import query
 from .fixtures import GRAPH_SQL, derived, entities, relations
 
@@ -29,10 +29,56 @@ SELECT seed, id, min(hops) AS hops FROM t GROUP BY seed, id"""
 query("grf_01_bfs", _REACH)(lambda spark, d: graph.bfs(relations(spark, d), entities(spark, d), seeds(spark, d), 2, types=["LOCATED_AT", "BELONGS_TO"], cap=1_000_000).select("seed", "id", "hops"))
 _DIST = f"""{_R}, {_B}, t AS (SELECT id AS seed, id, CAST(0 AS DOUBLE) AS dist, 0 AS hops FROM ({_ORDERS}) s UNION SELECT seed, far, dist + 1 / greatest(b.confidence, .1), hops + 1 FROM t JOIN b ON near = t.id WHERE dist < 2.0 AND hops < 6)
 SELECT seed, id, round(min(dist), 6) AS distance FROM t GROUP BY seed, id"""
-query("grf_02_weighted_distances", _DIST)(lambda spark, d: graph.weighted_distances(relations(spark, d), seeds(spark, d, _ORDERS), 2.0).select("seed", "id", F.round("distance", 6).alias("distance")))
-query("grf_03_shortest_paths", trail_sql(_SEEDS, 3, "b.type IN ('LOCATED_AT', 'BELONGS_TO')") + ", o AS (SELECT concat('S', CAST(s_suppkey AS STRING)) AS id FROM supplier) SELECT seed AS start, t.id AS \"end\", min(hops) AS hops FROM t JOIN o ON o.id = t.id GROUP BY ALL")(lambda spark, d: graph.shortest_paths(relations(spark, d), seeds(spark, d).select(c("id").alias("start")).join(derived(spark, d, "SELECT concat('S', CAST(s_suppkey AS STRING)) AS end FROM supplier")), 3, types=["LOCATED_AT", "BELONGS_TO"]).select("start", "end", "hops"))
+query("grf_02_weighted_distances", _DIST)(lambda spark, d: paths.weighted_distances(relations(spark, d), seeds(spark, d, _ORDERS), 2.0).select("seed", "id", F.round("distance", 6).alias("distance")))
+_WAYS = f"""{_R}, {_B}, t AS (SELECT id AS seed, id, CAST(0 AS DOUBLE) AS dist, 0 AS hops, CAST([] AS VARCHAR[]) AS back, CAST([] AS VARCHAR[]) AS edges FROM ({_ORDERS}) s
+ UNION ALL SELECT seed, far, dist + 1 / greatest(b.confidence, .1), hops + 1, list_concat([near, edge], back), list_append(edges, edge) FROM t JOIN b ON near = t.id WHERE dist < 2.0)
+SELECT seed, id, round(w.dist, 6) AS distance, w.hops AS hops, array_to_string(w.edges, '>') AS edges FROM (SELECT seed, id, arg_min({{'dist': dist, 'hops': hops, 'edges': edges}}, (dist, hops, back)) AS w FROM t GROUP BY seed, id) z"""
+
+
+@query("grf_02_weighted_paths", _WAYS)
+def grf_02(spark, d):
+    """Cheapest ways from every hundredth order to all nodes within reach."""
+    found = paths.weighted_paths(relations(spark, d), seeds(spark, d, _ORDERS), 2.0)
+    return found.select("seed", "id", F.round("distance", 6).alias("distance"), "hops", F.array_join("edges", ">").alias("edges"))
+
+
+query("grf_03_shortest_paths", trail_sql(_SEEDS, 3, "b.type IN ('LOCATED_AT', 'BELONGS_TO')") + ", o AS (SELECT concat('S', CAST(s_suppkey AS STRING)) AS id FROM supplier) SELECT seed AS start, t.id AS \"end\", min(hops) AS hops FROM t JOIN o ON o.id = t.id GROUP BY ALL")(lambda spark, d: paths.shortest_paths(relations(spark, d), seeds(spark, d).select(c("id").alias("start")).join(derived(spark, d, "SELECT concat('S', CAST(s_suppkey AS STRING)) AS end FROM supplier")), 3, types=["LOCATED_AT", "BELONGS_TO"]).select("start", "end", "hops"))
 query("grf_04_all_trails", trail_sql(_ORDERS, 2) + " SELECT seed, id, hops, array_to_string(edges, '>') AS edges FROM t WHERE hops > 0")(lambda spark, d: graph.trails(relations(spark, d), seeds(spark, d, _ORDERS), 2).select("seed", "id", "hops", F.array_join("edges", ">").alias("edges")))
 query("grf_05_exact_trails", trail_sql(_ORDERS, 3, "b.type <> 'DEPENDS_ON'") + " SELECT seed, count(*) AS n, count(DISTINCT id) AS ends FROM t WHERE hops = 3 GROUP BY seed")(lambda spark, d: graph.trails(relations(spark, d).filter("type != 'DEPENDS_ON'"), seeds(spark, d, _ORDERS), 3, exact=True).groupBy("seed").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ends")))
+_BETWEEN = f"""{trail_sql(_ORDERS, 2)}, u AS (SELECT concat('R', CAST(r_regionkey AS STRING)) AS seed, concat('R', CAST(r_regionkey AS STRING)) AS id, 0 AS hops, CAST([] AS VARCHAR[]) AS edges FROM region
+ UNION ALL SELECT seed, far, hops + 1, list_concat([edge], edges) FROM u JOIN b ON near = u.id WHERE hops < 2 AND NOT list_contains(edges, edge)),
+w AS (SELECT t.seed AS start, u.seed AS "end", t.hops + u.hops AS hops, list_concat(t.edges, u.edges) AS edges FROM t JOIN u ON t.id = u.id AND t.hops - u.hops IN (0, 1) AND t.hops > 0 WHERE NOT list_has_any(t.edges, u.edges))"""
+
+
+def order_regions(spark, d):
+    """Every hundredth order with each of the regions, of which there are five at any size."""
+    return seeds(spark, d, _ORDERS).select(c("id").alias("start")).join(derived(spark, d, "SELECT concat('R', CAST(r_regionkey AS STRING)) AS end FROM region"))
+
+
+@query("grf_04_trails_between", _BETWEEN + " SELECT start, \"end\", hops, array_to_string(edges, '>') AS edges FROM w")
+def grf_04_between(spark, d):
+    """All trails of up to four edges between orders and regions, met in the middle."""
+    found = paths.trails_between(relations(spark, d), order_regions(spark, d), 4)
+    return found.select("start", "end", "hops", F.array_join("edges", ">").alias("edges"))
+
+
+_FIRST = " SELECT start, \"end\", hops, array_to_string(edges, '>') AS edges FROM (SELECT *, row_number() OVER (PARTITION BY start, \"end\" ORDER BY hops, edges) AS place FROM w) z WHERE place <= 5"
+
+
+@query("grf_04_trails_between_limit", _BETWEEN + _FIRST)
+def grf_04_limit(spark, d):
+    """Of each pair the five shortest trails."""
+    found = paths.trails_between(relations(spark, d), order_regions(spark, d), 4, limit=5)
+    return found.select("start", "end", "hops", F.array_join("edges", ">").alias("edges"))
+
+
+@query("grf_05_exact_trails_between", _BETWEEN + " SELECT start, \"end\", count(*) AS n, min(array_to_string(edges, '>')) AS least FROM w WHERE hops = 4 GROUP BY ALL")
+def grf_05_between(spark, d):
+    """How many trails of exactly four edges each order and region have."""
+    found = paths.trails_between(relations(spark, d), order_regions(spark, d), 4, exact=True)
+    return found.groupBy("start", "end").agg(F.count("*").alias("n"), F.min(F.array_join("edges", ">")).alias("least"))
+
+
 query("grf_06_path_confidence", trail_sql(_ORDERS, 2) + " SELECT array_to_string(edges, '>') AS edges, seed, round_even(power(list_product(cs), 1.0 / hops), 4) AS confidence FROM t WHERE hops > 0")(lambda spark, d: graph.trails(relations(spark, d), seeds(spark, d, _ORDERS), 2).select(F.array_join("edges", ">").alias("edges"), "seed", graph.path_confidence(c("confidences")).alias("confidence")))
 query("grf_07_multi_hop", trail_sql(_ORDERS, 2) + " SELECT seed, id, hops, place FROM (SELECT seed, t.id, hops, row_number() OVER (PARTITION BY seed ORDER BY hops, name, edges) AS place FROM t JOIN e ON e.id = t.id WHERE hops > 0 AND e.type = 'Product') z WHERE place <= 100")(lambda spark, d: graph.multi_hop(relations(spark, d), entities(spark, d), seeds(spark, d, _ORDERS), 2, entity_types=["Product"]).select("seed", "id", "hops", c("place").cast("long").alias("place")))
 query("grf_08_subgraph", f"{GRAPH_SQL}, {_B}, s AS ({_SEEDS}) SELECT DISTINCT edge AS id FROM (SELECT edge, near, row_number() OVER (PARTITION BY near ORDER BY edge, far) AS place FROM b JOIN s ON near = s.id) z WHERE place <= 40")(lambda spark, d: graph.subgraph(relations(spark, d), entities(spark, d), seeds(spark, d), 40)[1].select("id"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from loomgraph.functions import text as tx
-from loomgraph.operators import construct, graph, retrieval
+from loomgraph.operators import construct, graph, retrieval, vector_index
 from loomgraph.sources import registry as sources
 from loomgraph.streaming import processing
 
@@ -101,7 +101,7 @@ def test_approximate_search_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = rows.filter("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
     exact = {(r["query_id"], r["doc_id"]) for r in retrieval.cosine_top_k(asked, rows, 10).collect()}
-    near = {(r["query_id"], r["doc_id"]) for r in retrieval.approximate_top_k(asked, rows, 10).collect()}
+    near = {(r["query_id"], r["doc_id"]) for r in vector_index.approximate_top_k(asked, rows, 10).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
 
 
