@@ -1,55 +1,63 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in SQL functions only.
 
-A text's lines, and the text as a whole (line breaks as blanks, for notices wrapped over lines), are cut into blocks of
-BLOCK words, each starting BLOCK / 2 words after the one before, so that any run of BLOCK / 2 words lies in one block;
-blocks are larger where a template has more than BLOCK / 2 words. A block matches a template if it holds at least
-CONTAINMENT of the template's different words, o of n; op5 reports the labels of all templates that a block matches. The templates' words are ordered by the number of documents that have them, rarest first. By
-that order a matching block has one of a template's first n - o + 1 words (prefix filter), has at least o words of the
+A text's lines, and the text as a whole (line breaks as blanks, for notices wrapped over lines), are cut into blocks, each
+starting half a block after the one before, so that any run of half a block's words lies in one. A template of SHORT
+different words or more meets blocks of BLOCK words (more where it is longer itself), and matches where a block holds at
+least CONTAINMENT of its words; a shorter one meets blocks of twice the longest short template and must be there wholly.
+Words that name the license have to be among them. Of the templates that match one block those go whose common words
+another one has too: a strict part of them, or the same ones as a smaller share. So a notice of one license isn't taken
+for those of its family that differ by a word.
+
+The templates' words are ordered by the number of documents that have them, rarest first. By that order a matching block
+has one of a template's first n - o + 1 words (prefix filter; o of n must be there), has at least o words of the
 templates' (length filter), and from its first word in common with the template on, both have enough words left
 (positional filter). What passes is verified by counting the common words.
 
-The prefix words of the templates (a parameter; here a few dozen rows) are what is broadcast. Base
-matches are whole phrases. Null and empty texts match nothing; repeated rows get the same result each; an empty table
-gives no rows; matches do not depend on the corpus, only the work saved by the order does.
+The prefix words of the templates (a parameter; here a few dozen rows) are what is broadcast. Base matches are whole
+phrases. Null and empty texts match nothing; repeated rows get the same result each; an empty table gives no rows; matches
+do not depend on the corpus, only the work saved by the order does.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import once, running, text_or_empty
 
-CONTAINMENT, BLOCK = 0.8, 96
+CONTAINMENT, BLOCK, SHORT = 0.8, 96, 10
 
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Notices of public licenses and the label of each.
+#: Notices of public licenses: label, notice, and the words of it that name the license.
 TEMPLATES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
-    ("agpl", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("bsd", "Licensed under the BSD 3-Clause License."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "This is free and unencumbered software released into the public domain."),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
-    ("cc-by", "Licensed under CC BY 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-nc", "This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License."),
-    ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("mit", "Released under the MIT License.", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "permission granted software"),
+    ("apache", "Licensed under the Apache License, Version 2.0.", "apache"),
+    ("apache", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3.", "gnu general public"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gnu general public"),
+    ("lgpl", "This library is licensed under the GNU Lesser General Public License, version 2.1.", "gnu lesser"),
+    ("agpl", "This program is licensed under the GNU Affero General Public License, version 3.", "gnu affero"),
+    ("gfdl", "This work is licensed under the GNU Free Documentation License, version 1.3.", "gnu documentation"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution permitted"),
+    ("bsd", "Licensed under the BSD 3-Clause License.", "bsd"),
+    ("bsd", "Released under the BSD License.", "bsd"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "permission granted software"),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related rights to this work.", "waived copyright"),
+    ("cc-by", "This work is licensed under the Creative Commons Attribution 4.0 International License.", "creative commons attribution"),
+    ("cc-by", "Licensed under CC BY 4.0.", "cc"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0.", "cc sa"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", "cc nc"),
+    ("cc-by-nc", "This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License.", "creative commons noncommercial"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0.", "cc nd"),
 ]
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -107,51 +115,79 @@ def frequency_order(rows: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def prefix_table(templates: list[tuple[str, frozenset[str]]], order: list[str], containment: float) -> list[tuple]:
-    """(word, p, template number, label, its words in order, o) of each word in a template's prefix."""
+class Template:
+    """A template's label, different words, words that must be there, how many must, and whether it is a short one."""
+
+    def __init__(self, label: str, notice: str, needed: str = "", containment: float = CONTAINMENT):
+        self.label, self.words, self.length = label, words_in(notice), len(running_words(notice))
+        self.needed, self.short = words_in(needed) & self.words, len(self.words) < SHORT
+        self.least = len(self.words) if self.short else math.ceil(len(self.words) * containment - 1e-9)
+
+
+def prefix_table(templates: list[Template], order: list[str]) -> list[tuple]:
+    """(word, p, template number, label, its words in order, o, the needed ones) of each word in a template's prefix."""
     place = {w: i for i, w in enumerate(order)}
     out = []
-    for number, (label, words) in enumerate(templates):
-        ordered = sorted(words, key=place.__getitem__)
-        least = math.ceil(len(ordered) * containment - 1e-9)
-        out += [(w, p, number, label, ordered, least) for p, w in enumerate(ordered[: len(ordered) - least + 1])]
+    for number, t in enumerate(templates):
+        ordered = sorted(t.words, key=place.__getitem__)
+        out += [(w, p, number, t.label, ordered, t.least, sorted(t.needed)) for p, w in enumerate(ordered[: len(ordered) - t.least + 1])]
     return out
 
 
-def matched_blocks(rows: DataFrame, templates: list[tuple[str, frozenset[str]]], containment: float, half: int = BLOCK // 2) -> DataFrame:
-    """doc_id, text_key, block_no, label, share and number of common words of every block and template that match."""
-    order = frequency_order(rows, sorted(frozenset().union(*(w for _, w in templates))))
-    table = prefix_table(templates, order, containment)
-    fewest, known, heads = min(r[5] for r in table), literals(order), literals(sorted({r[0] for r in table}))
+def half_of(templates: list[Template], short: bool) -> int:
+    """Half a block's words: any template as it runs lies in one block."""
+    return max([1 if short else BLOCK // 2, *(t.length for t in templates)])
+
+
+def matched_blocks(rows: DataFrame, templates: list[Template], order: list[str], short: bool) -> DataFrame:
+    """doc_id, text_key, short, block_no, label, share and common words of every block and template that match."""
+    table = prefix_table(templates, order)
+    known = literals([w for w in order if any(w in t.words for t in templates)])
+    fewest, heads = min(r[5] for r in table), literals(sorted({r[0] for r in table}))
     may_match = lambda words: (F.size(words) >= fewest) & F.arrays_overlap(words, heads)
     # A document's own template words bound those of its blocks: few documents are cut up at all.
     hopeful = rows.filter(may_match(F.array_intersect(known, F.split(F.lower("spaced"), " "))))
-    shrunk = F.filter(F.transform(blocks_of(F.col("text"), half), lambda b: F.array_intersect(known, b)), may_match)
+    shrunk = F.filter(F.transform(blocks_of(F.col("text"), half_of(templates, short)), lambda b: F.array_intersect(known, b)), may_match)
     blocks = hopeful.select("doc_id", "text_key", F.posexplode(shrunk).alias("block_no", "block"))
     tokens = blocks.select("*", F.posexplode("block").alias("q", "word"))
-    prefixes = rows.sparkSession.createDataFrame(table, "word string, p int, template int, label string, words array<string>, least int")
+    prefixes = rows.sparkSession.createDataFrame(table, "word string, p int, template int, label string, words array<string>, least int, needed array<string>")
     joined = tokens.join(F.broadcast(prefixes), "word")
     common = F.array_intersect("words", "block")
     left = 1 + F.least(F.size("words") - F.col("p") - 1, F.size("block") - F.col("q") - 1)
     passed = joined.filter((F.size("block") >= F.col("least")) & (left >= F.col("least")) & (F.element_at(common, 1) == F.col("word")))
-    return passed.filter(F.size(common) >= F.col("least")).select("doc_id", "text_key", "block_no", "label", (F.size(common) / F.size("words")).alias("share"), F.size(common).alias("common"))
+    named = F.size(F.array_except("needed", "block")) == 0
+    verified = passed.filter((F.size(common) >= F.col("least")) & named)
+    return verified.select("doc_id", "text_key", F.lit(short).alias("short"), "block_no", "label", (F.size(common) / F.size("words")).alias("share"), common.alias("common"))
+
+
+def undominated(matches: Column) -> Column:
+    """The matches of one block (struct<share, label, common>) whose common words no other one has too."""
+
+    def by(m: Column, o: Column) -> Column:
+        within = F.size(F.array_intersect(m["common"], o["common"])) == F.size(m["common"])
+        return within & ((F.size(o["common"]) > F.size(m["common"])) | (o["share"] > m["share"]))
+
+    return F.filter(matches, lambda m: ~F.exists(matches, lambda o: by(m, o)))
 
 
-def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, ...]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """Per row of docs: doc_id, n_words, base (array of struct<at, label>), matches: an array of
     struct<block_no, label, share, labels>, of each matching block the best template (largest share, then most words) and
-    the labels of all that it matches."""
+    the labels of all that it matches and no other template explains better. templates: label, notice and, where given,
+    the words of it that must be there."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("text_key", F.xxhash64("doc_id", "text")).withColumn("spaced", spaced(F.col("text")))
     n_words = F.greatest(F.length("spaced") - F.length(F.replace("spaced", F.lit(" "))) - 1, F.lit(0)).cast("long")
     base = F.flatten(F.array_compact(F.array(*(phrase_places(phrase, label) for phrase, label in PHRASES.items()))))
     counted = rows.select("doc_id", "text_key", n_words.alias("n_words"), base.alias("base"))
-    notices = TEMPLATES if templates is None else templates
-    sets = [(label, words_in(notice)) for label, notice in notices]
-    half = max([BLOCK // 2, *(len(running_words(notice)) for _, notice in notices)])
-    found = matched_blocks(rows, [(label, words) for label, words in sets if words], containment, half)
-    best = F.max(F.struct("share", "common", "label"))
-    found = found.groupBy("doc_id", "text_key", "block_no").agg(best.alias("best"), F.sort_array(F.collect_set("label")).alias("labels"))
-    match = F.struct("block_no", F.col("best.label").alias("label"), F.col("best.share").alias("share"), "labels")
+    all_of = [t for t in (Template(*t, containment=containment) for t in (TEMPLATES if templates is None else templates)) if t.words]
+    order = frequency_order(rows, sorted(frozenset().union(*(t.words for t in all_of))))
+    kinds = [(short, [t for t in all_of if t.short == short]) for short in (True, False)]
+    found = reduce(DataFrame.unionByName, [matched_blocks(rows, some, order, short) for short, some in kinds if some])
+    # One block has as many matches as there are templates, at most.
+    single = F.struct("share", F.size("common").alias("n"), "label", "common")
+    found = found.groupBy("doc_id", "text_key", "short", "block_no").agg(undominated(F.collect_set(single)).alias("kept"))
+    best = F.array_max(F.transform("kept", lambda m: F.struct(m["share"], m["n"], m["label"])))
+    match = F.struct("block_no", best["label"].alias("label"), best["share"].alias("share"), F.sort_array(F.array_distinct(F.transform("kept", lambda m: m["label"]))).alias("labels"))
     found = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(match)).alias("matches"))
     same = F.col("c.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("c.text_key") == F.col("m.text_key"))
     none = F.array().cast("array<struct<block_no:int,label:string,share:double,labels:array<string>>>")

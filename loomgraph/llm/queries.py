@@ -70,23 +70,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
 
 
 def _license_sql() -> str:
-    notices = [(label, license_scan.running_words(notice)) for label, notice in license_scan.TEMPLATES]
-    half = max([license_scan.BLOCK // 2, *(len(words) for _, words in notices)])
-    rows = []
-    for label, words in ((label, sorted(set(words))) for label, words in notices):
-        listed = ", ".join(f"'{w}'" for w in words)
-        rows.append(f"('{label}', [{listed}], {len(words)}, {math.ceil(len(words) * license_scan.CONTAINMENT - 1e-9)})")
-    templates = ", ".join(rows)
+    """Blocks of two sizes, matches by plain set intersection, and no match that another one of its block explains."""
+    rows, halves = [], {True: 1, False: license_scan.BLOCK // 2}
+    for label, notice, needed in license_scan.TEMPLATES:
+        words = license_scan.running_words(notice)
+        different = sorted(set(words))
+        short = len(different) < license_scan.SHORT
+        halves[short] = max(halves[short], len(words))
+        least = len(different) if short else math.ceil(len(different) * license_scan.CONTAINMENT - 1e-9)
+        rows.append(f"('{label}', {short}, {different}, {len(different)}, {least}, {needed.split()})")
     phrases = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in license_scan.PHRASES.items())
+    sizes = ", ".join(f"({short}, {half})" for short, half in halves.items())
     return f"""WITH d AS (SELECT doc_id, text, {_LOWER_WORDS} AS w FROM documents),
-ph(label, p) AS (VALUES {phrases}), t(label, words, n, least) AS (VALUES {templates}),
+ph(label, p) AS (VALUES {phrases}), t(label, short, words, n, least, needed) AS (VALUES {", ".join(rows)}), h(short, half) AS (VALUES {sizes}),
 hits AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0) z, ph WHERE w[i] = p[1] AND w[i : i + len(p) - 1] = p),
 b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY doc_id),
 parts AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))) z),
-blocks AS (SELECT doc_id, list_distinct(w[i : i + {2 * half - 1}]) AS v FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) <= {2 * half} THEN [1] ELSE generate_series(1, greatest(len(w) - {half}, 1), {half}) END) AS i FROM parts WHERE len(w) > 0) z),
-m AS (SELECT doc_id, label, len(list_intersect(v, words)) / n AS share FROM blocks, t WHERE len(list_intersect(v, words)) >= least),
-l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hits UNION ALL SELECT doc_id, label FROM m) z GROUP BY doc_id),
-x AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+cuts AS (SELECT doc_id, w, short, half, unnest(CASE WHEN len(w) <= 2 * half THEN [1] ELSE generate_series(1, greatest(len(w) - half, 1), half) END) AS i FROM parts, h WHERE len(w) > 0),
+blocks AS MATERIALIZED (SELECT row_number() OVER () AS block, doc_id, short, list_distinct(w[i : i + 2 * half - 1]) AS v FROM cuts),
+m AS MATERIALIZED (SELECT block, doc_id, label, n, list_intersect(words, v) AS common, len(list_intersect(words, v)) / n AS share FROM blocks JOIN t USING (short) WHERE len(list_intersect(words, v)) >= least AND len(list_intersect(needed, v)) = len(needed)),
+k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.block = m.block AND len(list_intersect(m.common, o.common)) = len(m.common) AND (len(o.common) > len(m.common) OR o.share > m.share))),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hits UNION ALL SELECT doc_id, label FROM k) z GROUP BY doc_id),
+x AS (SELECT doc_id, max(share) AS share FROM k GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN x USING (doc_id)"""
 
 
