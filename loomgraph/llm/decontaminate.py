@@ -24,7 +24,8 @@ from .common import Words, bound_batches, chunks, grams, mix, slid_min, spans_ha
 
 WINDOW, K = 10, 5
 W = WINDOW - K + 1
-BLOCK_BYTES = 32 << 20
+#: Text of a block of items. Its index takes some four times as much, on the driver while it is sent and in each worker.
+BLOCK_BYTES = 8 << 20
 
 
 def winnowed(hashes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,22 +57,32 @@ class Index:
             hashes.append(words.hashes())
             left.append(words.left())
             row.append(words.row + part.first)
-        self.ids, self.hashes, self.left, self.row = ids, np.concatenate(hashes), np.concatenate(left), np.concatenate(row)
+        small = lambda parts: np.concatenate(parts).astype(np.int32)
+        self.ids, self.hashes, self.left, self.row = ids, np.concatenate(hashes), small(left), small(row)
         counts = np.bincount(self.row, minlength=len(ids))
-        self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
-        self.place = np.arange(len(self.row)) - self.first[self.row]
-        self.items: dict[int, np.ndarray] = {}
-        self.prints = {WINDOW: self.ordered(*winnowed(self.hashes, self.left), WINDOW)}
+        first = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+        self.place = (np.arange(len(self.row)) - first[self.row]).astype(np.int32)
+        standing: list[tuple[np.ndarray, np.ndarray]] = []
+        self.prints = {WINDOW: self.ordered(*winnowed(self.hashes, self.left), WINDOW, standing)}
         for n in sorted({int(c) for c in counts if 0 < c < WINDOW}):
-            at = self.first[:-1][counts == n]
-            self.prints[n] = self.ordered(*self.exact(at, n), n)
+            at = first[:-1][counts == n]
+            self.prints[n] = self.ordered(*self.exact(at, n), n, standing)
+        # Items of the places that stand for others: places in order, where each one's items begin, and the items.
+        place, item = (np.concatenate(x) for x in zip(*standing, strict=True))
+        order = np.lexsort((item, place))
+        place, item = place[order], item[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (item[1:] != item[:-1])
+        self.items = item[new]
+        self.standing, starts = np.unique(place[new], return_index=True)
+        self.item_edges = np.append(starts, len(self.items)).astype(np.int32)
 
     def exact(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         starts, found = grams(self.hashes, self.left, n)
         return at, found[np.searchsorted(starts, at)]
 
-    def ordered(self, at: np.ndarray, found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Fingerprints in order and the places that stand for each; notes their items by place."""
+    def ordered(self, at: np.ndarray, found: np.ndarray, n: int, standing: list) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints in order and the places that stand for each; adds which place stands for which item."""
         before = np.minimum(self.place[at], W - 1) if n == WINDOW else np.zeros(len(at), np.int64)
         after = np.minimum(self.left[at], WINDOW) if n == WINDOW else np.full(len(at), n)
         around = mix(spans_hash(self.hashes, at - before, at + after) + (before * WINDOW * 2 + after).astype(np.uint64))
@@ -79,10 +90,9 @@ class Index:
         at, found, around = at[order], found[order], around[order]
         new = np.ones(len(at), bool)
         new[1:] = (found[1:] != found[:-1]) | (around[1:] != around[:-1])
-        edges = [*np.flatnonzero(new), len(at)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            self.items[int(at[a])] = np.union1d(self.items.get(int(at[a]), []), self.row[at[a:b]]).astype(np.int64)
-        return found[new], at[new]
+        first = np.flatnonzero(new)
+        standing.append((at[first][np.cumsum(new) - 1].astype(np.int32), self.row[at]))
+        return found[first], at[first].astype(np.int32)
 
     def joined(self, n: int, at: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (document word, item word) with equal fingerprints."""
@@ -121,7 +131,8 @@ class Index:
 
     def names(self, places: np.ndarray) -> list[str]:
         """Ids of the items that some places stand for."""
-        found = [self.items[int(q)] for q in np.unique(places)]
+        at = np.searchsorted(self.standing, np.unique(places))
+        found = [self.items[a:b] for a, b in zip(self.item_edges[at], self.item_edges[at + 1], strict=True)]
         return [self.ids[i] for i in np.unique(np.concatenate(found))]
 
 

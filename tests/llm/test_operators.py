@@ -1,7 +1,9 @@
 """Every operator on nulls, empty and very long texts, ties, repeated rows, clashing columns and an empty table."""
 
 import hashlib
+import pickle
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -250,6 +252,21 @@ def test_licenses(edges, edge_rows, empty, spark):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_benchmark_index_is_small():
+    """8 MB of items: arrays of a few times the text, built within 300 MB."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"{w:x}" for w in rng.integers(0, 2**20, 50_000)])
+    texts = [" ".join(rng.choice(words, rng.integers(1, 400))) for _ in range(6_700)]
+    assert 7 << 20 < sum(map(len, texts)) < 9 << 20
+    tracemalloc.start()
+    index = decontaminate.Index([str(i) for i in range(len(texts))], texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and len(pickle.dumps(index)) < 48 << 20
+    words = common.Words(next(common.chunks(pa.array([f"before {texts[17]} behind"]))), lower=True)
+    assert index.names(index.hits(words)[0]) == ["17"]
+
+
 def license_labels(text):
     """The labels of one line by the stated rule, in plain Python."""
     words, out = brute.lower_words(text), set()
