@@ -1,17 +1,11 @@
-"""Sources and sinks: registering files, reading texts, writing and deleting chunks with their vectors."""
+"""Sources: registering files and reading texts. What is made of them is kept by `store`."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as tx
-from ..operators.retrieval import tokens
-from ..tables import written
 
 #: Accepted extensions and MIME types, and the largest file.
 TYPES = {"pdf": "pdf", "doc": "docx", "docx": "docx", "txt": "txt", "md": "md", "markdown": "md"}
@@ -46,46 +40,3 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     kind = F.when(suffix.isin("md", "markdown"), "md").otherwise("txt")
     content = tx.normalize(F.col("value"))
     return rows.select("path", kind.alias("doc_type"), content.alias("content"), F.when(kind == "md", tx.markdown(content)["headings"]).alias("headings"))
-
-
-def write_chunks(chunks: DataFrame, vectors: DataFrame, path: str, buckets: int = 64) -> None:
-    """Chunks (doc_id, chunk_id, content) with their vectors as one Parquet dataset, by a hash bucket of doc_id; beside it,
-    under {path}.index, the keyword side: doc_id, chunk_id, term, tf, dl."""
-    rows = chunks.join(vectors.select("doc_id", "chunk_id", "embedding"), ["doc_id", "chunk_id"], "left")
-    rows = rows.withColumn("id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_id").cast("string"))).withColumn("bucket", bucket_of("doc_id", buckets))
-    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
-    words = chunks.select("doc_id", "chunk_id", tokens(F.col("content")).alias("words"))
-    terms = words.select("doc_id", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("doc_id", "chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-    terms.withColumn("bucket", bucket_of("doc_id", buckets)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}.index")
-
-
-def bucket_of(column: str, buckets: int):
-    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(buckets)).cast("int")
-
-
-def delete_documents(spark: SparkSession, path: str, ids: DataFrame, into: str) -> None:
-    """The dataset of write_chunks and its keyword side without the documents of ids (column doc_id), as a new version.
-
-    The old version is only read: a job that fails leaves it whole, and readers change over when the new one is there."""
-    gone = ids.select("doc_id").distinct()
-    for side in ("", ".index"):
-        spark.read.parquet(f"{path}{side}").join(gone, "doc_id", "left_anti").write.partitionBy("bucket").parquet(f"{into}{side}")
-
-
-def maintain(batch: DataFrame, path: str, vector: Callable[[Column], Column], size: int = 512) -> None:
-    """Chunk the documents of a batch (doc_id, text) and append chunks, vectors and postings; documents that are there stay.
-
-    For foreachBatch: a batch that is delivered again adds nothing. vector: a chunk's embedding from its text."""
-    spark = batch.sparkSession
-    try:
-        known = spark.read.parquet(path).select("doc_id").distinct()
-    except AnalysisException:  # the first batch
-        known = None
-    new = batch.dropDuplicates(["doc_id"]) if known is None else batch.dropDuplicates(["doc_id"]).join(known, "doc_id", "left_anti")
-    chunks = written(new.select("doc_id", F.inline(tx.fixed_chunks(F.col("text"), size))).select("doc_id", F.col("position").alias("chunk_id"), "content"), "chunks")
-    write_chunks(chunks, chunks.select("doc_id", "chunk_id", vector(F.col("content")).alias("embedding")), path)
-
-
-def maintained(documents: DataFrame, path: str, vector: Callable[[Column], Column], checkpoint: str) -> StreamingQuery:
-    """A stream of documents (doc_id, text) into the dataset of write_chunks."""
-    return documents.writeStream.foreachBatch(lambda batch, _: maintain(batch, path, vector)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

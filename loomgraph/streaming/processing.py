@@ -1,6 +1,8 @@
 """Document processing over streams: status machine, retries, routing, duplicates, quotas and counters.
 
-Each stateful rule is a plain function of (state, event), used by the stream and by its batch twin."""
+Each stateful rule is a plain function of (state, event), used by the stream and by its batch twin. Streams keep a key's
+state as a typed value that expires when the key has had no event for a while; they need the RocksDB state store, which
+stateful() sets for the session's later queries."""
 
 from __future__ import annotations
 
@@ -11,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Allowed status transitions and request quotas per route in 60 seconds.
 TRANSITIONS = {("PENDING", "PARSING"), ("PARSING", "CHUNKING"), ("CHUNKING", "EMBEDDING"), ("EMBEDDING", "COMPLETED"), ("PARSING", "FAILED"), ("CHUNKING", "FAILED"), ("EMBEDDING", "FAILED"), ("FAILED", "PENDING")}
@@ -64,16 +66,45 @@ def _status_rows(doc_id: int, frame: pd.DataFrame, state: tuple[str, int]) -> tu
     return pd.DataFrame(out, columns=["doc_id", "message_id", "status", "accepted", "retries", "retry_at_ms"]).astype({"retry_at_ms": "Int64"}), state
 
 
-def status_stream(messages: DataFrame) -> DataFrame:
-    """A stream of MESSAGE rows -> every message with the status after it; illegal transitions are reported, not applied."""
+#: State of a key without events for so long is dropped: statuses after a day, quota windows after an hour.
+STATUS_TTL_MS, QUOTA_TTL_MS = 86_400_000, 3_600_000
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else ("PENDING", 0)
-        rows, now = _status_rows(key[0], pd.concat(list(frames)), now)
-        state.update(now)
-        yield rows
 
-    return messages.groupBy("doc_id").applyInPandasWithState(step, STATUS_OUT, "status string, retries int", "append", GroupStateTimeout.NoTimeout)
+def stateful(rows: DataFrame, key: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """rows by key through a processor whose state expires by processing time.
+
+    Such a stream always asks for another batch: with the trigger availableNow it ends only where
+    spark.sql.streaming.noDataMicroBatches.enabled is off."""
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy(*key).transformWithStateInPandas(processor, T.StructType.fromDDL(schema), "Append", "ProcessingTime")
+
+
+class _Rule(StatefulProcessor):
+    """rows_of(key, frame, state) over each key's rows of a batch; the state is a row of `kept`."""
+
+    def __init__(self, rows_of: Callable, kept: str, start: tuple | None, ttl_ms: int):
+        self.rows_of, self.kept, self.start, self.ttl_ms = rows_of, kept, start, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("kept", self.kept, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = tuple(self.state.get()) if self.state.exists() else self.start
+        out, now = self.rows_of(key, pd.concat(list(rows)), now)
+        self.state.update(tuple(now))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def status_stream(messages: DataFrame, ttl_ms: int = STATUS_TTL_MS) -> DataFrame:
+    """A stream of MESSAGE rows -> every message with the status after it; illegal transitions are reported, not applied.
+
+    A document without messages for ttl_ms starts anew."""
+    rule = _Rule(lambda key, frame, state: _status_rows(key[0], frame, state), "status string, retries int", ("PENDING", 0), ttl_ms)
+    return stateful(messages, ["doc_id"], rule, STATUS_OUT)
 
 
 def status_batch(messages: DataFrame) -> DataFrame:
@@ -100,29 +131,49 @@ def due_retries(statuses: DataFrame, now: DataFrame) -> tuple[DataFrame, DataFra
     return failed.filter((at <= F.col("now_ms")) & fresh).select(*columns), failed.filter((at <= F.col("now_ms")) & ~fresh).select(*columns)
 
 
-def retry_stream(messages: DataFrame) -> DataFrame:
+class _Retries(StatefulProcessor):
+    """Retries of a document, each given once, by a timer set for when it is due."""
+
+    def __init__(self, ttl_ms: int, expiry_ms: int):
+        self.ttl_ms, self.expiry_ms = ttl_ms, expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("kept", "status string, retries int, due long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        status, retries, due = tuple(self.state.get()) if self.state.exists() else ("PENDING", 0, -1)
+        out, (status, retries) = _status_rows(key[0], pd.concat(list(rows)), (status, retries))
+        last = out[out["accepted"]].tail(1)
+        if len(last):
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            wait = status == "FAILED" and not pd.isna(last["retry_at_ms"].iloc[0])
+            due = int(last["retry_at_ms"].iloc[0]) if wait else -1
+            if wait:
+                # The delay runs from now on, as a message may be read long after it was sent.
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + min(FIRST_DELAY_MS * 2 ** (retries - 1), MOST_DELAY_MS))
+        self.state.update((status, retries, due))
+        yield pd.DataFrame({"doc_id": [], "retries": [], "due_ms": []})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, retries, due = tuple(self.state.get()) if self.state.exists() else ("PENDING", 0, -1)
+        # A timer that fires long after its time, as after a standstill, is of a retry that has expired.
+        late = timerValues.getCurrentProcessingTimeInMs() - expiredTimerInfo.getExpiryTimeInMs() > self.expiry_ms
+        if due >= 0:
+            self.state.update((status, retries, -1))
+        yield pd.DataFrame([(key[0], retries, due)] if due >= 0 and not late else [], columns=["doc_id", "retries", "due_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def retry_stream(messages: DataFrame, ttl_ms: int = STATUS_TTL_MS, expiry_ms: int = EXPIRY_MS) -> DataFrame:
     """A stream of MESSAGE rows -> doc_id, retries, due_ms of every retry, emitted when its time has come.
 
-    A failure that may be retried sets a processing-time timer of its delay; a later message of the document clears it."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, retries, due = tuple(state.get) if state.exists else ("PENDING", 0, -1)
-        columns = ["doc_id", "retries", "due_ms"]
-        if state.hasTimedOut:
-            state.update((status, retries, -1))
-            yield pd.DataFrame([(key[0], retries, due)] if due >= 0 else [], columns=columns)
-            return
-        rows, (status, retries) = _status_rows(key[0], pd.concat(list(frames)), (status, retries))
-        last = rows[rows["accepted"]].tail(1)
-        wait = status == "FAILED" and len(last) and not pd.isna(last["retry_at_ms"].iloc[0])
-        due = int(last["retry_at_ms"].iloc[0]) if wait else -1 if len(last) else due
-        state.update((status, retries, due))
-        if wait:
-            state.setTimeoutDuration(min(FIRST_DELAY_MS * 2 ** (retries - 1), MOST_DELAY_MS))
-        yield pd.DataFrame([], columns=columns)
-
-    kept = "status string, retries int, due long"
-    return messages.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, retries int, due_ms long", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    A failure that may be retried sets a processing-time timer of its delay; a later accepted message of the document
+    clears it. A retry whose timer fires more than expiry_ms late is dropped; a document's state expires after ttl_ms."""
+    return stateful(messages, ["doc_id"], _Retries(ttl_ms, expiry_ms), "doc_id long, retries int, due_ms long")
 
 
 def without_duplicates(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -157,15 +208,11 @@ def _quota_rows(key: tuple, frame: pd.DataFrame, state):
     return pd.DataFrame(out, columns=["client_id", "route", "request_id", "allowed", "remaining"]), state
 
 
-def quota_stream(requests: DataFrame) -> DataFrame:
-    """A stream of client_id, route, request_id, ts -> allowed and remaining of every request."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, now = _quota_rows(key, pd.concat(list(frames)), tuple(state.get) if state.exists else None)
-        state.update(now)
-        yield rows
+def quota_stream(requests: DataFrame, ttl_ms: int = QUOTA_TTL_MS) -> DataFrame:
+    """A stream of client_id, route, request_id, ts -> allowed and remaining of every request.
 
-    return requests.groupBy("client_id", "route").applyInPandasWithState(step, QUOTA_OUT, "start long, used int", "append", GroupStateTimeout.NoTimeout)
+    A client's window is dropped when there was no request for ttl_ms, which is to be longer than a window and any lag."""
+    return stateful(requests, ["client_id", "route"], _Rule(_quota_rows, "start long, used int", None, ttl_ms), QUOTA_OUT)
 
 
 def quota_batch(requests: DataFrame) -> DataFrame:
