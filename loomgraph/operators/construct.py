@@ -29,6 +29,15 @@ def relation_mentions(responses: DataFrame) -> DataFrame:
     return rows.withColumn("head_key", tx.relation_name(F.col("head"))).withColumn("tail_key", tx.relation_name(F.col("tail")))
 
 
+def alike(a: str, b: str, threshold: float) -> bool:
+    """Whether the ratio of two names is threshold or more; lengths and then character counts bound it from above, so that
+    most pairs are never aligned."""
+    if 2.0 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
+        return False
+    matcher = difflib.SequenceMatcher(None, a, b)
+    return matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold
+
+
 def _greedy(threshold: float, key: list[str]):
     def merge(frames):
         kept: list[dict] = []
@@ -38,7 +47,7 @@ def _greedy(threshold: float, key: list[str]):
             name = (row["normalized_name"] or "").lower()
             for k in kept:
                 other = (k["normalized_name"] or "").lower()
-                if name and other and difflib.SequenceMatcher(None, other, name).ratio() >= threshold:
+                if name and other and alike(other, name, threshold):
                     if row["name"] != k["name"] and row["name"] not in k["aliases"]:
                         k["aliases"].append(row["name"])
                     k["source_count"] += 1
@@ -162,16 +171,40 @@ def _grams(name: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda i: F.substring(name, i, F.lit(n))))
 
 
+#: Names that one task compares for a common gram; grams of more are split.
+GRAM_PART = 10_000
+
+
+def candidate_pairs(short: DataFrame, long: DataFrame) -> DataFrame:
+    """s_id, s, l_id, l: for each name of `short` (s_id, s) names of `long` (l_id, l) that may contain it.
+
+    A name within another has all its 3-grams there. Its key is the one that fewest names of `long` have, so that a common
+    beginning brings no names together; a name with a gram that none has has no pairs. The names of a gram that very many
+    have are split by a hash of their id, and the short name meets each part. Names of under 3 characters have no pairs."""
+    every = lambda rows, name: rows.filter(F.length(name) >= 3).withColumn("gram", F.explode(_grams(F.col(name))))
+    grams = every(long, "l")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    met = every(short, "s").join(counts, "gram", "left")
+    rarest = met.groupBy("s_id", "s").agg(F.min(F.struct("n", "gram")).alias("key"), F.count_if(F.col("n").isNull()).alias("lacking"))
+    keys = rarest.filter("lacking = 0").select("s_id", "s", "key.gram", F.ceil(F.col("key.n") / GRAM_PART).cast("int").alias("parts"))
+    hot = counts.filter(F.col("n") > GRAM_PART).select("gram", F.ceil(F.col("n") / GRAM_PART).cast("int").alias("split"))
+    dealt = grams.join(hot, "gram", "left").withColumn("part", F.pmod(F.xxhash64("l_id"), F.coalesce("split", F.lit(1))).cast("int"))
+    asked = keys.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return asked.join(dealt, ["gram", "part"]).select("s_id", "s", "l_id", "l")
+
+
 def blocked(mentions: DataFrame, entities: DataFrame, limit: int = 20) -> DataFrame:
     """mention_id, id of entities of which one name contains the other's, found by shared 3-grams; at most `limit`, the nearest in length.
 
     A name of under 3 characters is compared by equality only."""
     m = mentions.select("mention_id", tx.entity_name(F.col("name")).alias("m"))
     e = entities.select("id", tx.entity_name(F.col("name")).alias("e"))
-    # A name within another has all its 3-grams there, its first one too: one key from the shorter side is enough.
-    first = lambda rows, c: rows.withColumn("gram", F.substring(c, 1, 3)).filter(F.length(c) >= 3)
-    every = lambda rows, c: rows.withColumn("gram", F.explode(_grams(F.col(c)))).filter(F.length(c) >= 3)
-    pairs = first(m, "m").join(every(e, "e"), "gram").filter(F.col("e").contains(F.col("m"))).unionByName(every(m, "m").join(first(e, "e"), "gram").filter(F.col("m").contains(F.col("e")))).unionByName(m.join(e, F.col("m") == F.col("e")).withColumn("gram", F.col("m")))
+    m_as = lambda i, n: m.select(F.col("mention_id").alias(i), F.col("m").alias(n))
+    e_as = lambda i, n: e.select(F.col("id").alias(i), F.col("e").alias(n))
+    inside = candidate_pairs(m_as("s_id", "s"), e_as("l_id", "l")).filter(F.col("l").contains(F.col("s")))
+    around = candidate_pairs(e_as("s_id", "s"), m_as("l_id", "l")).filter(F.col("l").contains(F.col("s")))
+    named = ("mention_id", "m", "id", "e")
+    pairs = inside.toDF(*named).unionByName(around.toDF("id", "e", "mention_id", "m")).unionByName(m.join(e, F.col("m") == F.col("e")))
     at = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.abs(F.length("m") - F.length("e")), "id"))
     return pairs.select("mention_id", "id", "m", "e").distinct().withColumn("at", at).filter(F.col("at") <= limit).select("mention_id", "id")
 
@@ -179,7 +212,11 @@ def blocked(mentions: DataFrame, entities: DataFrame, limit: int = 20) -> DataFr
 def ranked_candidates(mentions: DataFrame, entities: DataFrame, name_weight: float = 0.6, context_weight: float = 0.4, limit: int = 20, top_n: int = 5) -> DataFrame:
     """mention_id, entity_id, score, rank: of each mention's candidates the top_n by score, then id."""
     pairs = blocked(mentions, entities, limit).join(mentions, "mention_id").join(entities.select("id", F.col("name").alias("candidate"), "description", "properties"), "id")
-    name = tx.resolver_similarity(F.col("name"), F.col("candidate"), tx.name_similarity("name", "candidate"))
+    # Python sees the names that the cheaper rules don't decide, and nulls for the others.
+    one, other = tx.entity_name(F.col("name")), tx.entity_name(F.col("candidate"))
+    open_ = ~(one.contains(other) | other.contains(one))
+    ratio = tx.name_similarity(F.when(open_, F.col("name")), F.when(open_, F.col("candidate")))
+    name = tx.resolver_similarity(F.col("name"), F.col("candidate"), ratio)
     score = name_weight * name + context_weight * tx.context_overlap(F.coalesce("context", F.lit("")), F.col("description"), F.col("properties"))
     at = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("score"), F.desc("entity_id")))
     scored = pairs.select("mention_id", F.col("id").alias("entity_id"), F.round(score, 6).alias("score"))

@@ -65,7 +65,7 @@ query("kgc_01_extract_chunks")(lambda spark, d: kg.extract_chunks(whole_response
 query("kgc_02_extract_documents")(lambda spark, d: kg.extract_documents(whole_responses(spark, d))[0].select("doc_id", "type", "normalized_name", "name", F.round("confidence", 6).alias("confidence"), "source_count"))
 query("kgc_03_build_graph")(lambda spark, d: kg.build_graph(whole_responses(spark, d))[1].select("id", "src", "dst", "relation", F.round("confidence", 6).alias("confidence")))
 query("agg_22_summary", f"WITH {_E}, g AS (SELECT doc_id, count(DISTINCT concat(type, '|', normalized_name)) AS e FROM m GROUP BY doc_id) SELECT doc_id, coalesce(e, 0) AS entity_count, CASE WHEN e > 0 THEN 'success' WHEN errors > 0 THEN 'failed' ELSE 'empty' END AS status, errors FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 2 * CAST(ceil(len(regexp_extract_all(text, '\\p{{L}}+')) / {SPAN}) AS BIGINT) ELSE 0 END AS errors FROM documents) z LEFT JOIN g USING (doc_id)")(lambda spark, d: kg.summary(kg.merge_document_entities(kg.entity_mentions(responses(spark, d))), kg.relation_mentions(responses(spark, d)), table(spark, d, "documents"), responses(spark, d)).select("doc_id", "entity_count", "status", "errors"))
-query("join_04_link", f"WITH {_E}, {_R}, ids AS (SELECT doc_id, normalized_name, min(concat(type, '/', normalized_name)) AS id FROM m WHERE confidence >= .6 GROUP BY ALL) SELECT r.doc_id, r.chunk_id, r.ord, a.id AS src, b.id AS dst FROM r JOIN ids a ON a.doc_id = r.doc_id AND a.normalized_name = head_key JOIN ids b ON b.doc_id = r.doc_id AND b.normalized_name = tail_key")(lambda spark, d: kg.link(kg.relation_mentions(responses(spark, d)), kg.merge_document_entities(kg.entity_mentions(responses(spark, d)).filter("confidence >= 0.6")).withColumn("id", F.concat_ws("/", "type", "normalized_name")))[0].select("doc_id", "chunk_id", "ord", "src", "dst"))
+query("join_04_link", f"WITH {_E.replace("m AS (", "m AS MATERIALIZED (")}, {_R.replace("r AS (", "r AS MATERIALIZED (", 1)}, ids AS MATERIALIZED (SELECT doc_id, normalized_name, min(concat(type, '/', normalized_name)) AS id FROM m WHERE confidence >= .6 GROUP BY ALL) SELECT r.doc_id, r.chunk_id, r.ord, a.id AS src, b.id AS dst FROM r JOIN ids a ON a.doc_id = r.doc_id AND a.normalized_name = head_key JOIN ids b ON b.doc_id = r.doc_id AND b.normalized_name = tail_key")(lambda spark, d: kg.link(kg.relation_mentions(responses(spark, d)), kg.merge_document_entities(kg.entity_mentions(responses(spark, d)).filter("confidence >= 0.6")).withColumn("id", F.concat_ws("/", "type", "normalized_name")))[0].select("doc_id", "chunk_id", "ord", "src", "dst"))
 
 _MENTIONS = "SELECT p_partkey AS mention_id, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat(p_name, '!') ELSE substring(p_name, 1, length(p_name) - 1) END AS name, CAST(NULL AS STRING) AS type, concat('Product node named ', p_name) AS context, concat('P', CAST(p_partkey AS STRING)) AS expected_id FROM part"
 
