@@ -82,9 +82,13 @@ def literals(words: list[str]) -> Column:
 
 
 def cut(words: Column, half: int) -> Column:
-    """The blocks of 2 * half words of a line or text, half of it apart."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - half, F.lit(1)), F.lit(half))
-    return F.when(F.size(words) <= 2 * half, F.array(words)).otherwise(F.transform(starts, lambda at: F.slice(words, at, 2 * half)))
+    """The blocks of 2 * half words of a line or text, half of it apart; the words are split once, not for each block."""
+
+    def parts(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - half, F.lit(1)), F.lit(half))
+        return F.when(F.size(words) <= 2 * half, F.array(words)).otherwise(F.transform(starts, lambda at: F.slice(words, at, 2 * half)))
+
+    return once(words, parts)
 
 
 def blocks_of(text: Column, half: int = BLOCK // 2) -> Column:
@@ -139,25 +143,44 @@ def half_of(templates: list[Template], short: bool) -> int:
     return max([1 if short else BLOCK // 2, *(t.length for t in templates)])
 
 
-def matched_blocks(rows: DataFrame, templates: list[Template], order: list[str], short: bool) -> DataFrame:
-    """doc_id, text_key, short, block_no, label, share and common words of every block and template that match."""
-    table = prefix_table(templates, order)
+def hopeful(words: Column, templates: list[Template]) -> Column:
+    """Whether a text of these words has enough words of some template, and those that it needs."""
+
+    def fits(found: Column) -> Column:
+        parts = [(F.size(F.array_except(literals(sorted(t.needed)), found)) == 0 if t.needed else F.lit(True)) & (F.size(F.array_intersect(literals(sorted(t.words)), found)) >= t.least) for t in templates]
+        return reduce(lambda x, y: x | y, parts)
+
+    known = literals(sorted(frozenset().union(*(t.words for t in templates))))
+    return once(F.array_intersect(known, words), fits)
+
+
+def shrunk_blocks(templates: list[Template], order: list[str], short: bool) -> Column:
+    """struct<short, words>: of the blocks that may match what they have of the templates' words, rarest first."""
+    entries = prefix_table(templates, order)
     known = literals([w for w in order if any(w in t.words for t in templates)])
-    fewest, heads = min(r[5] for r in table), literals(sorted({r[0] for r in table}))
-    may_match = lambda words: (F.size(words) >= fewest) & F.arrays_overlap(words, heads)
-    # A document's own template words bound those of its blocks: few documents are cut up at all.
-    hopeful = rows.filter(may_match(F.array_intersect(known, F.split(F.lower("spaced"), " "))))
-    shrunk = F.filter(F.transform(blocks_of(F.col("text"), half_of(templates, short)), lambda b: F.array_intersect(known, b)), may_match)
-    blocks = hopeful.select("doc_id", "text_key", F.posexplode(shrunk).alias("block_no", "block"))
-    tokens = blocks.select("*", F.posexplode("block").alias("q", "word"))
-    prefixes = rows.sparkSession.createDataFrame(table, "word string, p int, template int, label string, words array<string>, least int, needed array<string>")
-    joined = tokens.join(F.broadcast(prefixes), "word")
+    fewest, heads = min(e[5] for e in entries), literals(sorted({e[0] for e in entries}))
+    words = F.transform(blocks_of(F.col("text"), half_of(templates, short)), lambda b: F.array_intersect(known, b))
+    kept = F.filter(words, lambda b: (F.size(b) >= fewest) & F.arrays_overlap(b, heads))
+    return F.transform(kept, lambda b: F.struct(F.lit(short).alias("short"), b.alias("words")))
+
+
+def matched_blocks(rows: DataFrame, templates: list[Template], order: list[str]) -> DataFrame:
+    """doc_id, text_key, block_no, label, share and common words of every block and template that match."""
+    # A text's own words bound those of its blocks: few texts are cut up at all.
+    few = rows.filter(hopeful(F.split(F.lower("spaced"), " "), templates))
+    kinds = [(short, some) for short in (True, False) if (some := [t for t in templates if t.short == short])]
+    table = [(short, *entry) for short, some in kinds for entry in prefix_table(some, order)]
+    blocks = [shrunk_blocks(some, order, short) for short, some in kinds]
+    cut_up = few.select("doc_id", "text_key", F.posexplode(F.concat(*blocks)).alias("block_no", "b")).select("doc_id", "text_key", "block_no", "b.short", F.col("b.words").alias("block"))
+    tokens = cut_up.select("*", F.posexplode("block").alias("q", "word"))
+    prefixes = rows.sparkSession.createDataFrame(table, "short boolean, word string, p int, template int, label string, words array<string>, least int, needed array<string>")
+    joined = tokens.join(F.broadcast(prefixes), ["short", "word"])
     common = F.array_intersect("words", "block")
     left = 1 + F.least(F.size("words") - F.col("p") - 1, F.size("block") - F.col("q") - 1)
     passed = joined.filter((F.size("block") >= F.col("least")) & (left >= F.col("least")) & (F.element_at(common, 1) == F.col("word")))
     named = F.size(F.array_except("needed", "block")) == 0
     verified = passed.filter((F.size(common) >= F.col("least")) & named)
-    return verified.select("doc_id", "text_key", F.lit(short).alias("short"), "block_no", "label", (F.size(common) / F.size("words")).alias("share"), common.alias("common"))
+    return verified.select("doc_id", "text_key", "block_no", "label", (F.size(common) / F.size("words")).alias("share"), common.alias("common"))
 
 
 def undominated(matches: Column) -> Column:
@@ -181,11 +204,10 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     counted = rows.select("doc_id", "text_key", n_words.alias("n_words"), base.alias("base"))
     all_of = [t for t in (Template(*t, containment=containment) for t in (TEMPLATES if templates is None else templates)) if t.words]
     order = frequency_order(rows, sorted(frozenset().union(*(t.words for t in all_of))))
-    kinds = [(short, [t for t in all_of if t.short == short]) for short in (True, False)]
-    found = reduce(DataFrame.unionByName, [matched_blocks(rows, some, order, short) for short, some in kinds if some])
+    found = matched_blocks(rows, all_of, order)
     # One block has as many matches as there are templates, at most.
     single = F.struct("share", F.size("common").alias("n"), "label", "common")
-    found = found.groupBy("doc_id", "text_key", "short", "block_no").agg(undominated(F.collect_set(single)).alias("kept"))
+    found = found.groupBy("doc_id", "text_key", "block_no").agg(undominated(F.collect_set(single)).alias("kept"))
     best = F.array_max(F.transform("kept", lambda m: F.struct(m["share"], m["n"], m["label"])))
     match = F.struct("block_no", best["label"].alias("label"), best["share"].alias("share"), F.sort_array(F.array_distinct(F.transform("kept", lambda m: m["label"]))).alias("labels"))
     found = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(match)).alias("matches"))
