@@ -62,8 +62,9 @@ def write_index(docs: DataFrame, path: str, fields: tuple[str, ...] = ("content"
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(w, F.array().cast("array<string>")).alias("words")) for f, w in words.items()))
     group = (F.lit("") if together is None else F.coalesce(F.col(together).cast("string"), F.lit(""))).alias("_group")
     sizes = docs.groupBy(group).agg(F.count("*").alias("_n"))
-    n_parts = max(1, -(-docs.count() // (block * PART_BLOCKS)))
-    placed = docs.withColumn("_group", group).join(sizes, "_group")
+    groups, n_docs = sizes.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    n_parts = max(1, -(-n_docs // (block * PART_BLOCKS)))
+    placed = docs.withColumn("_group", group).join(F.broadcast(sizes) if groups <= MOST_TERMS else sizes, "_group")
     place = F.xxhash64("_group", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / block)))
     rows = placed.select(key, place.alias("block"), F.explode(each).alias("of")).select(key, "block", "of.field", "of.words", F.size("of.words").alias("dl"))
     # Lengths are counted from the same cut as the terms: a document's row without a term.
