@@ -497,3 +497,43 @@ def test_words_match_their_patterns():
 def test_hash_of_ids_is_little_endian():
     (ids,) = _codec.encode(["hello world"])
     assert hashlib.sha256(ids).hexdigest() == hashlib.sha256(np.array(_library.encode("hello world").ids, "<u4").tobytes()).hexdigest()
+
+
+def test_random_strings_and_ordinary_identifiers_planted_in_texts(spark):
+    """Random strings of seven alphabets are found, identifiers of English and German words mostly left alone."""
+    import random
+    import string
+
+    rng = random.Random(5)
+    drawn = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    upper, lower, digits, hexes = string.ascii_uppercase, string.ascii_lowercase, string.digits, "0123456789abcdef"
+    stems = "customer order account number response handler request manager service config parser buffer stream cache kernel thread socket query index worker client server session layout render module plugin factory builder adapter context exception timeout backup archive volume cluster pipeline storage network".split()
+    compounds = "Krankenversicherungskarte Geschwindigkeitsbegrenzung Arbeitslosenversicherung Bundesverfassungsgericht Rechtsschutzversicherung Sicherheitsvorkehrungen Verantwortungsbewusstsein Donaudampfschifffahrt Lebensmittelindustrie Aufmerksamkeitsspanne".split()
+    secrets = {
+        "base64": lambda: drawn(upper + lower + digits + "+/", 40),
+        "mixed": lambda: drawn(upper + lower + digits, 32),
+        "uuid": lambda: "-".join(drawn(hexes, n) for n in (8, 4, 4, 4, 12)),
+        "upper": lambda: drawn(upper + digits, 24),
+        "lower24": lambda: drawn(lower, 24),
+        "lower16": lambda: drawn(lower, 16),
+        "lower_digits": lambda: drawn(lower + digits, 24),
+    }
+    usual = {
+        "camel": lambda: "".join(w.capitalize() for w in rng.sample(stems, 3)),
+        "snake": lambda: "_".join(rng.sample(stems, 3)),
+        "constant": lambda: "_".join(rng.sample(stems, 3)).upper(),
+        "path": lambda: "/".join(["", "usr", *rng.sample(stems, 3)]),
+        "german": lambda: rng.choice(compounds),
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    plain = [r["text"] for r in docs.filter("text is not null").orderBy("doc_id").limit(50).collect()]
+    planted = [(kind, made()) for kind, made in (*secrets.items(), *usual.items()) for _ in range(100)]
+    planted = [(kind, s) for kind, s in planted if len(s) >= secret_scan.LEAST]
+    model = secret_scan.learn(secret_scan.with_base(docs, "doc_id", "text"))
+    rows = [(i, f"{plain[i % 50][:300]} {s} {plain[(i + 1) % 50][:300]}") for i, (_, s) in enumerate(planted)]
+    found = {r["doc_id"]: {s["value"] for s in r["random"]} for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).select("doc_id", "random").collect()}
+    hit = Counter(kind for i, (kind, s) in enumerate(planted) if s in found[i])
+    share = {kind: hit[kind] / n for kind, n in Counter(kind for kind, _ in planted).items()}
+    print(share, model[1])
+    assert min(share[kind] for kind in secrets) >= 0.9
+    assert max(share[kind] for kind in usual) <= 0.1
