@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..tables import written
+from .filters import first_of
 from .operations import upsert
 
 PLACE = ("doc_id", "chunk_id", "ord")
@@ -193,25 +195,38 @@ def candidate_pairs(short: DataFrame, long: DataFrame) -> DataFrame:
     return asked.join(dealt, ["gram", "part"]).select("s_id", "s", "l_id", "l")
 
 
+def near_names(mentions: DataFrame, entities: DataFrame, limit: int = 20) -> DataFrame:
+    """m, id: for each different normalized name m of mentions the entities that blocked() gives a mention of that name.
+
+    Different names are compared, however many mentions and entities have them. Entities of one name are equally near, so
+    that only the `limit` of least id can be among the first of a mention."""
+    e = entities.select("id", tx.entity_name(F.col("name")).alias("e")).filter("e is not null").distinct()
+    asked = mentions.select(tx.entity_name(F.col("name")).alias("m")).filter("m is not null").distinct()
+    m, known = written(asked, "names"), written(e.select("e").distinct(), "names")
+    as_ = lambda rows, i, n: rows.toDF(n).withColumn(i, F.col(n))
+    inside = candidate_pairs(as_(m, "s_id", "s"), as_(known, "l_id", "l")).filter(F.col("l").contains(F.col("s")))
+    around = candidate_pairs(as_(known, "s_id", "s"), as_(m, "l_id", "l")).filter(F.col("l").contains(F.col("s")))
+    same = m.join(known, F.col("m") == F.col("e"))
+    pairs = inside.select(F.col("s").alias("m"), F.col("l").alias("e")).unionByName(around.select(F.col("l").alias("m"), F.col("s").alias("e"))).unionByName(same).distinct()
+    first = first_of(e, "e", limit, "id").drop("place")
+    far = F.abs(F.length("m") - F.length("e"))
+    return first_of(pairs.join(first, "e").withColumn("far", far), "m", limit, "far", "id", "e").select("m", "id")
+
+
 def blocked(mentions: DataFrame, entities: DataFrame, limit: int = 20) -> DataFrame:
     """mention_id, id of entities of which one name contains the other's, found by shared 3-grams; at most `limit`, the nearest in length.
 
-    A name of under 3 characters is compared by equality only."""
-    m = mentions.select("mention_id", tx.entity_name(F.col("name")).alias("m"))
-    e = entities.select("id", tx.entity_name(F.col("name")).alias("e"))
-    m_as = lambda i, n: m.select(F.col("mention_id").alias(i), F.col("m").alias(n))
-    e_as = lambda i, n: e.select(F.col("id").alias(i), F.col("e").alias(n))
-    inside = candidate_pairs(m_as("s_id", "s"), e_as("l_id", "l")).filter(F.col("l").contains(F.col("s")))
-    around = candidate_pairs(e_as("s_id", "s"), m_as("l_id", "l")).filter(F.col("l").contains(F.col("s")))
-    named = ("mention_id", "m", "id", "e")
-    pairs = inside.toDF(*named).unionByName(around.toDF("id", "e", "mention_id", "m")).unionByName(m.join(e, F.col("m") == F.col("e")))
-    at = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.abs(F.length("m") - F.length("e")), "id"))
-    return pairs.select("mention_id", "id", "m", "e").distinct().withColumn("at", at).filter(F.col("at") <= limit).select("mention_id", "id")
+    A name of under 3 characters is compared by equality only. mention_id tells mentions apart."""
+    named = mentions.select("mention_id", tx.entity_name(F.col("name")).alias("m")).distinct()
+    return named.join(near_names(mentions, entities, limit), "m").select("mention_id", "id")
 
 
 def ranked_candidates(mentions: DataFrame, entities: DataFrame, name_weight: float = 0.6, context_weight: float = 0.4, limit: int = 20, top_n: int = 5) -> DataFrame:
     """mention_id, entity_id, score, rank: of each mention's candidates the top_n by score, then id."""
-    pairs = blocked(mentions, entities, limit).join(mentions, "mention_id").join(entities.select("id", F.col("name").alias("candidate"), "description", "properties"), "id")
+    # What is known of a candidate is joined once for a name, not for each of its mentions.
+    near = near_names(mentions, entities, limit).join(entities.select("id", F.col("name").alias("candidate"), "description", "properties"), "id")
+    # Dealt by mention before the pairs are made: scoring is spread, and ranking moves nothing again.
+    pairs = mentions.repartition("mention_id").withColumn("m", tx.entity_name(F.col("name"))).join(near, "m")
     # Python sees the names that the cheaper rules don't decide, and nulls for the others.
     one, other = tx.entity_name(F.col("name")), tx.entity_name(F.col("candidate"))
     open_ = ~(one.contains(other) | other.contains(one))

@@ -36,3 +36,18 @@ def test_bounds_never_decide_wrongly():
         assert construct.alike(a, b, 0.85) == (difflib.SequenceMatcher(None, a, b).ratio() >= 0.85)
         aligned += 2 * min(len(a), len(b)) >= 0.85 * (len(a) + len(b)) and difflib.SequenceMatcher(None, a, b).quick_ratio() >= 0.85
     assert aligned < 1500
+
+
+def test_mentions_and_entities_of_one_name_are_compared_once(spark, monkeypatch):
+    seen = []
+    pairs = construct.candidate_pairs
+    monkeypatch.setattr(construct, "candidate_pairs", lambda short, long: seen.append(pairs(short, long)) or seen[-1])
+    names = ["red ring", "Red Ring!", "big red rings", "blue bolt"]
+    m = spark.createDataFrame([(n, names[n % 4]) for n in range(400)], "mention_id long, name string")
+    e = spark.createDataFrame([(n, names[n % 4]) for n in range(1200)], "id long, name string")
+    found = {}
+    for r in construct.blocked(m, e, limit=20).collect():
+        found.setdefault(r[0], set()).add(r[1])
+    same = {0: [0, 1], 1: [0, 1], 2: [2], 3: [3]}
+    assert found == {n: set([k for k in range(1200) if k % 4 in same[n % 4]][:20]) for n in range(400)}
+    assert sum(rows.count() for rows in seen) <= 10
