@@ -5,6 +5,7 @@ Order-dependent rules follow (doc_id, chunk_id, ord), never arrival."""
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,14 @@ from .filters import first_of
 from .operations import upsert
 
 PLACE = ("doc_id", "chunk_id", "ord")
+#: Tasks that a split of the input is dealt to by document: a text grows manifold when its mentions are listed.
+DEAL = 8
+
+
+def by_document(documents: DataFrame) -> DataFrame:
+    """documents dealt to tasks by doc_id. Responses made from them stay where they are, so that what groups their mentions
+    by document, or by chunk, moves no mention: the texts are all that is shuffled."""
+    return documents.repartition(DEAL * documents.rdd.getNumPartitions(), "doc_id")
 
 
 def entity_mentions(responses: DataFrame) -> DataFrame:
@@ -74,11 +83,13 @@ def _greedy(threshold: float, key: list[str]):
 def dedup_chunk_entities(mentions: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Within a chunk, type and first three characters of the name: each mention joins the first kept one of ratio >= threshold.
 
-    A task streams its sorted blocks; it holds one block's kept mentions at a time."""
+    A task streams its sorted blocks; it holds one block's kept mentions at a time. The numbers within a block make Spark
+    bring it together, and sort it, where it is not together yet."""
     key = ["doc_id", "chunk_id", "type", "block"]
     rows = mentions.withColumn("block", F.substring("normalized_name", 1, 3))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("ord")))
     schema = T.StructType([*rows.schema.fields, T.StructField("aliases", T.ArrayType(T.StringType())), T.StructField("source_count", T.LongType())])
-    return rows.repartition(*key).sortWithinPartitions(*key, "ord").mapInPandas(_greedy(threshold, key), schema).drop("block")
+    return rows.mapInPandas(_greedy(threshold, key), schema).drop("block", "_at")
 
 
 def merge_document_entities(mentions: DataFrame) -> DataFrame:
@@ -95,11 +106,21 @@ def merge_document_entities(mentions: DataFrame) -> DataFrame:
 
 def validate_relations(relations: DataFrame, entities: DataFrame, by: tuple[str, ...] = ("doc_id", "chunk_id")) -> tuple[DataFrame, DataFrame]:
     """Relations whose ends are both names (plain or normalized) of entities of the same unit, and the others."""
-    names = entities.select(*by, F.explode(F.array(tx.relation_name(F.col("name")), F.lower(F.trim("normalized_name")))).alias("key")).distinct()
-    valid = relations
-    for end in ("head_key", "tail_key"):
-        valid = valid.join(names.withColumnRenamed("key", end), [*by, end], "left_semi")
-    return valid, relations.join(valid.select(*PLACE), list(PLACE), "left_anti")
+    judged = judged_relations(relations, entities, by)
+    return judged.filter("valid").drop("valid"), judged.filter("not valid").drop("valid")
+
+
+def judged_relations(relations: DataFrame, entities: DataFrame, by: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
+    """relations with `valid`: whether both ends are names of entities of the same unit. A unit, such as a chunk, is put
+    together once; one without a key has no entities."""
+    record, none = F.struct(*relations.columns), F.lit(None)
+    names = F.array(tx.relation_name(F.col("name")), F.lower(F.trim("normalized_name")))
+    rows = relations.select(*by, none.cast("array<string>").alias("names"), record.alias("r"))
+    rows = rows.unionByName(entities.select(*by, names.alias("names"), none.cast(rows.schema["r"].dataType).alias("r")))
+    units = rows.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"), F.collect_list("r").alias("rs"))
+    keyed = reduce(Column.__and__, (F.col(b).isNotNull() for b in by))
+    known = lambda r: F.coalesce(keyed & F.array_contains("names", r["head_key"]) & F.array_contains("names", r["tail_key"]), F.lit(False))
+    return units.select(F.inline(F.transform("rs", lambda r: F.struct(r.alias("r"), known(r).alias("valid"))))).select("r.*", "valid")
 
 
 def joined_evidence(items: Column) -> Column:
@@ -224,7 +245,8 @@ def blocked(mentions: DataFrame, entities: DataFrame, limit: int = 20) -> DataFr
 def ranked_candidates(mentions: DataFrame, entities: DataFrame, name_weight: float = 0.6, context_weight: float = 0.4, limit: int = 20, top_n: int = 5) -> DataFrame:
     """mention_id, entity_id, score, rank: of each mention's candidates the top_n by score, then id."""
     # What is known of a candidate is joined once for a name, not for each of its mentions.
-    near = near_names(mentions, entities, limit).join(entities.select("id", F.col("name").alias("candidate"), "description", "properties"), "id")
+    # Written, so that its size is known and the mentions are not broadcast in its place.
+    near = written(near_names(mentions, entities, limit).join(entities.select("id", F.col("name").alias("candidate"), "description", "properties"), "id"), "near")
     # Dealt by mention before the pairs are made: scoring is spread, and ranking moves nothing again.
     pairs = mentions.repartition("mention_id").withColumn("m", tx.entity_name(F.col("name"))).join(near, "m")
     # Python sees the names that the cheaper rules don't decide, and nulls for the others.
