@@ -36,7 +36,11 @@ def entity_mentions(responses: DataFrame) -> DataFrame:
 
 def relation_mentions(responses: DataFrame) -> DataFrame:
     rows = responses.select("doc_id", "chunk_id", F.posexplode(tx.parse_relations(F.col("relation_response"))).alias("ord", "r"))
-    rows = rows.select("doc_id", "chunk_id", "ord", "r.*")
+    return keyed(rows.select("doc_id", "chunk_id", "ord", "r.*"))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows with the keys of both ends' names."""
     return rows.withColumn("head_key", tx.relation_name(F.col("head"))).withColumn("tail_key", tx.relation_name(F.col("tail")))
 
 
@@ -112,15 +116,18 @@ def validate_relations(relations: DataFrame, entities: DataFrame, by: tuple[str,
 
 def judged_relations(relations: DataFrame, entities: DataFrame, by: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
     """relations with `valid`: whether both ends are names of entities of the same unit. A unit, such as a chunk, is put
-    together once; one without a key has no entities."""
-    record, none = F.struct(*relations.columns), F.lit(None)
+    together once; one without a key has no entities. Keys that relations lack are made of head and tail."""
+    held = [c for c in relations.columns if c not in by]
+    record, none = F.struct(*held), F.lit(None)
+    key = lambda r, end: r[f"{end}_key"] if f"{end}_key" in held else tx.relation_name(r[end])
     names = F.array(tx.relation_name(F.col("name")), F.lower(F.trim("normalized_name")))
     rows = relations.select(*by, none.cast("array<string>").alias("names"), record.alias("r"))
     rows = rows.unionByName(entities.select(*by, names.alias("names"), none.cast(rows.schema["r"].dataType).alias("r")))
     units = rows.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"), F.collect_list("r").alias("rs"))
-    keyed = reduce(Column.__and__, (F.col(b).isNotNull() for b in by))
-    known = lambda r: F.coalesce(keyed & F.array_contains("names", r["head_key"]) & F.array_contains("names", r["tail_key"]), F.lit(False))
-    return units.select(F.inline(F.transform("rs", lambda r: F.struct(r.alias("r"), known(r).alias("valid"))))).select("r.*", "valid")
+    whole = reduce(Column.__and__, (F.col(b).isNotNull() for b in by))
+    known = lambda r: F.coalesce(whole & F.array_contains("names", key(r, "head")) & F.array_contains("names", key(r, "tail")), F.lit(False))
+    judged = units.select(*by, F.inline(F.transform("rs", lambda r: F.struct(r.alias("r"), known(r).alias("valid")))))
+    return judged.select(*by, "r.*", "valid").select(*relations.columns, "valid")
 
 
 def joined_evidence(items: Column) -> Column:
@@ -140,8 +147,9 @@ def dedup_relations(relations: DataFrame, by: tuple[str, ...] = ("doc_id", "chun
 def extract_chunks(responses: DataFrame, entity_bound: float = 0.5, relation_bound: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """Per chunk: entities deduplicated and filtered; relations validated, deduplicated and filtered."""
     entities = dedup_chunk_entities(entity_mentions(responses)).filter(F.col("confidence") >= entity_bound)
-    valid, _ = validate_relations(relation_mentions(responses), entities)
-    return entities, dedup_relations(valid).filter(F.col("confidence") >= relation_bound)
+    # The entities come from Python, so that both are moved to their chunks; what can be made again is not carried along.
+    judged = judged_relations(relation_mentions(responses).drop("head_key", "tail_key"), entities)
+    return entities, dedup_relations(keyed(judged.filter("valid").drop("valid"))).filter(F.col("confidence") >= relation_bound)
 
 
 def extract_documents(responses: DataFrame, **bounds: float) -> tuple[DataFrame, DataFrame]:
