@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +94,32 @@ def _bander(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has + part.first)), pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))], names=["node", "bands"])
 
 
+def _sharer(shared):
+    """Of each text the bands whose bit is set, a row for each."""
+
+    def shares(batches):
+        bitmap = shared.value
+        for batch in batches:
+            band = batch.column(1).flatten()
+            keep = np.flatnonzero(has_bit(bitmap, band.to_numpy() & (len(bitmap) * 8 - 1)))
+            owner = pc.list_parent_indices(batch.column(1)).take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), band.take(pa.array(keep))], names=["node", "band"])
+
+    return shares
+
+
+def shared_bands(bands: DataFrame, least_bits: int = 15) -> DataFrame:
+    """node, band: the bands that several texts have, and a few others; bands: node, and an array of bands.
+
+    What is shuffled is a band and parts of texts' keys, whole keys go along only with bands that a bitmap lets through."""
+    single = bands.select(F.xxhash64("node").alias("text"), F.explode("bands").alias("band"))
+    several = single.groupBy("band").agg(F.min("text").alias("least"), F.max("text").alias("most")).filter("least < most").select("band")
+    several = materialize(several, "several")
+    size = 1 << min(MOST_BITS, max(least_bits, (8 * several.count()).bit_length()))
+    shared = bands.sparkSession.sparkContext.broadcast(bitmap_of(several.select(F.pmod("band", F.lit(size)).alias("position")), "position", size))
+    return materialize(bands.mapInArrow(_sharer(shared), "node binary, band long"), "shared-bands")
+
+
 def _featurer(shared):
     def features(batches):
         bitmap, seen = shared.value, set()
@@ -266,7 +293,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text")).withColumn("node", F.unhex(F.md5("text"))).withColumn("salt", salt("doc_id"))
     texts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("n_copies"), salts_seen().alias("seen")), "texts")
     # Copies of a text come out once a task; the few that are left make the same buckets, edges and features again.
-    bands = materialize(rows.select("node", "text").mapInArrow(_bander, "node binary, bands array<long>"), "bands").select("node", F.explode("bands").alias("band"))
+    bands = shared_bands(materialize(rows.select("node", "text").mapInArrow(_bander, "node binary, bands array<long>"), "bands"))
     parted = bands.withColumn("salt", salt("node"))
     buckets = parted.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("most"), F.count("*").alias("members"), salts_seen().alias("seen")).filter("v < most").drop("most")
     buckets = materialize(buckets, "buckets")
