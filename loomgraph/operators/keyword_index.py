@@ -31,6 +31,9 @@ from .retrieval import K1, MOST_TERMS, B, ranked, tokens
 BLOCK, PART_BLOCKS, FIRST = 64, 4, 2
 #: Queries whose scores one step holds; pairs of query and block from which on blocks are skipped: bounds cost more below.
 STEP, SKIP_FROM = 64, 250_000
+#: Characters of text that one task of the writer groups in memory; tasks up to FEW_TASKS write files of their own, of more
+#: tasks TASKS_A_FILE write together, one after the other.
+TASK_CHARS, FEW_TASKS, TASKS_A_FILE = 8_000_000, 64, 8
 #: Scores are compared after rounding to nine places; a bound may fall short of a score by no more than this.
 SLACK = 1e-8
 
@@ -52,6 +55,19 @@ class KeywordIndex:
     blocks: int
 
 
+def by_block(placed: DataFrame, each: Column, key: str, n_tasks: int) -> DataFrame:
+    """field, term, block, held: the block's documents with the term. placed: documents with their block; each: their
+    fields' words. Documents are shuffled once, as they are; blocks are whole in a task, so that words never are."""
+    fields = [c for c in placed.columns if c not in ("_group", "_n")]
+    rows = placed.select(*(F.col(f"`{c}`") for c in fields)).repartition(n_tasks, "block").select(key, "block", F.explode(each).alias("of"))
+    rows = rows.select(key, "block", "of.field", "of.words", F.size("of.words").alias("dl"))
+    # Lengths are counted from the same cut as the terms: a document's row without a term.
+    single = rows.select("field", key, "dl", "block", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("term"))
+    dealt = single.groupBy("field", "term", "block", key, "dl").agg(F.count("*").alias("tf"))
+    held = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))))
+    return dealt.groupBy("field", "term", "block").agg(held.alias("held"))
+
+
 def write_index(docs: DataFrame, path: str, fields: tuple[str, ...] = ("content", "title", "keywords"), key: str = "doc_id", buckets: int = 32, block: int = BLOCK, together: str | None = None) -> KeywordIndex:
     """Index fields (texts or arrays of terms) of docs under path, which must not exist. One row a document, by key.
 
@@ -61,21 +77,18 @@ def write_index(docs: DataFrame, path: str, fields: tuple[str, ...] = ("content"
     words = {f: F.col(f) if isinstance(docs.schema[f].dataType, T.ArrayType) else tokens(F.col(f)) for f in fields}
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(w, F.array().cast("array<string>")).alias("words")) for f, w in words.items()))
     group = (F.lit("") if together is None else F.coalesce(F.col(together).cast("string"), F.lit(""))).alias("_group")
-    sizes = docs.groupBy(group).agg(F.count("*").alias("_n"))
-    groups, n_docs = sizes.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    text = [f for f in fields if isinstance(docs.schema[f].dataType, T.StringType)]
+    chars = sum((F.coalesce(F.length(f), F.lit(0)) for f in text), F.lit(0)) if text else sum((F.greatest(F.size(f), F.lit(0)) * 8 for f in fields), F.lit(0))
+    sizes = docs.groupBy(group).agg(F.count("*").alias("_n"), F.sum(chars.cast("long")).alias("_chars"))
+    groups, n_docs, n_chars = sizes.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum("_chars"), F.lit(0))).first()
+    sizes = sizes.drop("_chars")
     n_parts = max(1, -(-n_docs // (block * PART_BLOCKS)))
+    n_tasks = max(1, -(-n_chars // TASK_CHARS))
     placed = docs.withColumn("_group", group).join(F.broadcast(sizes) if groups <= MOST_TERMS else sizes, "_group")
     place = F.xxhash64("_group", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / block)))
-    rows = placed.select(key, place.alias("block"), F.explode(each).alias("of")).select(key, "block", "of.field", "of.words", F.size("of.words").alias("dl"))
-    # Lengths are counted from the same cut as the terms: a document's row without a term.
-    single = rows.select("field", key, "dl", "block", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("words"))).alias("term"))
-    # One shuffle serves both groupings: by document, then by block.
-    dealt = single.groupBy("field", "term", "block", key, "dl").agg(F.count("*").alias("tf"))
-    held = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))))
-    grouped = dealt.groupBy("field", "term", "block").agg(held.alias("held"))
+    grouped = by_block(placed.withColumn("block", place), each, key, n_tasks)
     out = grouped.select(bucket("term", buckets).alias("bucket"), "field", "term", F.pmod(F.col("block"), F.lit(n_parts)).cast("int").alias("part"), "block", F.array_max("held.tf").alias("most_tf"), F.array_min("held.dl").alias("least_dl"), F.col("held.k").alias("keys"), F.col("held.tf").alias("tfs"), F.col("held.dl").alias("dls"))
-    deal = F.pmod(F.xxhash64("block"), F.lit(4))
-    out.repartition(F.col("bucket"), deal).sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    out.coalesce(max(min(n_tasks, FEW_TASKS), n_tasks // TASKS_A_FILE)).sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     total = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
     terms = stored.filter("term is not null").groupBy("bucket", "field", "term").agg(F.sum(F.size("tfs")).alias("df"), F.sum(total).alias("total"))
@@ -174,6 +187,10 @@ def scored(rows: DataFrame, pairs: DataFrame | int, terms: DataFrame, key: str,
         asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))))
     else:
         asked = pairs.groupBy("query_id", "part").agg(F.collect_list("block").alias("blocks")).join(asked, "query_id")
+        # Postings of blocks that no query is paired with stay where they are.
+        wanted = pairs.select("block").distinct()
+        if wanted.count() <= MOST_TERMS:
+            rows = rows.join(F.broadcast(wanted), "block", "left_semi")
     schema = T.StructType([T.StructField("query_id", terms.schema["query_id"].dataType), T.StructField(key, rows.schema["keys"].dataType.elementType), T.StructField("score", T.DoubleType())])
     held = rows.select("part", "block", "field", "term", "keys", "tfs", "dls", "idf", "avgdl")
     return asked.groupBy("part").cogroup(held.groupBy("part")).applyInPandas(_scorer(key, top_k), schema)

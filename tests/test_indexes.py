@@ -121,3 +121,37 @@ def test_vectors_of_nothing(spark):
     assert vector_index.approximate_top_k(none.withColumnRenamed("doc_id", "query_id"), none).count() == 0
     one = spark.createDataFrame([(1, [1.0, 2.0])], "doc_id long, embedding array<float>")
     assert rows_of(vector_index.approximate_top_k(one.withColumnRenamed("doc_id", "query_id"), one)) == [(1, 1, 1.0, 1)]
+
+
+def test_documents_are_shuffled_once_and_their_words_never(spark):
+    """The writer's groupings by document and by block run where the blocks are: one exchange, of documents."""
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 7}") for i in range(300)], "doc_id long, content string")
+    words = F.array(F.struct(F.lit("content").alias("field"), F.split("content", " ").alias("words")))
+    grouped = keyword_index.by_block(docs.withColumn("block", F.col("doc_id") % 5), words, "doc_id", 3)
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    held = {(r["term"], r["block"]): [h["k"] for h in r["held"]] for r in grouped.collect()}
+    assert held["alpha", 2] == held[None, 2] == list(range(2, 300, 5))
+
+
+def test_postings_of_blocks_without_a_query_are_not_shuffled(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha w{i % 3}") for i in range(400)], "doc_id long, content string")
+    index = keyword_index.write_index(docs, str(tmp_path / "index"), ("content",), block=16)
+    terms = spark.createDataFrame([(1, "alpha")], "query_id long, term string")
+    rows = keyword_index.asked_rows(index, terms)
+    bounds = keyword_index.bounds(rows, terms)
+    pairs = spark.createDataFrame(bounds.orderBy("block").limit(2).collect(), bounds.schema)
+    assert rows.select("block").distinct().count() > 2
+    found = keyword_index._scorer
+
+    def scorer(*of):
+        score = found(*of)
+
+        def checked(asked, postings):
+            assert postings["block"].nunique() <= 2
+            return score(asked, postings)
+
+        return checked
+
+    monkeypatch.setattr(keyword_index, "_scorer", scorer)
+    assert 0 < keyword_index.scored(rows, pairs, terms, "doc_id", 100).count() <= 100
