@@ -7,11 +7,10 @@ and whose mean log-likelihood ratio of pairs of states, random strings against o
 A string is read in parts, split where letters turn into digits, small letters into capitals, and at signs; case and the
 kind of a split then no longer count. A state is a part's end, or a character with its place in its part (first, second,
 later), so that short parts, as random strings have them, tell too. Both models count pairs of states in labelled
-samples taken from the corpus. Random strings are all different values that the fixed patterns find, mixed half and half
+strings of the whole corpus. Random strings are all different values that the fixed patterns find, mixed half and half
 with evenly drawn characters, as keys come in other alphabets too. Ordinary ones come from texts in which no pattern
-finds anything: the words of some SAMPLE texts (a documented bound; each text is chosen by its hash alone, with the
-chance SAMPLE / rows, at every size) and parts of candidates of all texts, as far as several of these have them, so that
-unlabelled secrets are not learned as ordinary. Rare pairs of ordinary strings fall back to how frequent their second
+finds anything, all of them: words and parts of candidates, as far as several texts have them, so that unlabelled
+secrets are not learned as ordinary. Rare pairs of ordinary strings fall back to how frequent their second
 state is.
 
 One of HELD texts and random strings is held out of the counts. There, four neighbouring words are an identifier as
@@ -20,7 +19,7 @@ ordinary one) the threshold is MARGIN of the way to what all but a share MISSED
 identifiers of other vocabularies fit the ordinary model less well; it is no more than the latter. The models are one
 array of 11,881 numbers.
 
-One scan gathers the strings of both classes (written once, a few MB for each GB), a second one finds the spans. Where
+One scan gathers the different strings of both classes (written once), a second one finds the spans. Where
 a text has many matches their places come from running sums in blocks, so that work stays near its length.
 
 Positions are code points. Null and empty texts have no spans; repeated rows get the same result each; an empty table
@@ -49,8 +48,6 @@ SIDE = 1 + PLACES * len(ALPHABET)
 SPLIT = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|[^A-Za-z0-9]+"
 WORD = r"(?<![\p{L}\p{N}])([A-Za-z0-9]+)(?![\p{L}\p{N}])"
 NEIGHBOURS = r"(?<![\p{L}\p{N}])([A-Za-z0-9]+(?:[^\p{L}\p{N}]{1,3}[A-Za-z0-9]+){3})(?![\p{L}\p{N}])"
-#: Texts whose words are learned as ordinary, at most some SAMPLE of them.
-SAMPLE = 2_000
 #: Share of ordinary strings under the threshold, share of random strings that it may miss, texts or strings to one held out.
 QUANTILE, MISSED, HELD = 0.999, 0.01, 5
 #: How far from ordinary to random strings the threshold lies.
@@ -131,12 +128,10 @@ def mean_ratio(token: Column, ratios: list[float]) -> Column:
     return once(states_of(token), mean)
 
 
-def gathered(based: DataFrame, sample: int) -> DataFrame:
+def gathered(based: DataFrame) -> DataFrame:
     """kind, token and n, the number of texts: "random" for values of base spans; of texts without any, "part" for parts
     of candidates, "word" and, of texts held out, "joined" for words and neighbouring words; from rows of with_base."""
     found = F.concat(*KINDS)
-    rate = min(1.0, sample / max(1, based.count()))
-    chosen = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < math.ceil(rate * (1 << 30))
     held = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(HELD)) == 0
 
     def of(kind: str, tokens: Column) -> Column:
@@ -144,7 +139,7 @@ def gathered(based: DataFrame, sample: int) -> DataFrame:
 
     matches = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
     joined = of("joined", F.filter(matches(NEIGHBOURS), lambda t: (F.length(t) >= LEAST) & lettered(t)))
-    words = F.when(chosen & held, joined).when(chosen, of("word", matches(WORD))).otherwise(F.array())
+    words = F.when(held, joined).otherwise(of("word", matches(WORD)))
     parts = F.flatten(F.transform(F.filter(matches(CANDIDATE), lettered), parts_of))
     parts = of("part", F.filter(parts, lambda part: (F.length(part) >= PART) & lettered(part)))
     tokens = F.when(F.size(found) > 0, of("random", F.transform(found, lambda s: s["value"]))).otherwise(F.concat(parts, words))
@@ -173,9 +168,9 @@ def log_ratios(random: dict[int, int], ordinary: dict[int, int]) -> list[float]:
     return ratios
 
 
-def learn(based: DataFrame, sample: int = SAMPLE) -> tuple[list[float], float] | None:
+def learn(based: DataFrame) -> tuple[list[float], float] | None:
     """Log-likelihood ratios of pairs of states and the threshold, from rows of with_base."""
-    tokens = materialize(gathered(based, sample), "secret-strings")
+    tokens = materialize(gathered(based), "secret-strings")
     random = tokens.filter("kind = 'random'").withColumn("n", F.lit(1))
     held = F.pmod(F.xxhash64("token", F.lit(7)), F.lit(HELD)) == 0
     counts = [pair_counts(random.filter(~held)) or pair_counts(random), pair_counts(tokens.filter("kind in ('word', 'part') and n > 1"))]

@@ -236,6 +236,16 @@ def test_markov_models(spark):
     assert spans == {1: [(4, 24)], 2: []}
 
 
+def test_words_of_all_texts_are_learned_as_ordinary(spark):
+    """More texts than a sample would hold: each has a word that it shares with its neighbour only, and all count."""
+    docs = spark.range(6_000).select(F.col("id").alias("doc_id"), F.format_string("plain w%s", F.expr("id div 2").cast("string")).alias("text"))
+    tokens = secret_scan.gathered(secret_scan.with_base(docs, "doc_id", "text"))
+    held = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(secret_scan.HELD)) == 0
+    wanted = docs.filter(~held)
+    counted = tokens.filter("kind = 'word'").agg(F.sum("n")).first()[0]
+    assert counted == 2 * wanted.count() > 8_000
+
+
 def test_unkeyed_secrets_in_ordinary_texts_are_found(spark):
     """The unlabelled random strings of ordinary texts raise no threshold above themselves."""
     rng = np.random.default_rng(4)
