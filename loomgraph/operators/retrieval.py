@@ -48,8 +48,12 @@ def postings_of(docs: DataFrame, wanted: DataFrame, fields: tuple[str, ...], key
 def bm25(queries: DataFrame, docs: DataFrame, fields: tuple[str, ...] = ("content", "title", "keywords"), top_k: int = 100, key: str = "doc_id", filters: dict[str, object] | None = None) -> DataFrame:
     """query_id, key, score, rank: of each document its best field's score; queries: query_id, query.
 
+    Queries of the same words have the same hits and are scored once, however many ask them.
     filters: column of docs -> value, or list of values, that hits must have; they change no score."""
-    terms = written(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "terms")
+    words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).groupBy("query_id")
+    asked = written(words.agg(F.sort_array(F.collect_list("term")).alias("terms")), "queries")
+    different = written(asked.groupBy("terms").agg(F.min("query_id").alias("query_id")), "different")
+    terms = written(different.select("query_id", F.explode("terms").alias("term")), "terms")
     rows = written(postings_of(docs, terms.select("term").distinct(), fields, key), "postings")
     totals = rows.filter("term is null").groupBy("field").agg(F.sum("tf").alias("docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     found = rows.filter("term is not null")
@@ -63,7 +67,9 @@ def bm25(queries: DataFrame, docs: DataFrame, fields: tuple[str, ...] = ("conten
         found = found.join(allowed.select(key).distinct(), key, "left_semi")
     weighted = found.join(frequency, ["field", "term"]).join(F.broadcast(totals), "field").select("field", "term", key, weight.alias("weight"))
     scored = weighted.join(terms, "term").groupBy("query_id", key, "field").agg(F.sum("weight").alias("score"))
-    return ranked(scored.groupBy("query_id", key).agg(F.max("score").alias("score")), top_k, key)
+    best = ranked(scored.groupBy("query_id", key).agg(F.max("score").alias("score")), top_k, key)
+    hits = best.join(different, "query_id").select("terms", key, "score", "rank")
+    return asked.join(hits, "terms").select("query_id", key, "score", "rank")
 
 
 def ranked(scores: DataFrame, top_k: int, key: str = "doc_id") -> DataFrame:
