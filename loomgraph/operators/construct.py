@@ -255,17 +255,20 @@ def ranked_candidates(mentions: DataFrame, entities: DataFrame, name_weight: flo
     # What is known of a candidate is joined once for a name, not for each of its mentions.
     # Written, so that its size is known and the mentions are not broadcast in its place.
     near = written(near_names(mentions, entities, limit).join(entities.select("id", F.col("name").alias("candidate"), "description", "properties"), "id"), "near")
-    # Dealt by mention before the pairs are made: scoring is spread, and ranking moves nothing again.
-    pairs = mentions.repartition("mention_id").withColumn("m", tx.entity_name(F.col("name"))).join(near, "m")
+    # Mentions of one name in one context have the same candidates and scores: these are made once for all of them.
+    asked = mentions.select("name", "context").distinct()
+    pairs = asked.withColumn("m", tx.entity_name(F.col("name"))).join(near, "m")
     # Python sees the names that the cheaper rules don't decide, and nulls for the others.
     one, other = tx.entity_name(F.col("name")), tx.entity_name(F.col("candidate"))
     open_ = ~(one.contains(other) | other.contains(one))
     ratio = tx.name_similarity(F.when(open_, F.col("name")), F.when(open_, F.col("candidate")))
     name = tx.resolver_similarity(F.col("name"), F.col("candidate"), ratio)
     score = name_weight * name + context_weight * tx.context_overlap(F.coalesce("context", F.lit("")), F.col("description"), F.col("properties"))
-    at = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.desc("score"), F.desc("entity_id")))
-    scored = pairs.select("mention_id", F.col("id").alias("entity_id"), F.round(score, 6).alias("score"))
-    return scored.withColumn("rank", at).filter(F.col("rank") <= top_n)
+    at = F.row_number().over(Window.partitionBy("_name", "_context").orderBy(F.desc("score"), F.desc("entity_id")))
+    scored = pairs.select(F.col("name").alias("_name"), F.col("context").alias("_context"), F.col("id").alias("entity_id"), F.round(score, 6).alias("score"))
+    best = written(scored.withColumn("rank", at).filter(F.col("rank") <= top_n), "best")
+    same = F.col("name").eqNullSafe(F.col("_name")) & F.col("context").eqNullSafe(F.col("_context"))
+    return mentions.select("mention_id", "name", "context").join(best, same).select("mention_id", "entity_id", "score", "rank")
 
 
 def resolve(mentions: DataFrame, entities: DataFrame, name_weight: float = 0.6, context_weight: float = 0.4, threshold: float = 0.85, limit: int = 20) -> DataFrame:
