@@ -1,6 +1,10 @@
 """What once grew faster than its input: rows that many share are worked out once, and names are not shuffled to be told apart."""
 
-from loomgraph.operators import construct, retrieval
+import random
+
+from pyspark.sql import functions as F
+
+from loomgraph.operators import construct, graph, retrieval
 from loomgraph.plans import fixtures
 
 from .conftest import SF
@@ -47,3 +51,21 @@ def test_mentions_of_one_name_and_context_are_scored_once(spark, monkeypatch):
     assert sorted(rows[1]) == sorted((r["rank"], r["entity_id"], r["score"]) for r in alone)
     assert all(sorted(got) == sorted(rows[n % 12]) for n, got in rows.items())
     assert dict(seen)["best"] <= 2 * 6 and found.schema.names == ["mention_id", "entity_id", "score", "rank"]
+
+
+def test_trails_are_counted_without_a_row_for_each(spark, monkeypatch):
+    rng, listed = random.Random(8), []
+    write = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: listed.append(write(df, name)) or listed[-1])
+    # A small dense graph with loops and several edges between two nodes, and a hub with 300 neighbours of its own.
+    ends = [(rng.choice("abcdef"), rng.choice("abcdef")) for _ in range(14)] + [("a", "h"), ("a", "h"), ("b", "h"), ("y", "h"), ("z", "y")] + [(f"l{n}", "h") for n in range(300)]
+    r = spark.createDataFrame([(f"e{n}", a, b, "T", 1.0) for n, (a, b) in enumerate(ends)], "id string, src string, dst string, type string, confidence double")
+    seeds = spark.createDataFrame([(x,) for x in "abcdefyzq"], "id string")
+    for hops in (1, 2, 3):
+        whole = graph.trails(r, seeds, hops, exact=True).groupBy("seed").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ends"))
+        want = {tuple(x) for x in whole.collect()}
+        listed.clear()
+        assert {tuple(x) for x in graph.trail_counts(r, seeds, hops).collect()} == want
+        if hops == 2:
+            names = {tuple(t.columns) for t in listed}
+            assert ("seed", "far") in names and max(t.filter("far like 'l%'").count() for t in listed if "seed" in t.columns and "far" in t.columns) < 300
