@@ -5,9 +5,12 @@ Order-dependent rules follow (doc_id, chunk_id, ord), never arrival."""
 from __future__ import annotations
 
 import difflib
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial, reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +20,8 @@ from ..tables import written
 from .filters import first_of
 from .operations import upsert
 
-PLACE = ("doc_id", "chunk_id", "ord")
+CHUNK = ("doc_id", "chunk_id")
+PLACE = (*CHUNK, "ord")
 #: Tasks that a split of the input is dealt to by document: a text grows manifold when its mentions are listed.
 DEAL = 8
 
@@ -25,7 +29,12 @@ DEAL = 8
 def by_document(documents: DataFrame) -> DataFrame:
     """documents dealt to tasks by doc_id. Responses made from them stay where they are, so that what groups their mentions
     by document, or by chunk, moves no mention: the texts are all that is shuffled."""
-    return documents.repartition(DEAL * documents.rdd.getNumPartitions(), "doc_id")
+    return documents.repartition(tasks_of(documents), "doc_id")
+
+
+def tasks_of(documents: DataFrame) -> int:
+    """Tasks that by_document deals documents to."""
+    return DEAL * documents.rdd.getNumPartitions()
 
 
 def entity_mentions(responses: DataFrame) -> DataFrame:
@@ -53,47 +62,84 @@ def alike(a: str, b: str, threshold: float) -> bool:
     return matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold
 
 
-def _greedy(threshold: float, key: list[str]):
-    def merge(frames):
-        kept: list[dict] = []
-        now = None
-
-        def joined(row: dict) -> bool:
-            name = (row["normalized_name"] or "").lower()
-            for k in kept:
-                other = (k["normalized_name"] or "").lower()
-                if name and other and alike(other, name, threshold):
-                    if row["name"] != k["name"] and row["name"] not in k["aliases"]:
-                        k["aliases"].append(row["name"])
-                    k["source_count"] += 1
-                    return True
-            return False
-
-        for frame in frames:
-            columns, out = [*frame.columns, "aliases", "source_count"], []
-            for row in frame.to_dict("records"):
-                if (at := tuple(row[k] for k in key)) != now:
-                    out += kept
-                    kept, now = [], at
-                if not joined(row):
-                    kept.append(row | {"aliases": [], "source_count": 1})
-            yield pd.DataFrame(out, columns=columns)
-        if kept:
-            yield pd.DataFrame(kept)
+def _greedy(threshold: float):
+    @F.arrow_udf("array<struct<at:int,aliases:array<string>,source_count:bigint>>")
+    def merge(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        # Words come again and again: what two of them have been found to be is kept for a while.
+        near = lru_cache(100_000)(partial(alike, threshold=threshold))
+        for lists in batches:
+            kinds, names, keys = (pc.list_flatten(x) for x in lists)
+            sizes = pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False)
+            unit = np.repeat(np.arange(len(sizes)), sizes)
+            counts, aliases = np.ones(len(unit), np.int64), {}
+            for i, first in _joins(unit, kinds, keys, near):
+                counts[i], other = 0, aliases.setdefault(first, [])
+                counts[first] += 1
+                if (name := names[i].as_py()) != names[first].as_py() and name not in other:
+                    other.append(name)
+            kept = np.flatnonzero(counts)
+            listed = pa.array([aliases.get(i, []) for i in kept.tolist()], pa.list_(pa.string()))
+            at = pa.array(kept - (np.cumsum(sizes) - sizes)[unit[kept]] + 1, pa.int32())
+            rows = pa.StructArray.from_arrays([at, listed, pa.array(counts[kept])], ["at", "aliases", "source_count"])
+            yield pa.ListArray.from_arrays(np.searchsorted(unit[kept], np.arange(len(sizes) + 1)).astype(np.int32), rows)
 
     return merge
 
 
+def _joins(unit: np.ndarray, kinds: pa.Array, keys: pa.Array, near: Callable[[str, str], bool]) -> Iterator[tuple[int, int]]:
+    """Mentions that join an earlier one of their block (unit, kind, three characters of the key), with that one. Blocks of
+    one mention are not looked at."""
+    code = lambda x: pc.fill_null(pc.dictionary_encode(x).indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    parts = [code(kinds), code(pc.utf8_slice_codeunits(keys, 0, 3))]
+    block = unit.astype(np.int64)
+    for part in parts:
+        block = np.unique(block, return_inverse=True)[1] * (part.max(initial=0) + 1) + part
+    _, block, many = np.unique(block, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(many[block] > 1)
+    rows = rows[np.argsort(block[rows], kind="stable")]
+    now, kept = -1, []
+    for i, of, key in zip(rows.tolist(), block[rows].tolist(), keys.take(pa.array(rows)).to_pylist(), strict=True):
+        if of != now:
+            now, kept = of, []
+        low = (key or "").lower()
+        first = next((k for other, k in kept if low and other and near(other, low)), None)
+        if first is None:
+            kept.append((low, i))
+        else:
+            yield i, first
+
+
 def dedup_chunk_entities(mentions: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Within a chunk, type and first three characters of the name: each mention joins the first kept one of ratio >= threshold.
 
-    A task streams its sorted blocks; it holds one block's kept mentions at a time. The numbers within a block make Spark
-    bring it together, and sort it, where it is not together yet."""
-    key = ["doc_id", "chunk_id", "type", "block"]
-    rows = mentions.withColumn("block", F.substring("normalized_name", 1, 3))
-    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy("ord")))
-    schema = T.StructType([*rows.schema.fields, T.StructField("aliases", T.ArrayType(T.StringType())), T.StructField("source_count", T.LongType())])
-    return rows.mapInPandas(_greedy(threshold, key), schema).drop("block", "_at")
+    A chunk is put together once. Python sees its names and tells which mentions are kept; rows stay in Spark."""
+    held = ["ord", *(c for c in mentions.columns if c not in (*CHUNK, "ord"))]
+    units = mentions.groupBy(*CHUNK).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("ms"))
+    rows = merged_units(units, threshold).select(*CHUNK, F.inline("es"))
+    return rows.select(*mentions.columns, "aliases", "source_count")
+
+
+def merged_units(units: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, chunk_id, es: of each chunk's mentions ms, in order, the kept ones with aliases and source_count."""
+    told = units.select(*CHUNK, "ms", _greedy(threshold)("ms.type", "ms.name", "ms.normalized_name").alias("kept"))
+    fields = units.schema["ms"].dataType.elementType.names
+    row = lambda k: F.struct(*(F.element_at("ms", k["at"])[f].alias(f) for f in fields), k["aliases"].alias("aliases"), k["source_count"].alias("source_count"))
+    return told.select(*CHUNK, F.transform("kept", row).alias("es"))
+
+
+def chunk_entities(responses: DataFrame, threshold: float = 0.85, bound: float | None = None, tasks: int | None = None) -> DataFrame:
+    """The rows of dedup_chunk_entities(entity_mentions(responses)), those of confidence >= bound where it is given.
+
+    Mentions are listed one by one at the end only. tasks: as many as the responses were dealt to by document (tasks_of);
+    what comes from Python is dealt so again, as a row for each chunk, and lies beside the responses of its document."""
+    found = F.transform(tx.parse_entities(F.col("entity_response")), lambda e, i: F.struct(i.alias("ord"), *(e[f].alias(f) for f in ("name", "type", "description", "confidence")), tx.entity_name(e["name"]).alias("normalized_name")))
+    listed = responses.select(*CHUNK, found.alias("ms")).groupBy(*CHUNK).agg(F.array_sort(F.flatten(F.collect_list("ms"))).alias("ms"))
+    units = merged_units(listed, threshold)
+    if bound is not None:
+        units = units.withColumn("es", F.filter("es", lambda e: e["confidence"] >= bound))
+    if tasks is not None:
+        units = units.repartition(tasks, "doc_id")
+    return units.select(*CHUNK, F.inline("es"))
 
 
 def merge_document_entities(mentions: DataFrame) -> DataFrame:
@@ -144,17 +190,17 @@ def dedup_relations(relations: DataFrame, by: tuple[str, ...] = ("doc_id", "chun
     return grouped.select(*by, "head_key", "relation", "tail_key", first["head"].alias("head"), first["tail"].alias("tail"), first["ord"].alias("ord"), joined_evidence(F.col("items")).alias("evidence"), F.least(F.lit(1.0), first["confidence"] + boost * (n - 1)).alias("confidence"), n.cast("long").alias("source_count"))
 
 
-def extract_chunks(responses: DataFrame, entity_bound: float = 0.5, relation_bound: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """Per chunk: entities deduplicated and filtered; relations validated, deduplicated and filtered."""
-    entities = dedup_chunk_entities(entity_mentions(responses)).filter(F.col("confidence") >= entity_bound)
-    # The entities come from Python, so that both are moved to their chunks; what can be made again is not carried along.
+def extract_chunks(responses: DataFrame, entity_bound: float = 0.5, relation_bound: float = 0.7, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per chunk: entities deduplicated and filtered; relations validated, deduplicated and filtered. tasks: see chunk_entities."""
+    entities = chunk_entities(responses, bound=entity_bound, tasks=tasks)
+    # What can be made again is not carried along.
     judged = judged_relations(relation_mentions(responses).drop("head_key", "tail_key"), entities)
     return entities, dedup_relations(keyed(judged.filter("valid").drop("valid"))).filter(F.col("confidence") >= relation_bound)
 
 
-def extract_documents(responses: DataFrame, **bounds: float) -> tuple[DataFrame, DataFrame]:
+def extract_documents(responses: DataFrame, tasks: int | None = None, **bounds: float) -> tuple[DataFrame, DataFrame]:
     """Chunks merged by document; repeated relations keep the first one's confidence."""
-    entities, relations = extract_chunks(responses, **bounds)
+    entities, relations = extract_chunks(responses, tasks=tasks, **bounds)
     return merge_document_entities(entities), dedup_relations(relations, ("doc_id",), boost=0.0)
 
 
@@ -162,17 +208,23 @@ def link(relations: DataFrame, entities: DataFrame, mode: str = "strict", by: tu
     """Relations with entity ids of both ends (of least id), and those with an end that is no entity.
 
     "strict" compares normalized entity names with trimmed lower-case ends, "normalized" normalizes the ends too."""
-    ids = entities.groupBy(*by, "normalized_name").agg(F.min("id").alias("id"))
     key = (lambda c: c) if mode == "strict" else (lambda c: tx.entity_name(c))
-    out = relations.withColumn("h", key(F.col("head_key"))).withColumn("t", key(F.col("tail_key")))
-    for end, column in (("h", "src"), ("t", "dst")):
-        out = out.join(ids.select(*by, F.col("normalized_name").alias(end), F.col("id").alias(column)), [*by, end], "left")
-    return out.filter("src is not null and dst is not null").drop("h", "t"), out.filter("src is null or dst is null").drop("h", "t")
-
-
-def build_graph(responses: DataFrame, mode: str = "strict", stored: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Entities and relations with ids made of their keys; upserted into the stored entities and relations, where given."""
-    entities, relations = extract_documents(responses)
+    ends = relations.select("*", key(F.col("head_key")).alias("_h"), key(F.col("tail_key")).alias("_t"), F.lit(True).alias("_end"))
+    name = F.col("normalized_name")
+    named = entities.select(*by, name.alias("_h"), name.alias("_t"), F.col("id").alias("_id"))
+    # Both tables are read once, and lie by their documents already where these were dealt out.
+    rows = ends.unionByName(named, allowMissingColumns=True)
+    for end, column in (("_h", "src"), ("_t", "dst")):
+        whole = reduce(Column.__and__, (F.col(b).isNotNull() for b in (*by, end)))
+        rows = rows.withColumn(column, F.when(whole, F.min("_id").over(Window.partitionBy(*by, end))))
+    out = rows.filter("_end").drop("_h", "_t", "_end", "_id")
+    return out.filter("src is not null and dst is not null"), out.filter("src is null or dst is null")
+
+
+def build_graph(responses: DataFrame, mode: str = "strict", stored: tuple[DataFrame, DataFrame] | None = None, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations with ids made of their keys; upserted into the stored entities and relations, where given.
+    tasks: see chunk_entities."""
+    entities, relations = extract_documents(responses, tasks)
     entities = entities.withColumn("id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "type", "normalized_name"), 256))
     linked, _ = link(relations, entities, mode)
     linked = linked.withColumn("id", F.sha2(F.concat_ws("|", "src", "relation", "dst"), 256))

@@ -1,7 +1,12 @@
 """Extraction responses: mentions are not moved again where their documents have been dealt out."""
 
+import difflib
+import random
+
+from pyspark.sql import functions as F
+
 from loomgraph.operators import construct as kg
-from loomgraph.plans import constructions
+from loomgraph.plans import QUERIES, constructions
 
 from .conftest import SF
 
@@ -24,3 +29,48 @@ def test_mentions_are_not_shuffled(spark):
     whole = kg.dedup_relations(kg.relation_mentions(constructions.responses(spark, SF)), ("doc_id",), 0.0)
     named = kg.dedup_chunk_entities(kg.entity_mentions(constructions.whole_responses(spark, SF)))
     assert [plan(df).count("Exchange hashpartitioning") for df in (found, whole, named)] == [1, 1, 1]
+
+
+def test_merged_names_are_those_of_the_plain_rule(spark):
+    rng, rows = random.Random(3), []
+    names = ["Johnson", "Johnsen", "johnson", "Johnston", "John", "Jo", "", "Österreich", "Österreicher", "Osterreich", None]
+    for unit in range(60):
+        rows += [(unit // 2, unit % 2, i, rng.choice(names), rng.choice(["Person", "Event"]), None, rng.random()) for i in range(rng.choice([1, 5, 30]))]
+    mentions = spark.createDataFrame(rows, "doc_id long, chunk_id int, ord int, name string, type string, description string, confidence double").withColumn("normalized_name", F.lower("name"))
+    want, kept = [], []
+    for doc, chunk, ord_, name, kind, _, _ in rows:
+        low = (name or "").lower()
+        near = [k for k in kept if k[:4] == [doc, chunk, kind, name and low[:3]] and low and k[4] and difflib.SequenceMatcher(None, k[4], low).ratio() >= 0.85]
+        if not near:
+            kept.append([doc, chunk, kind, name and low[:3], low, ord_, name, [], 1])
+            continue
+        near[0][8] += 1
+        if name != near[0][6] and name not in near[0][7]:
+            near[0][7].append(name)
+    want = sorted((k[0], k[1], k[5], k[7], k[8]) for k in kept)
+    found = kg.dedup_chunk_entities(mentions)
+    assert sorted((r["doc_id"], r["chunk_id"], r["ord"], r["aliases"], r["source_count"]) for r in found.collect()) == want
+    assert found.columns == [*mentions.columns, "aliases", "source_count"]
+
+
+def test_entities_of_responses_are_those_of_their_mentions(spark):
+    made = constructions.whole_responses(spark, SF)
+    for bound in (None, 0.6):
+        want = kg.dedup_chunk_entities(kg.entity_mentions(made)).filter(F.lit(True) if bound is None else F.col("confidence") >= bound)
+        found = kg.chunk_entities(made, bound=bound)
+        assert found.columns == want.columns and found.count() and found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
+def test_ends_are_linked_without_joins(spark):
+    r = spark.createDataFrame([(1, 0, "a", "b"), (1, 1, "a", "x"), (2, 0, "a", "a"), (None, 0, "a", "a"), (1, 2, None, "a"), (3, 0, "a", "a")], "doc_id long, ord int, head_key string, tail_key string")
+    e = spark.createDataFrame([(1, "a", "P/a"), (1, "a", "E/a"), (1, "b", "E/b"), (2, "a", "P/a"), (None, "a", "P/a"), (1, None, "P/")], "doc_id long, normalized_name string, id string")
+    linked, others = kg.link(r, e)
+    assert sorted(tuple(x) for x in linked.collect()) == [(1, 0, "a", "b", "E/a", "E/b"), (2, 0, "a", "a", "P/a", "P/a")]
+    assert sorted(str(tuple(x)) for x in others.collect()) == sorted(map(str, [(1, 1, "a", "x", "E/a", None), (None, 0, "a", "a", None, None), (1, 2, None, "a", None, "E/a"), (3, 0, "a", "a", None, None)]))
+    assert "Join" not in plan(linked)
+
+
+def test_a_graph_is_built_where_its_documents_are(spark):
+    for name in ("kgc_02_extract_documents", "kgc_03_build_graph", "join_04_link", "agg_17_batch_relations"):
+        found = plan(QUERIES[name](spark, SF))
+        assert "Join" not in found and "ENSURE_REQUIREMENTS" not in found, name
