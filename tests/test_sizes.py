@@ -69,3 +69,13 @@ def test_trails_are_counted_without_a_row_for_each(spark, monkeypatch):
         if hops == 2:
             names = {tuple(t.columns) for t in listed}
             assert ("seed", "far") in names and max(t.filter("far like 'l%'").count() for t in listed if "seed" in t.columns and "far" in t.columns) < 300
+
+
+def test_edges_of_other_nodes_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_NODES", 3)
+    steps = spark.createDataFrame([(f"n{n % 50}", f"m{n}", f"e{n}", 1.0) for n in range(500)], "near string, far string, edge string, confidence double")
+    for few in (True, False):
+        level = spark.createDataFrame([("s", f"n{n}") for n in range(3 if few else 4)], "seed string, id string")
+        found = graph.grown_by(level, steps)
+        assert sorted(tuple(x) for x in found.collect()) == sorted((f"n{n % 50}", "s", f"m{n}", f"e{n}", 1.0) for n in range(500) if n % 50 < (3 if few else 4))
+        assert ("LeftSemi" in plan(found)) == few
