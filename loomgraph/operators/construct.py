@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable, Iterator
-from functools import lru_cache, partial, reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,60 +53,82 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("head_key", tx.relation_name(F.col("head"))).withColumn("tail_key", tx.relation_name(F.col("tail")))
 
 
+@lru_cache(100_000)
 def alike(a: str, b: str, threshold: float) -> bool:
     """Whether the ratio of two names is threshold or more; lengths and then character counts bound it from above, so that
-    most pairs are never aligned."""
+    most pairs are never aligned. Words come again and again: what two of them have been found to be is kept for a while."""
     if 2.0 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
         return False
     matcher = difflib.SequenceMatcher(None, a, b)
     return matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold
 
 
+#: From this length on difflib leaves common characters out, and a name need not be like itself.
+LONG = 200
+
+
 def _greedy(threshold: float):
-    @F.arrow_udf("array<struct<at:int,aliases:array<string>,source_count:bigint>>")
+    @F.arrow_udf("struct<counts:array<int>,aliases:array<array<string>>>")
     def merge(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        # Words come again and again: what two of them have been found to be is kept for a while.
-        near = lru_cache(100_000)(partial(alike, threshold=threshold))
         for lists in batches:
             kinds, names, keys = (pc.list_flatten(x) for x in lists)
             sizes = pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False)
             unit = np.repeat(np.arange(len(sizes)), sizes)
-            counts, aliases = np.ones(len(unit), np.int64), {}
-            for i, first in _joins(unit, kinds, keys, near):
-                counts[i], other = 0, aliases.setdefault(first, [])
-                counts[first] += 1
-                if (name := names[i].as_py()) != names[first].as_py() and name not in other:
+            first = _firsts(unit, kinds, keys, threshold)
+            joined = np.flatnonzero(first != np.arange(len(unit)))
+            counts = np.bincount(first, minlength=len(unit)).astype(np.int32)
+            coded = pc.dictionary_encode(names)
+            code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+            aliases: list[list[str | None] | None] = [None] * len(unit)
+            for i in joined[code[joined] != code[first[joined]]].tolist():
+                k = int(first[i])
+                other = aliases[k] = aliases[k] or []
+                if (name := coded.dictionary[int(code[i])].as_py() if code[i] >= 0 else None) not in other:
                     other.append(name)
-            kept = np.flatnonzero(counts)
-            listed = pa.array([aliases.get(i, []) for i in kept.tolist()], pa.list_(pa.string()))
-            at = pa.array(kept - (np.cumsum(sizes) - sizes)[unit[kept]] + 1, pa.int32())
-            rows = pa.StructArray.from_arrays([at, listed, pa.array(counts[kept])], ["at", "aliases", "source_count"])
-            yield pa.ListArray.from_arrays(np.searchsorted(unit[kept], np.arange(len(sizes) + 1)).astype(np.int32), rows)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists_of = lambda values: pa.ListArray.from_arrays(ends, values)
+            yield pa.StructArray.from_arrays([lists_of(pa.array(counts)), lists_of(pa.array(aliases, pa.list_(pa.string())))], ["counts", "aliases"])
 
     return merge
 
 
-def _joins(unit: np.ndarray, kinds: pa.Array, keys: pa.Array, near: Callable[[str, str], bool]) -> Iterator[tuple[int, int]]:
-    """Mentions that join an earlier one of their block (unit, kind, three characters of the key), with that one. Blocks of
-    one mention are not looked at."""
+def _firsts(unit: np.ndarray, kinds: pa.Array, keys: pa.Array, threshold: float) -> np.ndarray:
+    """For each mention the one it joins, the first kept one of its block (unit, kind, three characters of the key) that is
+    like it; itself where none is. A name that comes again in a block joins what it joined before, so that only the
+    different names of a block are compared."""
     code = lambda x: pc.fill_null(pc.dictionary_encode(x).indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
     parts = [code(kinds), code(pc.utf8_slice_codeunits(keys, 0, 3))]
     block = unit.astype(np.int64)
     for part in parts:
         block = np.unique(block, return_inverse=True)[1] * (part.max(initial=0) + 1) + part
-    _, block, many = np.unique(block, return_inverse=True, return_counts=True)
-    rows = np.flatnonzero(many[block] > 1)
-    rows = rows[np.argsort(block[rows], kind="stable")]
+    coded, ids = pc.dictionary_encode(keys), {"": 0}
+    of = np.array([0, *(ids.setdefault((k or "").lower(), len(ids)) for k in coded.dictionary.to_pylist())], np.int64)
+    low, first = of[pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1], np.arange(len(unit))
+    lows = list(ids)
+    for n, name in enumerate(list(lows)):
+        if (len(name) >= LONG or threshold > 1) and not alike(name, name, threshold):
+            again = np.flatnonzero(low == n)
+            low[again] = np.arange(len(lows), len(lows) + len(again))
+            lows += [name] * len(again)
+    # Names without a character are like none.
+    rows = np.flatnonzero(low > 0)
+    block = np.unique(block[rows], return_inverse=True)[1]
+    _, at, pair = np.unique(block * len(lows) + low[rows], return_index=True, return_inverse=True)
+    many = np.bincount(block[at], minlength=len(rows) and block.max() + 1) > 1
+    joins = at.copy()
+    open_ = np.flatnonzero(many[block[at]]) if len(rows) else np.empty(0, np.int64)
+    open_ = open_[np.lexsort((at[open_], block[at[open_]]))]
     now, kept = -1, []
-    for i, of, key in zip(rows.tolist(), block[rows].tolist(), keys.take(pa.array(rows)).to_pylist(), strict=True):
-        if of != now:
-            now, kept = of, []
-        low = (key or "").lower()
-        first = next((k for other, k in kept if low and other and near(other, low)), None)
-        if first is None:
-            kept.append((low, i))
+    for p, of_, name in zip(open_.tolist(), block[at[open_]].tolist(), low[rows[at[open_]]].tolist(), strict=True):
+        if of_ != now:
+            now, kept = of_, []
+        other = next((k for had, k in kept if alike(had, lows[name], threshold)), None)
+        if other is None:
+            kept.append((lows[name], p))
         else:
-            yield i, first
+            joins[p] = at[other]
+    first[rows] = rows[joins[pair]]
+    return first
 
 
 def dedup_chunk_entities(mentions: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -115,31 +137,54 @@ def dedup_chunk_entities(mentions: DataFrame, threshold: float = 0.85) -> DataFr
     A chunk is put together once. Python sees its names and tells which mentions are kept; rows stay in Spark."""
     held = ["ord", *(c for c in mentions.columns if c not in (*CHUNK, "ord"))]
     units = mentions.groupBy(*CHUNK).agg(F.array_sort(F.collect_list(F.struct(*held))).alias("ms"))
-    rows = merged_units(units, threshold).select(*CHUNK, F.inline("es"))
+    rows = listed_entities(kept_of(units.select("*", told_of(threshold))))
     return rows.select(*mentions.columns, "aliases", "source_count")
 
 
-def merged_units(units: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, chunk_id, es: of each chunk's mentions ms, in order, the kept ones with aliases and source_count."""
-    told = units.select(*CHUNK, "ms", _greedy(threshold)("ms.type", "ms.name", "ms.normalized_name").alias("kept"))
+def told_of(threshold: float) -> Column:
+    """kept, of a chunk's mentions ms in order: for each its source_count, 0 if it has joined another, and its aliases."""
+    return _greedy(threshold)("ms.type", "ms.name", "ms.normalized_name").alias("kept")
+
+
+def kept_of(units: DataFrame) -> DataFrame:
+    """units with es in place of ms and kept: the kept mentions with aliases and source_count."""
     fields = units.schema["ms"].dataType.elementType.names
-    row = lambda k: F.struct(*(F.element_at("ms", k["at"])[f].alias(f) for f in fields), k["aliases"].alias("aliases"), k["source_count"].alias("source_count"))
-    return told.select(*CHUNK, F.transform("kept", row).alias("es"))
+    none = F.array().cast("array<string>")
+    row = lambda m, i: F.struct(*(m[f].alias(f) for f in fields), F.coalesce(F.get("kept.aliases", i), none).alias("aliases"), F.get("kept.counts", i).cast("long").alias("source_count"))
+    es = F.filter(F.transform("ms", row), lambda e: e["source_count"] > 0)
+    return units.withColumn("es", es).drop("ms", "kept")
+
+
+def chunk_units(responses: DataFrame, threshold: float = 0.85, bound: float | None = None, tasks: int | None = None) -> DataFrame:
+    """doc_id, chunk_id, es, rs: of each chunk the deduplicated entities, those of confidence >= bound where it is given,
+    and all relations, unjudged.
+
+    tasks: as many as the responses were dealt to by document (tasks_of). Python then is given the names alone, and only
+    what it tells of them is dealt to the documents again: mentions and relations never leave their documents."""
+    entities = F.transform(tx.parse_entities(F.col("entity_response")), lambda e, i: F.struct(i.alias("ord"), *(e[f].alias(f) for f in ("name", "type", "description", "confidence")), tx.entity_name(e["name"]).alias("normalized_name")))
+    relations = F.transform(tx.parse_relations(F.col("relation_response")), lambda r, i: F.struct(i.alias("ord"), *(r[f].alias(f) for f in ("head", "relation", "tail", "evidence", "confidence"))))
+    rows = responses.select(*CHUNK, entities.alias("ms"), relations.alias("rs"))
+    listed = lambda column: F.flatten(F.collect_list(column))
+    lists = [F.sort_array(listed("ms")).alias("ms"), listed("rs").alias("rs")]
+    if tasks is None:
+        units = rows.groupBy(*CHUNK).agg(*lists).select("*", told_of(threshold))
+    else:
+        told = rows.groupBy(*CHUNK).agg(lists[0]).select(*CHUNK, told_of(threshold)).repartition(tasks, "doc_id")
+        units = rows.unionByName(told, allowMissingColumns=True).groupBy(*CHUNK).agg(*lists, F.first("kept", ignorenulls=True).alias("kept"))
+    units = kept_of(units)
+    return units if bound is None else units.withColumn("es", F.filter("es", lambda e: e["confidence"] >= bound))
 
 
 def chunk_entities(responses: DataFrame, threshold: float = 0.85, bound: float | None = None, tasks: int | None = None) -> DataFrame:
     """The rows of dedup_chunk_entities(entity_mentions(responses)), those of confidence >= bound where it is given.
 
-    Mentions are listed one by one at the end only. tasks: as many as the responses were dealt to by document (tasks_of);
-    what comes from Python is dealt so again, as a row for each chunk, and lies beside the responses of its document."""
-    found = F.transform(tx.parse_entities(F.col("entity_response")), lambda e, i: F.struct(i.alias("ord"), *(e[f].alias(f) for f in ("name", "type", "description", "confidence")), tx.entity_name(e["name"]).alias("normalized_name")))
-    listed = responses.select(*CHUNK, found.alias("ms")).groupBy(*CHUNK).agg(F.array_sort(F.flatten(F.collect_list("ms"))).alias("ms"))
-    units = merged_units(listed, threshold)
-    if bound is not None:
-        units = units.withColumn("es", F.filter("es", lambda e: e["confidence"] >= bound))
-    if tasks is not None:
-        units = units.repartition(tasks, "doc_id")
-    return units.select(*CHUNK, F.inline("es"))
+    Mentions are listed one by one at the end only. tasks: see chunk_units."""
+    return listed_entities(chunk_units(responses, threshold, bound, tasks))
+
+
+def listed_entities(units: DataFrame) -> DataFrame:
+    """A row for each entity of chunk_units. A column that is listed as it is would be made twice, once for its size."""
+    return units.select(*CHUNK, F.inline(F.concat("es")))
 
 
 def merge_document_entities(mentions: DataFrame) -> DataFrame:
@@ -165,17 +210,33 @@ def judged_relations(relations: DataFrame, entities: DataFrame, by: tuple[str, .
     together once; one without a key has no entities. Keys that relations lack are made of head and tail."""
     held = [c for c in relations.columns if c not in by]
     record, none = F.struct(*held), F.lit(None)
-    key = lambda r, end: r[f"{end}_key"] if f"{end}_key" in held else tx.relation_name(r[end])
-    names = F.array(tx.relation_name(F.col("name")), F.lower(F.trim("normalized_name")))
     rows = relations.select(*by, none.cast("array<string>").alias("names"), record.alias("r"))
-    rows = rows.unionByName(entities.select(*by, names.alias("names"), none.cast(rows.schema["r"].dataType).alias("r")))
+    rows = rows.unionByName(entities.select(*by, _names(F.col("name"), F.col("normalized_name")).alias("names"), none.cast(rows.schema["r"].dataType).alias("r")))
     units = rows.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"), F.collect_list("r").alias("rs"))
-    whole = reduce(Column.__and__, (F.col(b).isNotNull() for b in by))
-    known = lambda r: F.coalesce(whole & F.array_contains("names", key(r, "head")) & F.array_contains("names", key(r, "tail")), F.lit(False))
+    known = _known(held, by)
     judged = units.select(*by, F.inline(F.transform("rs", lambda r: F.struct(r.alias("r"), known(r).alias("valid")))))
     return judged.select(*by, "r.*", "valid").select(*relations.columns, "valid")
 
 
+def _names(name: Column, normalized: Column) -> Column:
+    """What an entity may be called at a relation's end."""
+    return F.array(tx.relation_name(name), F.lower(F.trim(normalized)))
+
+
+def _known(held: list[str], by: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Whether both ends of a relation (a struct of held) are among the `names` of its unit."""
+    key = lambda r, end: r[f"{end}_key"] if f"{end}_key" in held else tx.relation_name(r[end])
+    whole = reduce(Column.__and__, (F.col(b).isNotNull() for b in by))
+    return lambda r: F.coalesce(whole & F.array_contains("names", key(r, "head")) & F.array_contains("names", key(r, "tail")), F.lit(False))
+
+
+def judged_units(units: DataFrame) -> DataFrame:
+    """The valid ones of judged_relations, of chunks that hold their entities es and relations rs already."""
+    names = F.array_distinct(F.flatten(F.transform("es", lambda e: _names(e["name"], e["normalized_name"]))))
+    known = _known(units.schema["rs"].dataType.elementType.names, CHUNK)
+    return units.select(*CHUNK, names.alias("names"), "rs").select(*CHUNK, F.inline(F.filter("rs", known)))
+
+
 def joined_evidence(items: Column) -> Column:
     """Evidences in order, each appended after "; " unless it is there already."""
     texts = F.filter(F.transform(items, lambda i: i["evidence"]), lambda e: F.length(e) > 0)
@@ -191,11 +252,10 @@ def dedup_relations(relations: DataFrame, by: tuple[str, ...] = ("doc_id", "chun
 
 
 def extract_chunks(responses: DataFrame, entity_bound: float = 0.5, relation_bound: float = 0.7, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per chunk: entities deduplicated and filtered; relations validated, deduplicated and filtered. tasks: see chunk_entities."""
-    entities = chunk_entities(responses, bound=entity_bound, tasks=tasks)
-    # What can be made again is not carried along.
-    judged = judged_relations(relation_mentions(responses).drop("head_key", "tail_key"), entities)
-    return entities, dedup_relations(keyed(judged.filter("valid").drop("valid"))).filter(F.col("confidence") >= relation_bound)
+    """Per chunk: entities deduplicated and filtered; relations validated, deduplicated and filtered. tasks: see chunk_units."""
+    units = chunk_units(responses, bound=entity_bound, tasks=tasks)
+    relations = dedup_relations(keyed(judged_units(units))).filter(F.col("confidence") >= relation_bound)
+    return listed_entities(units), relations
 
 
 def extract_documents(responses: DataFrame, tasks: int | None = None, **bounds: float) -> tuple[DataFrame, DataFrame]:
@@ -223,7 +283,7 @@ def link(relations: DataFrame, entities: DataFrame, mode: str = "strict", by: tu
 
 def build_graph(responses: DataFrame, mode: str = "strict", stored: tuple[DataFrame, DataFrame] | None = None, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Entities and relations with ids made of their keys; upserted into the stored entities and relations, where given.
-    tasks: see chunk_entities."""
+    tasks: see chunk_units."""
     entities, relations = extract_documents(responses, tasks)
     entities = entities.withColumn("id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "type", "normalized_name"), 256))
     linked, _ = link(relations, entities, mode)

@@ -3,6 +3,8 @@
 import difflib
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomgraph.operators import construct as kg
@@ -74,3 +76,42 @@ def test_a_graph_is_built_where_its_documents_are(spark):
     for name in ("kgc_02_extract_documents", "kgc_03_build_graph", "join_04_link", "agg_17_batch_relations"):
         found = plan(QUERIES[name](spark, SF))
         assert "Join" not in found and "ENSURE_REQUIREMENTS" not in found, name
+
+
+def test_names_join_the_first_one_like_them():
+    rng = random.Random(11)
+    # Of 200 characters and more difflib leaves out common ones: the first of these is not even like itself.
+    names = ["ab" * 125, "abc" + "".join(chr(97 + n % 26) + str(n) for n in range(90)), "Johnson", "johnson", "Johnsen", "Johnston", "JOHNSONS", "", None, "Jo", "abcd", "abce"]
+    for threshold in (0.5, 0.85, 1.0, 1.2):
+        unit = np.sort(np.array([rng.randrange(9) for _ in range(250)]))
+        kinds, keys = ([rng.choice(x) for _ in unit] for x in (["A", "B", None], names))
+        want, kept = [], []
+        for i, (u, kind, key) in enumerate(zip(unit.tolist(), kinds, keys, strict=True)):
+            low, head = (key or "").lower(), key and key[:3]
+            near = [k for k in kept if k[1:4] == (u, kind, head if key is not None else None) and low and k[4] and difflib.SequenceMatcher(None, k[4], low).ratio() >= threshold]
+            want.append(near[0][0] if near else i)
+            kept += [] if near else [(i, u, kind, head if key is not None else None, low)]
+        assert kg._firsts(unit, pa.array(kinds, pa.string()), pa.array(keys, pa.string()), threshold).tolist() == want
+    assert kg._firsts(np.array([], int), pa.array([], pa.string()), pa.array([], pa.string()), 0.85).tolist() == []
+
+
+def test_python_sees_names_once_and_mentions_stay(spark):
+    for name in ("agg_13_chunk_entities", "agg_17_batch_relations", "kgc_02_extract_documents"):
+        assert plan(QUERIES[name](spark, SF)).count("ArrowEvalPython") == 1, name
+    lines = plan(QUERIES["kgc_03_build_graph"](spark, SF)).splitlines()
+    moved = [below for line, below in zip(lines, lines[1:], strict=False) if "Exchange" in line and "Scan" not in below]
+    assert moved and all("AS kept#" in below and "ms#" not in below.split("AS kept#")[0].rpartition("[")[2] and "es#" not in below for below in moved)
+
+
+def test_chunks_of_several_responses_and_without_keys(spark):
+    say = lambda *names: '{"entities": [' + ", ".join('{"name": "%s", "type": "T", "confidence": 0.9}' % n for n in names) + "]}"
+    tie = lambda a, b: '{"relations": [{"head": "%s", "relation": "R", "tail": "%s", "confidence": 0.9}]}' % (a, b)
+    rows = [(1, 0, say("alpha", "beta"), tie("Alpha", "beta")), (1, 0, say("gamma", "alphas"), tie("gamma", "beta")), (1, 1, say("delta"), tie("delta", "beta")), (None, 0, say("alpha"), tie("alpha", "alpha")), (2, None, say("alpha"), tie("alpha", "alpha")), (3, 0, None, None), (4, 0, "no {", tie("a", "b"))]
+    made = spark.createDataFrame(rows, "doc_id long, chunk_id int, entity_response string, relation_response string")
+    for tasks in (None, 3):
+        entities, relations = kg.extract_chunks(made if tasks is None else made.repartition(tasks, "doc_id"), tasks=tasks)
+        mentions = kg.dedup_chunk_entities(kg.entity_mentions(made)).filter("confidence >= 0.5")
+        assert entities.count() == 6 and entities.exceptAll(mentions).isEmpty() and mentions.exceptAll(entities).isEmpty()
+        valid = kg.validate_relations(kg.relation_mentions(made), mentions)[0]
+        want = kg.dedup_relations(valid).filter("confidence >= 0.7")
+        assert relations.count() == 2 and relations.exceptAll(want).isEmpty() and want.exceptAll(relations).isEmpty()
