@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import construct, graph, retrieval
+from loomgraph.operators import construct, filters, graph, retrieval
 from loomgraph.plans import fixtures
 
 from .conftest import SF
@@ -79,3 +79,30 @@ def test_edges_of_other_nodes_are_not_shuffled(spark, monkeypatch):
         found = graph.grown_by(level, steps)
         assert sorted(tuple(x) for x in found.collect()) == sorted((f"n{n % 50}", "s", f"m{n}", f"e{n}", 1.0) for n in range(500) if n % 50 < (3 if few else 4))
         assert ("LeftSemi" in plan(found)) == few
+
+
+def test_a_subgraph_shuffles_the_edges_it_meets(spark, monkeypatch):
+    rng, listed, write = random.Random(4), [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: listed.append((name, df)) or write(df, name))
+    ends = [(rng.choice("abcdefghijkl"), rng.choice("abcdefghijkl")) for _ in range(40)] + [(None, "a"), ("b", None)]
+    rows = [(f"e{n:02}", a, b, "T", 0.5) for n, (a, b) in enumerate(ends)]
+    r = spark.createDataFrame(rows, "id string, src string, dst string, type string, confidence double")
+    e = spark.createDataFrame([(x,) for x in "abcdefghijklm"], "id string")
+    seeds = spark.createDataFrame([("a",), ("m",), ("a",), (None,)], "id string")
+    for most in (1_000_000, 2):
+        monkeypatch.setattr(graph, "MOST_NODES", most)
+        for depth, expand, cap in ((0, False, 3), (1, False, 3), (2, True, 3), (3, True, 2), (2, False, 99)):
+            at, edges, ids = {"a", "m"}, set(), {"a", "m"}
+            for hop in range(max(1, depth if expand else 1)):
+                met = {x for n in at for x in [x for x in rows if n == x[1] or n == x[2] and x[1]][:cap]}
+                edges |= met
+                at = {n for x in met for n in x[1:3]} - ids - {None}
+                ids |= at if depth > hop else set()
+            listed.clear()
+            nodes, found = graph.subgraph(r, e, seeds, cap, depth=depth, expand=expand)
+            assert sorted(x["id"] for x in nodes.collect()) == sorted(ids)
+            assert sorted(tuple(x) for x in found.collect()) == sorted(edges, key=lambda x: x[0])  # without a start no edge is walked
+            assert [name for name, _ in listed].count("edges") == (depth if expand else 1)
+    # However many the nodes, edges go to them unshuffled, and both ways of an edge come from one reading of it.
+    steps, nodes = filters.oriented(fixtures.relations(spark, SF)), write(e, "nodes")
+    assert "SortMergeJoin" not in plan(graph.edges_at(steps, nodes)) and plan(steps).count("l_orderkey") == plan(fixtures.relations(spark, SF)).count("l_orderkey")
