@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keyword_index, vector_index
 from ..operators import retrieval as rt
-from ..tables import shared_dir
+from ..tables import shared_dir, small
 from .catalog import query
 from .fixtures import GRAPH_SQL, entities, relations, table
 
@@ -132,9 +132,18 @@ SELECT id, concat('【相关实体】', chr(10), es.lines, chr(10), chr(10), '
 query("ret_10_graph_context", _GRAPH_CONTEXT)(lambda spark, d: graph_contexts(spark, d))
 
 
-def graph_contexts(spark, d):
-    """Context of every order: what its relations lead to, the relations, and the one-step paths."""
+def number(column):
+    """The number in the id of a node."""
+    return F.regexp_extract(column, r"(\d+)", 1).try_cast("long")
+
+
+def graph_contexts(spark, d, asked=None):
+    """Context of every order: what its relations lead to, the relations, and the one-step paths.
+
+    asked (query_id): only those of the orders of these numbers, so that no other order's edges are shuffled."""
     edges = relations(spark, d).filter("src like 'O%'")
+    if asked is not None:
+        edges = small(edges.join(asked, number("src") == asked["query_id"], "left_semi"), "edges")
     ends = edges.join(entities(spark, d).select(c("id").alias("dst"), "name", c("type").alias("kind"), "description"), "dst")
     near = F.struct("id", c("src").alias("head"), "type", c("dst").alias("tail"), "name", "kind", "description")
     rows = ends.groupBy(c("src").alias("id")).agg(F.array_sort(F.collect_list(near)).alias("rs"))
@@ -156,8 +165,9 @@ def prompts(spark, d):
 @query("ret_12_batch_context")
 def ret_12(spark, d):
     """Hybrid hits, outside rerank scores, context and prompt for a table of questions."""
-    best = reranked(spark, d).select("query_id", "doc_id", c("new_rank").alias("rank")).join(table(spark, d, "documents").select("doc_id", c("text").alias("content")), "doc_id")
+    hits = small(reranked(spark, d).select("query_id", "doc_id", c("new_rank").alias("rank")), "hits")
+    best = hits.join(table(spark, d, "documents").select("doc_id", c("text").alias("content")), "doc_id")
     # The graph side: the question's own node (B and its id) with its relations, here those of the order of that number.
-    graphs = graph_contexts(spark, d).select(F.regexp_extract("id", r"(\d+)", 1).cast("long").alias("query_id"), c("context").alias("graph"))
+    graphs = graph_contexts(spark, d, small(hits.select("query_id").distinct(), "asked")).select(number("id").alias("query_id"), c("context").alias("graph"))
     made = rt.context(best, budget=1500).join(queries(spark, d).select("query_id", "query"), "query_id").join(graphs, "query_id", "left")
     return made.select("query_id", rt.prompt(c("query"), c("context"), c("graph"), "graph_enhanced").alias("prompt"), F.size("sources").alias("n_sources"), "truncated")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from loomgraph.operators import construct, filters, graph, retrieval
-from loomgraph.plans import fixtures
+from loomgraph.plans import QUERIES, fixtures, searches
 
 from .conftest import SF
 from .test_extraction import plan
@@ -106,3 +106,16 @@ def test_a_subgraph_shuffles_the_edges_it_meets(spark, monkeypatch):
     # However many the nodes, edges go to them unshuffled, and both ways of an edge come from one reading of it.
     steps, nodes = filters.oriented(fixtures.relations(spark, SF)), write(e, "nodes")
     assert "SortMergeJoin" not in plan(graph.edges_at(steps, nodes)) and plan(steps).count("l_orderkey") == plan(fixtures.relations(spark, SF)).count("l_orderkey")
+
+
+def test_documents_that_no_question_found_are_not_shuffled(spark):
+    asked = spark.createDataFrame([(n,) for n in (1, 2, 3, 10_000_000)], "query_id long")
+    some = searches.graph_contexts(spark, SF, asked)
+    want = searches.graph_contexts(spark, SF).filter("id in ('O1', 'O2', 'O3')")
+    assert some.count() and some.exceptAll(want).isEmpty() and want.exceptAll(some).isEmpty()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(QUERIES["ret_12_batch_context"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(doc_id" not in found and "hashpartitioning(dst" not in found
