@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import construct, filters, graph, retrieval
+from loomgraph.operators import construct, filters, graph, operations, retrieval
 from loomgraph.plans import QUERIES, fixtures, searches
 
 from .conftest import SF
@@ -119,3 +119,18 @@ def test_documents_that_no_question_found_are_not_shuffled(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "hashpartitioning(doc_id" not in found and "hashpartitioning(dst" not in found
+
+
+def test_a_review_is_dealt_out_by_its_own_size(spark, monkeypatch):
+    monkeypatch.setattr(operations, "REVIEW_ROWS", 200)
+    users = spark.createDataFrame([(n, (n or 1) % 9 == 0) for n in [*range(150), 3, None]], "user_id long, deleted boolean")
+    held = spark.createDataFrame([(n, n % 3 if n < 20 else 1) for n in range(150)] + [(4, 2), (4, 2), (None, 1), (5, None)], "user_id long, role_id long")
+    roles = spark.createDataFrame([(0, False, True), (1, False, True), (2, False, False), (3, True, True)], "role_id long, deleted boolean, enabled boolean")
+    gives = spark.createDataFrame([(n % 3, n) for n in range(90)] + [(1, 4), (1, None)], "role_id long, permission_id long")
+    codes = spark.createDataFrame([(n, None if n == 7 else f"p{n // 2}", n % 10 == 0) for n in range(90)], "permission_id long, code string, deleted boolean")
+    found = operations.access_review(users, held, roles, gives, codes)
+    want = {(u, None if p == 7 else f"p{p // 2}") for u in range(150) if (u or 1) % 9 for r in {u % 3 if u < 20 else 1} - {2} for p in range(r, 90, 3) if p % 10}
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    sizes = [len(x) for x in found.rdd.glom().collect()]
+    assert len(sizes) > 20 and max(sizes) < len(want) / 2
