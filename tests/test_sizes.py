@@ -134,3 +134,14 @@ def test_a_review_is_dealt_out_by_its_own_size(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
     sizes = [len(x) for x in found.rdd.glom().collect()]
     assert len(sizes) > 20 and max(sizes) < len(want) / 2
+
+
+def test_a_merge_deals_both_tables_out_once(spark):
+    stored = spark.createDataFrame([("a", "old", 1.0, {"x": "1"}), ("b", "old", None, None), ("b", "twice", 2.0, None), ("c", "old", 3.0, None), (None, "old", 4.0, None)], "id string, name string, score double, properties map<string,string>").withColumn("updated_at", F.lit(None).cast("timestamp"))
+    came = spark.createDataFrame([("a", None, 9.0, {"y": "2"}, 1), ("b", "less", 8.0, None, 1), ("b", "new", 7.0, None, 3), ("b", "none", 6.0, None, None), ("d", "new", None, None, 1), (None, "less", 5.0, None, 1), (None, "new", 5.0, None, 2)], "id string, name string, score double, properties map<string,string>, version int").withColumn("other", F.lit(1))
+    merged = operations.upsert(stored, came, now="2026-01-01")
+    got = sorted((str(r["id"]), r["name"], r["score"], sorted(r["properties"].items()), r["updated_at"] is not None) for r in merged.collect())
+    want = [("None", "new", 5.0, [], False), ("None", "old", 4.0, [], False), ("a", "old", 9.0, [("x", "1"), ("y", "2")], True), ("b", "new", 7.0, [], True), ("b", "new", 7.0, [], True), ("c", "old", 3.0, [], False), ("d", "new", None, [], True)]
+    assert got == want and merged.columns == stored.columns
+    ids = plan(merged.groupBy("name").agg(F.countDistinct("id"), F.count("updated_at")))
+    assert "Join" not in ids and ids.count("Exchange hashpartitioning(id") == 1
